@@ -85,3 +85,11 @@ def free_name(df: DataFrame, stem: str) -> str:
     while stem.lower() in taken:
         stem += "_"
     return stem
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the context cleaner drop the shuffle files of jobs that are over."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

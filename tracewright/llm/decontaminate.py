@@ -38,7 +38,7 @@ def tokens(text: str | None) -> np.ndarray:
     """64-bit hashes of the text's tokens."""
     from xxhash import xxh64_intdigest
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().translate(_FOLD).split()
+    words = (text or "").lower().encode("utf-8", "surrogatepass").translate(_FOLD).split()
     return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import crc_fold, small_batches, stage
 from .embeddings import spherical_kmeans
 
-BITS, CENTROIDS, PER_LANG, FLOOR, SLACK, FIT_TASKS, _PIECE = 13, 4, 1000, 0.01, 0.6, 8, 1 << 20
+BITS, CENTROIDS, PER_LANG, FLOOR, SLACK, FIT_TASKS, _PIECE = 13, 4, 1000, 0.01, 0.3, 8, 1 << 20
 DIM = 1 << BITS
 _FOLD = np.array([c if c >= 128 or chr(c).isalpha() else 32 for c in range(256)], np.uint8)
 

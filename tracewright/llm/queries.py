@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, langid, linededup, mixing, secrets, simhash, tokenstore, warc
+from . import decontaminate, embeddings, katz, langid, linededup, mixing, secrets, simhash, tokenstore, warc
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op4_language_id(spark, sf_dir):
     return langid.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_katz_score(spark, sf_dir):
+    return katz.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark, sf_dir):
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,7 +53,7 @@ def op10_secret_scan(spark, sf_dir):
 
 
 def queries() -> dict:
-    own = [op1_warc_index, op2_mix_sources, op3_line_dedup, op4_language_id, op6_decontaminate, op7_simhash_near_dedup, op8_token_files, op9_embedding_near_dedup, op10_secret_scan]
+    own = [op1_warc_index, op2_mix_sources, op3_line_dedup, op4_language_id, op5_katz_score, op6_decontaminate, op7_simhash_near_dedup, op8_token_files, op9_embedding_near_dedup, op10_secret_scan]
     return {f.__name__: f for f in own}
 
 
