@@ -228,15 +228,23 @@ def _pairs_merged(table: pa.Table) -> pa.Table:
     return _answer(2, rows, ends, [total[of].astype("<u4"), owner], (_pack(uniq[seen], True), _pack(total[seen].astype("<u4"))), low[: K + 2].tolist())
 
 
-def _contexts_merged(table: pa.Table) -> pa.Table:
-    rows, ends, keys, (count, kept, mass) = _gathered(table, ["<f8", "<f8", "<f8"])
-    uniq, of = np.unique(keys, return_inverse=True)
-    count, kept, mass = (np.bincount(of, weights=x) for x in (count, kept, mass))
-    size = np.where(kept >= count * (1 - 1e-12), count + 0.5, count)
-    left = np.where(count > 0, (size - kept) / np.maximum(size, 0.5), 1.0)
-    alpha = np.where(count > 0, left / np.maximum(1 - mass, 1e-300), 1.0)
-    some = count > 0
-    return _answer(3, rows, ends, [size[of], alpha[of]], (_pack(uniq[some], True), _pack(size[some]) + _pack(alpha[some])), [])
+_SUMS = ["<u4"] * (K + 2) + ["<u8"]  # of a context: tokens, pairs seen 1 to K times, successors, their own counts
+
+
+def _contexts_merged(n: int, v: int, d: np.ndarray):
+    def run(table: pa.Table) -> pa.Table:
+        rows, ends, keys, sums = _gathered(table, _SUMS)
+        uniq, of = np.unique(keys, return_inverse=True)
+        count, *low, followers, own = (np.bincount(of, weights=x) for x in sums)
+        kept = count + sum((d[r] - 1) * r * x for r, x in enumerate(low, 1))
+        mass = (own + FIRST * followers) / (n + FIRST * (v + 1))
+        size = np.where(kept >= count * (1 - 1e-12), count + 0.5, count)
+        left = np.where(count > 0, (size - kept) / np.maximum(size, 0.5), 1.0)
+        alpha = np.where(count > 0, left / np.maximum(1 - mass, 1e-300), 1.0)
+        some = count > 0
+        return _answer(3, rows, ends, [size[of], alpha[of]], (_pack(uniq[some], True), _pack(size[some]) + _pack(alpha[some])), [])
+
+    return run
 
 
 def _said(rows: list[dict], kind: int, kinds: list[str]) -> list[np.ndarray]:
@@ -261,7 +269,7 @@ def _ask_pairs(folder: str, buckets: int):
     return run
 
 
-def _ask_contexts(folder: str, buckets: int, n: int, v: int, d: np.ndarray):
+def _ask_contexts(folder: str, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         name = rows[0]["spool"]
@@ -270,9 +278,9 @@ def _ask_contexts(folder: str, buckets: int, n: int, v: int, d: np.ndarray):
         c2, owner = _said(rows, 2, ["<u4", "u1"])
         _, ctx, word, _, _ = spool.pairs()
         own = owner.astype(bool)
-        c = c2[own].astype(np.float64)
-        p = (c1[word[own]] + FIRST) / (n + FIRST * (v + 1))
-        sums = [np.bincount(ctx[own], weights=x, minlength=len(spool.uniq)) for x in (c, c * d[np.minimum(c2[own], K + 1)], p)]
+        c, ctx, follower = c2[own], ctx[own], c1[word[own]]
+        total = lambda x: np.bincount(ctx, weights=x, minlength=len(spool.uniq))
+        sums = [total(x).astype(k) for x, k in zip([c, *(c == r for r in range(1, K + 1)), np.ones(len(c)), follower], _SUMS)]
         return _ask(name, spool.uniq, sums, buckets)
 
     return run
@@ -320,17 +328,19 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     free_shuffles(spark)
     stats = [r[0] for r in said1.where("kind = -1").select("stats").collect()]  # a row for each bucket
     v, n = (sum(s[i] for s in stats) for i in (0, 1))
-    ask2 = said1.where("kind = 1").select("spool").distinct().groupBy("spool").applyInArrow(_ask_pairs(folder, buckets), _ASK_SQL)
+    spools = said1.where("kind = 1").select("spool").distinct()
+    tasks = max(1, spools.count())  # set, since adaptive execution would read a few names as one small task
+    ask2 = spools.repartition(tasks, "spool").groupBy("spool").applyInArrow(_ask_pairs(folder, buckets), _ASK_SQL)
     said2 = stage(ask2.groupBy("bucket").applyInArrow(_pairs_merged, _SAY_SQL), "pairs")
     free_shuffles(spark)
     low = [r[0] for r in said2.where("kind = -2").select("stats").collect()]
     d = discounts([sum(s[i] for s in low) for i in range(K + 2)])
     known = said1.where("kind = 1").unionByName(said2.where("kind = 2")).select("kind", "bucket", "spool", "vals")
-    ask3 = known.groupBy("spool").applyInArrow(_ask_contexts(folder, buckets, n, v, d), _ASK_SQL)
-    said3 = stage(ask3.groupBy("bucket").applyInArrow(_contexts_merged, _SAY_SQL), "contexts")
+    ask3 = known.repartition(tasks, "spool").groupBy("spool").applyInArrow(_ask_contexts(folder, buckets), _ASK_SQL)
+    said3 = stage(ask3.groupBy("bucket").applyInArrow(_contexts_merged(n, v, d), _SAY_SQL), "contexts")
     free_shuffles(spark)
     known = known.unionByName(said3.where("kind = 3").select("kind", "bucket", "spool", "vals"))
-    scored = known.groupBy("spool").applyInArrow(_score(folder, n, v, d), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = known.repartition(tasks, "spool").groupBy("spool").applyInArrow(_score(folder, n, v, d), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     tables = said1.unionByName(said2).unionByName(said3).where("kind < 0").select((-F.col("kind")).alias("kind"), "bucket", "keys", "vals")
     return scored, tables
 
