@@ -38,9 +38,11 @@ from pyspark.sql.window import Window
 
 from .common import discard, open_fs, small_batches, stage, workspace
 
-SHARD_BYTES, BLOCK_IDS, CACHE, LONGEST = 16 << 20, 1 << 19, 300_000, 48
+SHARD_BYTES, BLOCK_IDS, CACHE, CORES, LONGEST = 16 << 20, 1 << 19, 300_000, 1_000_000, 48
 _CHUNK = re.compile(r"\s*[^ \t\n\r]*\S|\s+")
 _ODD = re.compile("[\x1c-\x1f]")
+#: A line end, a Latin word with its space, and punctuation: a byte-level BPE never joins these three.
+_PARTS = re.compile(r"(\n?)( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?()|%#$*]*)")
 
 # ---- the code ---------------------------------------------------------------
 
@@ -95,7 +97,8 @@ class Encoder:
 
     A byte-level BPE splits a text before each space that follows another
     character, so such pieces are encoded once each and remembered (``CACHE``
-    short pieces at most); any other tokenizer encodes whole texts.
+    short pieces at most), the words in them apart from line ends and punctuation
+    (``CORES`` at most); any other tokenizer encodes whole texts.
     """
 
     _made: dict[str, Encoder] = {}
@@ -110,6 +113,7 @@ class Encoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {"": b""}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -128,7 +132,16 @@ class Encoder:
         if len(self.known) + len(new) > CACHE:
             self.known.clear()
             new = list(set(chain.from_iterable(c for c in cut if c is not None)))
-        self.known.update(zip(new, self._whole(new)))
+        parts = [m.groups() if (m := _PARTS.fullmatch(c)) else (c,) for c in new]
+        unseen = list(set(chain.from_iterable(parts)).difference(self.cores))
+        if len(self.cores) + len(unseen) > CORES:
+            self.cores = {"": b""}
+            unseen = list(set(chain.from_iterable(parts)) - {""})
+        self.cores.update(zip(unseen, self._whole(unseen)))
+        self.known.update((c, b"".join(map(self.cores.__getitem__, p))) for c, p in zip(new, parts))
+        for piece in unseen:
+            if len(piece) > LONGEST:
+                del self.cores[piece]
         out = [self._whole([t])[0] if c is None else b"".join(map(self.known.__getitem__, c)) for t, c in zip(texts, cut)]
         for piece in new:
             if len(piece) > LONGEST:
