@@ -1,2 +1,415 @@
-def queries(): return {}
-def oracle_sql(): return {}
+"""The registered queries of the lineage engine, each with the SQL that must give the same rows."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .engine import LineageEngine
+from .functions import exporters, rewrite
+from .operators import ast, graph, incremental, quality
+from .sources import catalog
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+FLAGSHIP = """SELECT c.c_name AS name, SUM(o.o_totalprice) AS total
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+WHERE o.o_orderstatus = 'F' GROUP BY c.c_name"""
+
+#: Statements with the edges that follow from their meaning: kind, from, to, transform.
+STATEMENTS: dict[str, tuple[str, str]] = {
+    "lineage_select": ("SELECT o.o_orderkey AS k, o.o_totalprice * 2 AS p FROM orders o WHERE o.o_orderstatus = 'F'", """
+        OUTPUT orders.o_orderkey k DIRECT; OUTPUT orders.o_totalprice p EXPRESSION; PREDICATE orders.o_orderstatus k FILTER_PREDICATE;
+        PREDICATE orders.o_orderstatus p FILTER_PREDICATE; SOURCE orders k SOURCE; SOURCE orders p SOURCE"""),
+    "lineage_join": (FLAGSHIP, """
+        OUTPUT customer.c_name name DIRECT; OUTPUT orders.o_totalprice total AGGREGATE; JOIN_KEY orders.o_custkey customer.c_custkey JOIN_KEY;
+        PREDICATE orders.o_orderstatus name FILTER_PREDICATE; PREDICATE orders.o_orderstatus total FILTER_PREDICATE; GROUP_BY customer.c_name name GROUPING;
+        GROUP_BY customer.c_name total GROUPING; SOURCE orders name SOURCE; SOURCE orders total SOURCE; SOURCE customer name SOURCE; SOURCE customer total SOURCE"""),
+    "lineage_cte_chain": ("WITH a AS (SELECT n.n_name FROM nation n), b(x) AS (SELECT a.n_name FROM a) SELECT b.x FROM b", """
+        OUTPUT nation.n_name a.n_name DIRECT; SOURCE nation a.n_name SOURCE; OUTPUT a.n_name b.x DIRECT; SOURCE a b.x SOURCE; OUTPUT b.x x DIRECT; SOURCE b x SOURCE"""),
+    "lineage_union": ("SELECT r.r_name FROM region r UNION ALL SELECT n.n_name FROM nation n", """
+        OUTPUT region.r_name r_name DIRECT; SOURCE region r_name SOURCE; OUTPUT nation.n_name r_name DIRECT; SOURCE nation r_name SOURCE"""),
+    "lineage_window": ("SELECT rank() OVER (PARTITION BY p.p_brand ORDER BY p.p_size) AS r FROM part p", """
+        OUTPUT part.p_brand r WINDOW; OUTPUT part.p_size r WINDOW; SOURCE part r SOURCE"""),
+    "lineage_case": ("SELECT CASE WHEN s.s_acctbal > 0 THEN s.s_name ELSE 'none' END AS n FROM supplier s", """
+        OUTPUT supplier.s_acctbal n CASE_BRANCH; OUTPUT supplier.s_name n CASE_BRANCH; SOURCE supplier n SOURCE"""),
+    "lineage_aggregate": ("SELECT l.l_returnflag, SUM(l.l_quantity) AS q, COUNT(*) AS c FROM lineitem l GROUP BY l.l_returnflag HAVING SUM(l.l_tax) > 0 ORDER BY l.l_returnflag", """
+        OUTPUT lineitem.l_returnflag l_returnflag DIRECT; OUTPUT lineitem.l_quantity q AGGREGATE; PREDICATE lineitem.l_tax l_returnflag FILTER_PREDICATE;
+        PREDICATE lineitem.l_tax q FILTER_PREDICATE; PREDICATE lineitem.l_tax c FILTER_PREDICATE; GROUP_BY lineitem.l_returnflag l_returnflag GROUPING;
+        GROUP_BY lineitem.l_returnflag q GROUPING; GROUP_BY lineitem.l_returnflag c GROUPING; ORDER_BY lineitem.l_returnflag l_returnflag ORDERING;
+        ORDER_BY lineitem.l_returnflag q ORDERING; ORDER_BY lineitem.l_returnflag c ORDERING; SOURCE lineitem l_returnflag SOURCE; SOURCE lineitem q SOURCE; SOURCE lineitem c SOURCE"""),
+    "lineage_derived": ("SELECT d.k FROM (SELECT e.user_id AS k FROM events e WHERE e.value > 1) d", """
+        OUTPUT d.k k DIRECT; OUTPUT events.user_id d.k DIRECT; PREDICATE events.value d.k FILTER_PREDICATE; SOURCE events d.k SOURCE"""),
+    "lineage_using": ("SELECT a.v FROM a JOIN b USING (k)", """
+        OUTPUT a.v v DIRECT; SOURCE a v SOURCE; SOURCE b v SOURCE"""),
+    "lineage_composite_on": ("SELECT l.l_tax AS t FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey AND p.p_size > 3", """
+        OUTPUT lineitem.l_tax t DIRECT; PREDICATE lineitem.l_partkey t FILTER_PREDICATE; PREDICATE part.p_partkey t FILTER_PREDICATE; PREDICATE part.p_size t FILTER_PREDICATE;
+        SOURCE lineitem t SOURCE; SOURCE part t SOURCE"""),
+    "lineage_insert": ("INSERT INTO sink (a, b) SELECT n.n_nationkey, upper(n.n_name) FROM nation n", """
+        OUTPUT nation.n_nationkey sink.a DIRECT; OUTPUT nation.n_name sink.b EXPRESSION; SOURCE nation sink.a SOURCE; SOURCE nation sink.b SOURCE"""),
+    "lineage_ctas": ("CREATE TABLE copy AS SELECT r.r_name FROM region r", "OUTPUT region.r_name copy.r_name DIRECT; SOURCE region copy.r_name SOURCE"),
+    "lineage_view": ("CREATE VIEW v (n) AS SELECT r.r_name FROM region r", "OUTPUT region.r_name v.n DIRECT; SOURCE region v.n SOURCE"),
+    "lineage_update": ("UPDATE part SET p_name = s.s_name FROM supplier s WHERE s.s_suppkey = part.p_partkey", """
+        OUTPUT supplier.s_name part.p_name DIRECT; PREDICATE supplier.s_suppkey part.p_name FILTER_PREDICATE; PREDICATE part.p_partkey part.p_name FILTER_PREDICATE;
+        SOURCE part part.p_name SOURCE; SOURCE supplier part.p_name SOURCE"""),
+    "lineage_delete": ("DELETE FROM orders WHERE o_totalprice < 0", ""),
+}
+# Without a schema, USING (k) finds k in the only source to its left and in the right one.
+STATEMENTS["lineage_using"] = (STATEMENTS["lineage_using"][0], STATEMENTS["lineage_using"][1] + "; JOIN_KEY a.k b.k JOIN_KEY")
+
+#: Every construct that the engine recognises, run on the tables; {name} is a table.
+EXECUTED: dict[str, str] = {
+    "exec_filter_project": "SELECT o_orderkey, o_totalprice * 2 AS p2 FROM {orders} WHERE o_orderstatus = 'F' AND o_totalprice BETWEEN 1000 AND 200000",
+    "exec_inner_join": "SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS n FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY c_mktsegment",
+    "exec_left_join": "SELECT c_custkey, CAST(count(o_orderkey) AS BIGINT) AS n FROM {customer} LEFT JOIN {orders} ON o_custkey = c_custkey GROUP BY c_custkey",
+    "exec_right_join": "SELECT c_custkey, CAST(count(o_orderkey) AS BIGINT) AS n FROM {orders} RIGHT JOIN {customer} ON o_custkey = c_custkey GROUP BY c_custkey",
+    "exec_full_join": "SELECT n_nationkey, s_suppkey FROM {nation} FULL JOIN {supplier} ON n_nationkey = s_suppkey",
+    "exec_cross_join": "SELECT r_name, n_name FROM {region} CROSS JOIN {nation}",
+    "exec_using_join": "SELECT a.r_name AS x, b.r_name AS y FROM {region} a JOIN {region} b USING (r_regionkey)",
+    "exec_natural_join": "SELECT r_regionkey, r_name FROM {region} NATURAL JOIN (SELECT r_regionkey FROM {region}) q",
+    "exec_semi_join": "SELECT c_custkey FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)",
+    "exec_anti_join": "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)",
+    "exec_in_subquery": "SELECT n_name FROM {nation} WHERE n_regionkey IN (SELECT r_regionkey FROM {region} WHERE r_name < 'B')",
+    "exec_scalar_subquery": "SELECT p_partkey FROM {part} WHERE p_retailprice > (SELECT avg(p_retailprice) FROM {part})",
+    "exec_lateral": "SELECT n_name, q.n AS n FROM {nation} CROSS JOIN LATERAL (SELECT CAST(count(*) AS BIGINT) AS n FROM {customer} WHERE c_nationkey = n_nationkey) q",
+    "exec_aggregates": "SELECT l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS n, min(l_tax) AS lo, max(l_tax) AS hi, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS d, bool_and(l_quantity > 0) AS b FROM {lineitem} GROUP BY l_returnflag, l_linestatus",
+    "exec_filter_aggregate": "SELECT o_orderpriority, CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS BIGINT) AS f FROM {orders} GROUP BY o_orderpriority",
+    "exec_statistics": "SELECT p_brand, round(stddev_pop(p_size), 6) AS sd, round(var_samp(p_size), 6) AS vs, median(p_size) AS md FROM {part} GROUP BY p_brand",
+    "exec_having": "SELECT o_custkey, CAST(count(*) AS BIGINT) AS n FROM {orders} GROUP BY o_custkey HAVING count(*) > 12",
+    "exec_rollup": "SELECT o_orderstatus, o_orderpriority, CAST(count(*) AS BIGINT) AS n FROM {orders} GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
+    "exec_cube": "SELECT o_orderstatus, o_orderpriority, CAST(count(*) AS BIGINT) AS n FROM {orders} GROUP BY CUBE (o_orderstatus, o_orderpriority)",
+    "exec_grouping_sets": "SELECT o_orderstatus, o_orderpriority, CAST(count(*) AS BIGINT) AS n FROM {orders} GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())",
+    "exec_string_agg": "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM {nation} GROUP BY n_regionkey",
+    "exec_rank": "SELECT p_partkey, CAST(row_number() OVER w AS BIGINT) AS rn, CAST(rank() OVER v AS BIGINT) AS rk, CAST(dense_rank() OVER v AS BIGINT) AS dr FROM {part} WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey), v AS (PARTITION BY p_brand ORDER BY p_size)",
+    "exec_lead_lag": "SELECT event_id, lag(event_type, 1, 'none') OVER (PARTITION BY user_id ORDER BY event_id) AS before, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS after FROM {events}",
+    "exec_frame": "SELECT o_orderkey, CAST(count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS n FROM {orders}",
+    "exec_qualify": "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM {orders}) q WHERE rn = 1",
+    "exec_top_k": "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
+    "exec_limit_offset": "SELECT c_custkey FROM {customer} ORDER BY c_custkey LIMIT 5 OFFSET 7",
+    "exec_distinct": "SELECT DISTINCT o_orderstatus, o_orderpriority FROM {orders}",
+    "exec_union": "SELECT n_regionkey AS k FROM {nation} UNION SELECT r_regionkey FROM {region}",
+    "exec_union_all": "SELECT n_regionkey AS k FROM {nation} UNION ALL SELECT r_regionkey FROM {region}",
+    "exec_intersect": "SELECT o_custkey AS k FROM {orders} INTERSECT SELECT c_custkey FROM {customer}",
+    "exec_except": "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders}",
+    "exec_cte": "WITH a AS (SELECT o_custkey, sum(o_totalprice) AS t FROM {orders} GROUP BY o_custkey), b AS (SELECT max(t) AS m FROM a) SELECT o_custkey FROM a, b WHERE t = m",
+    "exec_recursive": "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 20) SELECT n FROM r",
+    "exec_case": "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'some' ELSE 'rich' END AS w, CASE c_mktsegment WHEN 'BUILDING' THEN 1 ELSE 0 END AS b FROM {customer}",
+    "exec_strings": "SELECT n_nationkey, upper(n_name) || '-' || lower(n_name) AS a, length(n_name) AS l, substring(n_name, 2, 3) AS s, replace(n_name, 'A', '_') AS r, n_name ILIKE '%an%' AS i FROM {nation}",
+    "exec_nulls": "SELECT n_nationkey, coalesce(nullif(n_regionkey, 1), -1) AS a, n_name IS NULL AS b, n_regionkey IN (1, 2) AS c, n_regionkey NOT BETWEEN 1 AND 2 AS d FROM {nation}",
+    "exec_dates": "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)) AS d, date_trunc('month', o_orderdate) AS t, o_orderdate + INTERVAL '1' DAY AS n FROM {orders}",
+    "exec_casts": "SELECT p_partkey, CAST(p_size AS BIGINT) AS a, CAST(p_size AS VARCHAR(10)) AS b, TRY_CAST(p_name AS INT) AS c FROM {part}",
+    "exec_range_join": "SELECT a.p_partkey AS x, b.p_partkey AS y FROM {part} a JOIN {part} b ON a.p_brand = b.p_brand AND a.p_size < b.p_size AND b.p_size <= a.p_size + 1",
+    "exec_pivot": "SELECT o_orderpriority, CAST(count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS BIGINT) AS f, CAST(count(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS BIGINT) AS o FROM {orders} GROUP BY o_orderpriority",
+}
+#: Where DuckDB writes a construct otherwise.
+DUCK = {"exec_string_agg": "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey"}
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- graphs of the tables -------------------------------------------------------
+
+
+def key_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Foreign keys as edges: region -> nation -> customer -> orders, nation -> supplier."""
+    t = lambda n: read(spark, sf_dir, n)
+
+    def edges(df, a, b, p, q, kind, transform):
+        return df.select(F.concat(F.lit(p), F.col(a).cast("string")).alias("src"), F.concat(F.lit(q), F.col(b).cast("string")).alias("dst"), F.lit(kind).alias("kind"), F.lit(transform).alias("transform"))
+
+    return (
+        edges(t("nation"), "n_regionkey", "n_nationkey", "r", "n", "OUTPUT", "DIRECT")
+        .union(edges(t("customer"), "c_nationkey", "c_custkey", "n", "c", "OUTPUT", "DIRECT"))
+        .union(edges(t("orders"), "o_custkey", "o_orderkey", "c", "o", "JOIN_KEY", "JOIN_KEY"))
+        .union(edges(t("supplier"), "s_nationkey", "s_suppkey", "n", "s", "PREDICATE", "FILTER_PREDICATE"))
+    )
+
+
+KEY_SQL = """SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 'OUTPUT' AS kind, 'DIRECT' AS transform FROM nation
+UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'OUTPUT', 'DIRECT' FROM customer
+UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'JOIN_KEY', 'JOIN_KEY' FROM orders
+UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 'PREDICATE', 'FILTER_PREDICATE' FROM supplier"""
+
+
+def cyclic_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small graph with cycles: the graph is defined by the first orders' lines, all of them."""
+    rows = read(spark, sf_dir, "lineitem").where("l_orderkey <= 20")
+    name = lambda c: F.concat(F.lit("p"), (F.col(c) % 50).cast("string"))
+    return rows.select(name("l_partkey").alias("src"), name("l_suppkey").alias("dst"), F.lit("OUTPUT").alias("kind"), F.lit("DIRECT").alias("transform"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+
+
+CYCLE_SQL = "SELECT 'p' || (l_partkey % 50) AS src, 'p' || (l_suppkey % 50) AS dst, 'OUTPUT' AS kind, 'DIRECT' AS transform, l_orderkey * 10 + l_linenumber AS seq FROM lineitem WHERE l_orderkey <= 20"
+
+
+def _reach(graph_sql: str, start: str, direction: str = "d", depth: int | None = None) -> str:
+    steps = {"d": "SELECT src AS a, dst AS b FROM e", "u": "SELECT dst AS a, src AS b FROM e", "b": "SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e"}[direction]
+    return f"""WITH RECURSIVE e AS ({graph_sql}), s AS (SELECT DISTINCT * FROM ({steps})),
+r AS (SELECT '{start}' AS id, 0 AS d UNION SELECT s.b, r.d + 1 FROM r JOIN s ON s.a = r.id WHERE r.d < {depth if depth is not None else 12})
+SELECT id, min(d)::INTEGER AS distance FROM r GROUP BY id"""
+
+
+def _impact(start: str, direction: str, depth: int | None = None, g=key_graph):
+    return lambda spark, sf_dir: graph.impact(g(spark, sf_dir), start, direction, depth)
+
+
+_CLOSURE = f"""WITH RECURSIVE e AS ({CYCLE_SQL}), s AS (SELECT DISTINCT src, dst FROM e),
+n AS (SELECT src AS id FROM s UNION SELECT dst FROM s), r AS (SELECT src AS a, dst AS b FROM s UNION SELECT r.a, s.dst FROM r JOIN s ON s.src = r.b)"""
+
+
+def impact_truncated(spark, sf_dir):
+    e = key_graph(spark, sf_dir)
+    cut = graph.truncated(e, graph.impact(e, "r1", depth=2), 2)
+    return spark.createDataFrame([("r1", 2, cut)], "id string, depth int, truncated boolean")
+
+
+def collapse_tables(spark, sf_dir):
+    e = key_graph(spark, sf_dir)
+    return graph.collapse(e, graph.nodes(e).where("id LIKE 's%'").select("id"))
+
+
+def ownership_edges(spark, sf_dir):
+    e = read(spark, sf_dir, "nation").select(F.concat(F.lit("region.k"), F.col("n_regionkey").cast("string")).alias("src"), F.concat(F.lit("nation.k"), F.col("n_nationkey").cast("string")).alias("dst"))
+    return graph.ownership(e, spark.createDataFrame([("table:region",), ("table:nation",)], "id string"))
+
+
+# ---- lineage of statements --------------------------------------------------------
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.from_frames({t: read(spark, sf_dir, t) for t in TABLES})
+
+
+def _lineage(sql: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return LineageEngine(spark).lineage(sql).select("kind", "from_id", "to_id", "transform")
+
+    return run
+
+
+def _golden(text: str) -> str:
+    rows = [r.split() for r in text.split(";") if r.strip()]
+    if not rows:
+        return "SELECT '' AS kind, '' AS from_id, '' AS to_id, '' AS transform WHERE false"
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows) + ") v(kind, from_id, to_id, transform)"
+
+
+def _with_catalog(sql: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return LineageEngine(spark).lineage(sql, _tables(spark, sf_dir)).where("kind = 'OUTPUT'").select("from_id", "to_id")
+
+    return run
+
+
+UNKNOWNS = "SELECT x, o.nosuch, q.y, c_name AS n FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey"
+
+
+def lineage_unknowns(spark, sf_dir):
+    facts = LineageEngine(spark).facts(spark.createDataFrame([("-", UNKNOWNS)], "source_file string, sql string"), _tables(spark, sf_dir))
+    return LineageEngine.table(facts, "unknown").select("reason")
+
+
+SCRIPT = "SELECT 1; -- no; statement\n/* a; b */ INSERT INTO t SELECT ';' FROM x;\n;SELECT \"a;b\" FROM y"
+
+
+def statement_split(spark, sf_dir):
+    facts = LineageEngine(spark).facts(spark.createDataFrame([("-", SCRIPT)], "source_file string, sql string"))
+    return LineageEngine.table(facts, "statement").select("statement_index", "statement_kind", "span_start", "span_end")
+
+
+def _said(rows: list[tuple], schema: str):
+    return lambda spark, sf_dir: spark.createDataFrame(rows, schema)
+
+
+def format_sql(spark, sf_dir):
+    return spark.createDataFrame([(rewrite.format_sql("select a,count(*) from t where x in (select y from u) group by a")[0],)], "text string")
+
+
+def convert_sql(spark, sf_dir):
+    cases = [("SELECT `a` FROM `t` LIMIT 5", "mysql", "postgresql"), ("SELECT `a` FROM `t` LIMIT 5", "mysql", "oracle"), ('SELECT "a" FROM t LIMIT 3', "postgresql", "tsql"), ("SELECT a FROM t QUALIFY x > 1", "trino", "mysql")]
+    return spark.createDataFrame([(s, a, b, *rewrite.convert(s, a, b)) for s, a, b in cases], "sql string, source string, target string, converted string, reason string").select("source", "target", F.col("converted").alias("sql"), F.col("reason").isNull().alias("ok"))
+
+
+def validate_sql(spark, sf_dir):
+    schema: dict = {}
+    for t in TABLES:
+        schema[t] = [(f.name, f.dataType.simpleString(), f.nullable) for f in read(spark, sf_dir, t).schema.fields]
+    got = rewrite.validate("SELECT o.nosuch FROM orders o; SELECT 1 FROM missing; SELECT c_name FROM customer", schema)
+    return spark.createDataFrame([(m, s, e) for _, m, s, e in got], "message string, span_start int, span_end int")
+
+
+def ast_diff(spark, sf_dir):
+    return ast.diff(spark.createDataFrame([("1", "SELECT a, b FROM t WHERE x = 1", "SELECT a FROM t WHERE x = 2")], "id string, left string, right string")).select("ordinal", "status", "type", "text")
+
+
+def ast_search(spark, sf_dir):
+    n = ast.nodes(spark.createDataFrame([("-", FLAGSHIP)], "source_file string, sql string"))
+    return ast.search(n, "o_totalprice").select("node_id", "type", "hit")
+
+
+# ---- quality, fingerprints, exports ---------------------------------------------------
+
+
+def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected: foreign keys of the first regions; emitted: those of all suppliers' nations, and one case without expectation."""
+    n = read(spark, sf_dir, "nation")
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    want = n.where("n_regionkey < 3").select(F.concat(F.lit("case"), F.col("n_regionkey").cast("string")).alias("case_id"), name("r", "n_regionkey").alias("from_id"), name("n", "n_nationkey").alias("to_id"), F.lit("OUTPUT").alias("kind"))
+    s = read(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    got = s.where("s_suppkey % 3 > 0").select(F.concat(F.lit("case"), F.col("n_regionkey").cast("string")).alias("case_id"), name("r", "n_regionkey").alias("from_id"), name("n", "n_nationkey").alias("to_id"), F.when(F.col("s_acctbal") > 0, "OUTPUT").otherwise("SOURCE").alias("kind"))
+    return quality.compare(want, got)
+
+
+VERDICT_SQL = """WITH w AS (SELECT DISTINCT 'case' || n_regionkey AS case_id, 'r' || n_regionkey AS from_id, 'n' || n_nationkey AS to_id, 'OUTPUT' AS kind FROM nation WHERE n_regionkey < 3),
+g AS (SELECT DISTINCT 'case' || n_regionkey AS case_id, 'r' || n_regionkey AS from_id, 'n' || n_nationkey AS to_id FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 3 > 0 AND n_regionkey < 3 AND s_acctbal > 0),
+v AS (SELECT case_id, from_id, to_id, 'tp' AS verdict FROM (SELECT case_id, from_id, to_id FROM w INTERSECT SELECT * FROM g) UNION ALL
+  SELECT case_id, from_id, to_id, 'fn' FROM (SELECT case_id, from_id, to_id FROM w EXCEPT SELECT * FROM g) UNION ALL SELECT case_id, from_id, to_id, 'fp' FROM (SELECT * FROM g EXCEPT SELECT case_id, from_id, to_id FROM w))"""
+
+
+def quality_precision_recall(spark, sf_dir):
+    return quality.ratios(_verdicts(spark, sf_dir), "case_id")
+
+
+def quality_gaps(spark, sf_dir):
+    declared = read(spark, sf_dir, "region").where("r_regionkey = 0").select(F.lit("case0").alias("case_id"), F.lit("r0").alias("from_id"))
+    return quality.gaps(_verdicts(spark, sf_dir), declared).select("case_id", "from_id", "to_id")
+
+
+def coverage_pivot(spark, sf_dir):
+    cells = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderpriority").alias("dialect"), F.col("o_orderstatus").alias("engine"), (F.col("o_totalprice") > 100000).alias("ok"))
+    return quality.pivot(cells, ["F", "O"])
+
+
+def unknown_rate(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    return quality.unknown_rate(d.select(F.col("n_chars").alias("n_references")), d.where("lang <> 'en'"))
+
+
+def fingerprints(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    return incremental.fingerprints(d.select(F.col("doc_id").alias("source_file"), F.col("text").alias("sql")), "ctx")
+
+
+def incremental_actions(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    now = c.where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("source_file"), F.col("c_name").alias("fingerprint"))
+    old = c.where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("source_file"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise("old").alias("fingerprint"))
+    return incremental.actions(now, old)
+
+
+def openlineage_fields(spark, sf_dir):
+    e = LineageEngine(spark).lineage(STATEMENTS["lineage_join"][0]).select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), "kind", "transform")
+    return exporters.openlineage_fields(e, spark.createDataFrame([("name",), ("total",)], "id string"))
+
+
+def mermaid_edges(spark, sf_dir):
+    return exporters.mermaid_edges(key_graph(spark, sf_dir).withColumn("seq", F.lit(0))).drop("seq")
+
+
+def graph_merge_dedupe(spark, sf_dir):
+    return graph.merge_edges(cyclic_graph(spark, sf_dir))
+
+
+def in_out_degree(spark, sf_dir):
+    e = key_graph(spark, sf_dir)
+    ends = e.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(e.select("dst", F.lit(0), F.lit(1)))
+    return ends.groupBy("id").agg(F.sum("o").alias("outgoing"), F.sum("i").alias("incoming"))
+
+
+def catalog_search(spark, sf_dir):
+    return catalog.search(_tables(spark, sf_dir), "LINE")
+
+
+def catalog_search_path(spark, sf_dir):
+    c = _tables(spark, sf_dir).withColumn("schema", F.when(F.col("name") == "orders", "shop").otherwise("other")).withColumn("table_id", F.concat_ws(".", "schema", "name"))
+    return catalog.find(c, spark.createDataFrame([("orders",), ("shop.orders",), ("nation",)], "query string"), ("shop",))
+
+
+def _executed(sql: str):
+    names = sorted(set(re.findall(r"\{(\w+)\}", sql)))
+    return lambda spark, sf_dir: spark.sql(sql, **{n: read(spark, sf_dir, n) for n in names})
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of a join over the tables, with their schema at hand."""
+    return LineageEngine(spark).lineage(FLAGSHIP, _tables(spark, sf_dir))
+
+
+_COLUMNS_SQL = f"SELECT table_name, column_name FROM information_schema.columns WHERE table_name IN ({', '.join(repr(t) for t in TABLES)})"
+STAR = "SELECT * FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey"
+BY_SCHEMA = "INSERT INTO region SELECT n.n_nationkey, n.n_name FROM nation n"
+
+
+def queries() -> dict:
+    out = {name: _lineage(sql) for name, (sql, _) in STATEMENTS.items()}
+    out |= {name: _executed(sql) for name, sql in EXECUTED.items()}
+    out |= {
+        "impact_downstream": _impact("r1", "DOWNSTREAM"), "impact_upstream": _impact("o1", "UPSTREAM"), "impact_both": _impact("p1", "BOTH", None, cyclic_graph),
+        "impact_depth2": _impact("r1", "DOWNSTREAM", 2), "impact_unknown_origin": _impact("zz", "DOWNSTREAM"), "impact_truncated": impact_truncated,
+        "shortest_path_lex": lambda s, d: graph.shortest_path(cyclic_graph(s, d), "p12", "p1", "BOTH"),
+        "cycles_scc": lambda s, d: graph.cycles(cyclic_graph(s, d)),
+        "self_loops": lambda s, d: cyclic_graph(s, d).where("src = dst").select("src").distinct(),
+        "strong_components": lambda s, d: graph.components(cyclic_graph(s, d)),
+        "graph_merge_dedupe": graph_merge_dedupe, "in_out_degree": in_out_degree,
+        "edges_by_kind": lambda s, d: key_graph(s, d).groupBy("kind").count().withColumnRenamed("count", "n"),
+        "edge_filter_traverse": lambda s, d: graph.impact(graph.visible(key_graph(s, d)), "r2"),
+        "subgraph_edges": lambda s, d: graph.subgraph(key_graph(s, d), graph.impact(key_graph(s, d), "n3").select("id")),
+        "collapse_tables": collapse_tables, "ownership_edges": ownership_edges,
+        "layout_depth": lambda s, d: graph.layers(key_graph(s, d)),
+        "lineage_star_expand": _with_catalog(STAR), "lineage_insert_by_schema": _with_catalog(BY_SCHEMA), "lineage_unknowns": lineage_unknowns,
+        "catalog_columns": lambda s, d: _tables(s, d).select("table_id", "column_name"), "catalog_search": catalog_search, "catalog_search_path": catalog_search_path,
+        "quality_precision_recall": quality_precision_recall, "quality_gaps": quality_gaps, "coverage_pivot": coverage_pivot, "unknown_rate": unknown_rate,
+        "fingerprints": fingerprints, "incremental_actions": incremental_actions, "openlineage_fields": openlineage_fields, "mermaid_edges": mermaid_edges,
+        "statement_split": statement_split, "format_sql": format_sql, "convert_sql": convert_sql, "validate_sql": validate_sql, "ast_diff": ast_diff, "ast_search": ast_search,
+    }
+    return out
+
+
+def oracle_sql() -> dict[str, str]:
+    out = {name: _golden(rows) for name, (_, rows) in STATEMENTS.items()}
+    out |= {name: DUCK.get(name, re.sub(r"\{(\w+)\}", r"\1", sql)) for name, sql in EXECUTED.items()}
+    undirected = "SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e"
+    out |= {
+        "impact_downstream": _reach(KEY_SQL, "r1"), "impact_upstream": _reach(KEY_SQL, "o1", "u"), "impact_both": _reach(CYCLE_SQL, "p1", "b"),
+        "impact_depth2": _reach(KEY_SQL, "r1", "d", 2), "impact_unknown_origin": _reach(KEY_SQL, "zz"),
+        "impact_truncated": f"WITH r AS ({_reach(KEY_SQL, 'r1', 'd', 3)}) SELECT 'r1' AS id, 2::INTEGER AS depth, count(*) FILTER (distance = 3) > 0 AS truncated FROM r",
+        "shortest_path_lex": f"""WITH RECURSIVE e AS ({CYCLE_SQL}), s AS (SELECT DISTINCT a, b FROM ({undirected})),
+r AS (SELECT 'p12' AS id, ['p12'] AS p UNION SELECT s.b, list_append(r.p, s.b) FROM r JOIN s ON s.a = r.id WHERE NOT list_contains(r.p, s.b) AND len(r.p) < 6),
+h AS (SELECT p FROM r WHERE id = 'p1' ORDER BY len(p), p LIMIT 1) SELECT unnest(range(len(p)))::INTEGER AS step, unnest(p) AS id FROM h""",
+        "cycles_scc": _CLOSURE + """, c AS (SELECT n.id, min(CASE WHEN x.b IS NOT NULL THEN r.b ELSE n.id END) AS m0, n.id AS self FROM n LEFT JOIN r ON r.a = n.id LEFT JOIN r x ON x.a = r.b AND x.b = n.id GROUP BY n.id),
+k AS (SELECT id, least(id, m0) AS component FROM c)
+SELECT component, count(*) AS size, bool_or(EXISTS (SELECT 1 FROM s WHERE s.src = k.id AND s.dst = k.id)) AS self_loop, string_agg(id, ',' ORDER BY id) AS members FROM k GROUP BY component
+HAVING count(*) > 1 OR bool_or(EXISTS (SELECT 1 FROM s WHERE s.src = k.id AND s.dst = k.id))""",
+        "strong_components": _CLOSURE + ", c AS (SELECT n.id, min(CASE WHEN x.b IS NOT NULL THEN r.b ELSE n.id END) AS m0 FROM n LEFT JOIN r ON r.a = n.id LEFT JOIN r x ON x.a = r.b AND x.b = n.id GROUP BY n.id) SELECT id, least(id, m0) AS component FROM c",
+        "self_loops": f"SELECT DISTINCT src FROM ({CYCLE_SQL}) WHERE src = dst",
+        "graph_merge_dedupe": f"SELECT src, dst, kind, transform, min(seq) AS seq FROM ({CYCLE_SQL}) GROUP BY ALL",
+        "in_out_degree": f"SELECT id, sum(o)::BIGINT AS outgoing, sum(i)::BIGINT AS incoming FROM (SELECT src AS id, 1 AS o, 0 AS i FROM ({KEY_SQL}) UNION ALL SELECT dst, 0, 1 FROM ({KEY_SQL})) GROUP BY id",
+        "edges_by_kind": f"SELECT kind, count(*) AS n FROM ({KEY_SQL}) GROUP BY kind",
+        "edge_filter_traverse": _reach(f"SELECT * FROM ({KEY_SQL}) WHERE kind IN ('OUTPUT', 'JOIN_KEY')", "r2"),
+        "subgraph_edges": f"WITH q AS ({_reach(KEY_SQL, 'n3')}) SELECT src, dst, kind, transform FROM ({KEY_SQL}) WHERE src IN (SELECT id FROM q) AND dst IN (SELECT id FROM q)",
+        "collapse_tables": f"SELECT src, dst, kind, transform FROM ({KEY_SQL}) WHERE src NOT LIKE 's%' AND dst NOT LIKE 's%'",
+        "ownership_edges": "SELECT DISTINCT 'own:region.k' || n_regionkey AS id, 'table:region' AS src, 'region.k' || n_regionkey AS dst FROM nation",
+        "layout_depth": f"WITH RECURSIVE e AS ({KEY_SQL}), n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), r AS (SELECT id, 0 AS d FROM n UNION SELECT e.dst, r.d + 1 FROM r JOIN e ON e.src = r.id) SELECT id, max(d)::INTEGER AS depth FROM r GROUP BY id",
+        "lineage_star_expand": f"SELECT table_name || '.' || column_name AS from_id, column_name AS to_id FROM ({_COLUMNS_SQL}) WHERE table_name IN ('nation', 'region')",
+        "lineage_insert_by_schema": "SELECT * FROM (VALUES ('nation.n_nationkey', 'region.r_regionkey'), ('nation.n_name', 'region.r_name')) v(from_id, to_id)",
+        "lineage_unknowns": "SELECT * FROM (VALUES ('column x matches no source'), ('column nosuch is not in table orders'), ('qualifier q matches no source')) v(reason)",
+        "catalog_columns": f"SELECT table_name AS table_id, column_name FROM ({_COLUMNS_SQL})",
+        "catalog_search": f"SELECT DISTINCT table_name AS table_id, table_name AS name FROM ({_COLUMNS_SQL}) WHERE table_name LIKE '%line%'",
+        "catalog_search_path": "SELECT * FROM (VALUES ('orders', 'shop.orders'), ('shop.orders', 'shop.orders'), ('nation', NULL)) v(query, table_id)",
+        "quality_precision_recall": VERDICT_SQL + " SELECT case_id, count(*) FILTER (verdict = 'tp') AS tp, count(*) FILTER (verdict = 'fp') AS fp, count(*) FILTER (verdict = 'fn') AS fn, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall FROM v GROUP BY case_id",
+        "quality_gaps": VERDICT_SQL + " SELECT case_id, from_id, to_id FROM v WHERE verdict = 'fn' AND from_id <> 'r0'",
+        "coverage_pivot": "SELECT o_orderpriority AS dialect, sum((o_totalprice > 100000)::INT) FILTER (o_orderstatus = 'F')::BIGINT AS \"F\", sum((o_totalprice > 100000)::INT) FILTER (o_orderstatus = 'O')::BIGINT AS \"O\" FROM orders GROUP BY 1",
+        "unknown_rate": "SELECT count(*) FILTER (lang <> 'en') AS unknowns, sum(n_chars)::BIGINT AS \"references\", count(*) FILTER (lang <> 'en') / sum(n_chars) AS rate FROM documents",
+        "fingerprints": "SELECT doc_id AS source_file, sha256('ctx' || chr(0) || text) AS fingerprint FROM documents",
+        "incremental_actions": "WITH n AS (SELECT c_custkey AS k, c_name AS f FROM customer WHERE k % 5 <> 0), o AS (SELECT c_custkey AS k, CASE WHEN k % 2 = 0 THEN c_name ELSE 'old' END AS f FROM customer WHERE k % 7 <> 0) SELECT coalesce(n.k, o.k) AS source_file, CASE WHEN n.f IS NULL THEN 'remove' WHEN o.f IS NULL THEN 'add' WHEN n.f = o.f THEN 'reuse' ELSE 'replace' END AS action FROM n FULL JOIN o ON n.k = o.k",
+        "openlineage_fields": "SELECT * FROM (VALUES ('name', 'customer', 'c_name', 'DIRECT', 'IDENTITY'), ('total', 'orders', 'o_totalprice', 'DIRECT', 'AGGREGATION'), ('name', 'orders', 'o_orderstatus', 'INDIRECT', 'FILTER'), ('total', 'orders', 'o_orderstatus', 'INDIRECT', 'FILTER'), ('name', 'customer', 'c_name', 'INDIRECT', 'GROUP_BY'), ('total', 'customer', 'c_name', 'INDIRECT', 'GROUP_BY')) v(output, \"table\", field, type, subtype)",
+        "mermaid_edges": f"SELECT src, dst, string_agg(DISTINCT transform, ', ' ORDER BY transform) AS label FROM ({KEY_SQL}) GROUP BY src, dst",
+        "statement_split": "SELECT * FROM (VALUES (0, 'SELECT', 0, 8), (1, 'INSERT', 38, 69), (2, 'SELECT', 72, 91)) v(statement_index, statement_kind, span_start, span_end)",
+        "format_sql": "SELECT 'select a, count(*)' || chr(10) || 'from t' || chr(10) || 'where x in (' || chr(10) || '  select y' || chr(10) || '  from u' || chr(10) || ')' || chr(10) || 'group by a' AS text",
+        "convert_sql": "SELECT * FROM (VALUES ('mysql', 'postgresql', 'SELECT \"a\" FROM \"t\" LIMIT 5', true), ('mysql', 'oracle', 'SELECT \"a\" FROM \"t\" FETCH FIRST 5 ROWS ONLY', true), ('postgresql', 'tsql', 'SELECT TOP (3) [a] FROM t', true), ('trino', 'mysql', NULL, false)) v(source, target, sql, ok)",
+        "validate_sql": "SELECT * FROM (VALUES ('column nosuch is not in table orders', 7, 15), ('table missing is not found', 45, 52)) v(message, span_start, span_end)",
+    }
+    return out
