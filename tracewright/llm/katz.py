@@ -320,7 +320,7 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     folder = workspace(spark, "katz")
     fs, where = open_fs(folder)
     fs.create_dir(where, recursive=True)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), held_out.alias("held"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-size // BUCKET_BYTES))
     ask1 = rows.mapInArrow(_spooler(folder, buckets), _ASK_SQL)
