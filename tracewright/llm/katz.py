@@ -71,7 +71,7 @@ def discounts(n: list[int], k: int = K) -> np.ndarray:
 def _pack(x: np.ndarray, diff: bool = False) -> bytes:
     if diff and len(x):
         x = np.concatenate((x[:1], np.diff(x)))
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
 def _unpack(raw: bytes, kind: str, diff: bool = False) -> np.ndarray:
