@@ -150,7 +150,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     items = benchmark.where(F.col(item_text).isNotNull()).groupBy(F.col(item_text).alias("text")).agg(F.min(item_id).alias("item_id"))
     table = stage(items.mapInPandas(_item_seeds, f"seed long, at long, item_id {kind}, item binary"), "seeds")
     bits = 1 << 16
-    while bits < min(BLOOM_BITS, 16 * table.count()):
+    wanted = 512 * table.count()
+    while bits < min(BLOOM_BITS, wanted):
         bits <<= 1
     parts = table.select("seed", (F.octet_length("item") / 8).cast("int").alias("length")).repartition(4).mapInPandas(_filler(bits), "bloom binary, lengths long").collect()  # 4 filters of 8 MB at most
     bloom, lengths = np.zeros(bits // 8, np.uint8), 0
