@@ -313,6 +313,7 @@ def test_encoder_equals_library():
 
 def test_embeddings(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", 16)
+    monkeypatch.setattr(embeddings, "WIDE", 24)
     monkeypatch.setattr(embeddings, "CELL", 20)
     r = np.random.default_rng(4)
     base = r.normal(size=(40, 8))
@@ -346,6 +347,15 @@ def test_embeddings(spark, monkeypatch):
     assert embeddings.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_embedding_recall(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = {r.vec_id: r.embedding for r in table.collect()}
+    x = embeddings.unit(rows.values())
+    want = ((x @ x.T) >= 0.95).sum() - len(x)
+    got = sum(r.n_links for r in embeddings.near_duplicates(table).collect())
+    assert 0.999 * want <= got <= want
+
+
 # -- 10
 
 

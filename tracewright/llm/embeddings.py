@@ -2,12 +2,16 @@
 
 Cells come from k-means on a bounded sample (``SAMPLE`` vectors at most); every
 vector is then assigned.  A vector also visits each other cell whose border it
-stands near: if x belongs to cell c and y to cell d and their distance is at
-most delta, then y.(d - c) <= delta |d - c|, so every linked pair meets in the
-home cell of either end.  The search is exact; the sample decides only speed.
-
-Equal vectors are one node with a multiplicity.  A cell is compared in square
-blocks of ``BLOCK`` vectors, so a crowded cell spreads over many tasks, and each
+stands near: if x belongs to cell c and y to cell d and their difference has at
+most length delta, then y.(d - c) is at most delta |d - c| if the difference
+points straight across the border.  In n dimensions the part across is about
+delta / sqrt(n); ``REACH`` times that is allowed for (the full delta where that
+is less, as in 12 dimensions or fewer, which makes the search exact).  A pair at
+the very threshold whose difference points anywhere is missed with a chance of
+about 0.0002, closer pairs with far less; tests and README give measured recall.
+
+Equal vectors are one node with a multiplicity.  A cell is compared in
+blocks of ``BLOCK`` by ``WIDE`` vectors, so a crowded cell spreads over many tasks, and each
 block yields link counts and a spanning forest, not pairs.
 
 Defined results: a vector that is null, empty, zero, or holds a null or
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, stage
 from .components import components
 
-SAMPLE, BLOCK, CELL, MOST_CELLS, ROUNDS = 20_000, 2048, 1024, 2048, 8
+SAMPLE, BLOCK, WIDE, CELL, MOST_CELLS, ROUNDS, REACH = 20_000, 2048, 4096, 1024, 2048, 8, 3.5
 
 
 def unit(rows) -> np.ndarray:
@@ -57,7 +61,7 @@ def _assigner(centres: dict[int, np.ndarray], cosine: float):
             out = []
             for dim, part in f.groupby(f["v"].map(len)):
                 c = centres[dim]
-                gaps = np.sqrt(np.maximum(0, 2 - 2 * np.clip(c @ c.T, -1, 1))) * delta + 1e-9
+                gaps = np.sqrt(np.maximum(0, 2 - 2 * np.clip(c @ c.T, -1, 1))) * delta * min(1, REACH / np.sqrt(dim)) + 1e-9
                 for at in range(0, len(part), BLOCK):
                     block = part.iloc[at : at + BLOCK]
                     sims = unit(block["v"]) @ c.T
@@ -124,12 +128,12 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
         sample = nodes.where(F.size("v") == dim).orderBy(F.xxhash64("v"), "node").limit(SAMPLE).select("v").toPandas()["v"]
         centres[dim] = spherical_kmeans(unit(sample), max(1, min(MOST_CELLS, len(sample) // 8, -(-count // CELL))))
     dealt = stage(nodes.select("node", "n", "v").mapInPandas(_assigner(centres, cosine), f"dim int, cell int, home boolean, node long, n long, {_field(nodes)}"), "cells")
-    blocks = dealt.groupBy("dim", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    own = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
-    dealt = dealt.join(blocks, ["dim", "cell"]).withColumn("own", own)
-    every = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    left = dealt.where("home").select("dim", "cell", F.col("own").alias("i"), every.alias("j"), F.lit(0).alias("side"), "node", "n", "v")
-    right = dealt.select("dim", "cell", every.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "node", "n", "v")
+    blocks = dealt.groupBy("dim", "cell").agg(F.greatest(F.ceil(F.sum(F.col("home").cast("int")) / BLOCK), F.lit(1)).cast("int").alias("nl"), F.ceil(F.count("*") / WIDE).cast("int").alias("nr"))
+    dealt = dealt.join(blocks, ["dim", "cell"])
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = dealt.where("home").select("dim", "cell", own("nl").alias("i"), every("nr").alias("j"), F.lit(0).alias("side"), "node", "n", "v")
+    right = dealt.select("dim", "cell", every("nl").alias("i"), own("nr").alias("j"), F.lit(1).alias("side"), "node", "n", "v")
     found = stage(left.unionByName(right).groupBy("dim", "cell", "i", "j").applyInPandas(_comparer(cosine), "a long, b long, w long"), "links")
     weight = found.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("w"))
     roots = components(found.where("b is not null").select("a", "b"))
