@@ -28,7 +28,6 @@ import re
 import struct
 import uuid
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +37,9 @@ from pyspark.sql.window import Window
 
 from .common import discard, open_fs, small_batches, stage, workspace
 
-SHARD_BYTES, BLOCK_IDS, CACHE, CORES, LONGEST = 16 << 20, 1 << 19, 300_000, 1_000_000, 48
-_CHUNK = re.compile(r"\s*[^ \t\n\r]*\S|\s+")
-_ODD = re.compile("[\x1c-\x1f]")
-#: A line end, a Latin word with its space, and punctuation: a byte-level BPE never joins these three.
-_PARTS = re.compile(r"(\n?)( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?()|%#$*]*)")
+SHARD_BYTES, BLOCK_IDS, CACHE, LONGEST = 16 << 20, 1 << 19, 1_000_000, 48
+#: White space that cutting at spaces does not foresee, or that libraries see differently.
+_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 # ---- the code ---------------------------------------------------------------
 
@@ -95,10 +92,12 @@ def read_blocks(f):
 class Encoder:
     """Texts to little-endian ids with the tokenizers library.
 
-    A byte-level BPE splits a text before each space that follows another
-    character, so such pieces are encoded once each and remembered (``CACHE``
-    short pieces at most), the words in them apart from line ends and punctuation
-    (``CORES`` at most); any other tokenizer encodes whole texts.
+    A byte-level BPE always splits a text before a space that follows another
+    character, between a letter and punctuation, and after a lone line end.
+    Texts are cut there with numpy, equal pieces are found by two 64-bit hashes,
+    and each distinct piece is encoded once and remembered (``CACHE`` short
+    pieces at most).  Texts with rarer white space or an added token's
+    string, and any other kind of tokenizer, are encoded whole.
     """
 
     _made: dict[str, Encoder] = {}
@@ -110,10 +109,10 @@ class Encoder:
         pre = json.loads(self.tokenizer.to_str())
         kind = pre.get("pre_tokenizer") or {}
         self.pieces = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not pre.get("normalizer") and not any(set(t["content"]) & set(" \t\r\n") or t["lstrip"] or t["rstrip"] for t in pre["added_tokens"])
+        self.added = [t["content"] for t in pre["added_tokens"]]
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {"": b""}
+        self.known: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -127,27 +126,86 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.pieces:
             return self._whole(texts)
-        cut = [None if _ODD.search(t) else _CHUNK.findall(t) for t in texts]
-        new = list(set(chain.from_iterable(c for c in cut if c is not None)).difference(self.known))
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list(set(chain.from_iterable(c for c in cut if c is not None)))
-        parts = [m.groups() if (m := _PARTS.fullmatch(c)) else (c,) for c in new]
-        unseen = list(set(chain.from_iterable(parts)).difference(self.cores))
-        if len(self.cores) + len(unseen) > CORES:
-            self.cores = {"": b""}
-            unseen = list(set(chain.from_iterable(parts)) - {""})
-        self.cores.update(zip(unseen, self._whole(unseen)))
-        self.known.update((c, b"".join(map(self.cores.__getitem__, p))) for c, p in zip(new, parts))
-        for piece in unseen:
-            if len(piece) > LONGEST:
-                del self.cores[piece]
-        out = [self._whole([t])[0] if c is None else b"".join(map(self.known.__getitem__, c)) for t, c in zip(texts, cut)]
-        for piece in new:
-            if len(piece) > LONGEST:
-                del self.known[piece]
+        odd = [bool(_ODD.search(t)) or any(x in t for x in self.added) for t in texts]
+        raws = [b"" if o else t.encode("utf-8", "surrogatepass") for o, t in zip(odd, texts)]
+        out = self._cut([r if len(r) < _LONG else b"" for r in raws])
+        for i, (o, r) in enumerate(zip(odd, raws)):
+            if o:
+                out[i] = self._whole([texts[i]])[0]
+            elif len(r) >= _LONG:  # too long for one round: cut at a border
+                out[i] = b"".join(x for p in _slices(r) for x in self._cut([p]))
         return out
 
+    def _cut(self, raws: list[bytes]) -> list[bytes]:
+        buf = b"".join(raws)
+        if not buf:
+            return [b""] * len(raws)
+        at = np.cumsum([0, *map(len, raws)])
+        a = np.frombuffer(buf, np.uint8)
+        space = _SPACE[a]
+        start = space.copy()
+        start[1:] &= ~space[:-1]
+        start[at[:-1][at[:-1] < len(a)]] = True
+        line = start[:-1] & (a[:-1] == 10) & ~space[1:]
+        mark = _MARK[a]
+        start[1:] |= line | (mark[1:] & _LETTER[a[:-1]])
+        two_byte = (a[:-2] >= 0xC3) & (a[:-2] <= 0xC8) & ~((a[:-2] == 0xC3) & ((a[1:-1] == 0x97) | (a[1:-1] == 0xB7)))  # U+00C0 to U+023F without the signs for times and division
+        start[2:] |= mark[2:] & two_byte
+        s = np.flatnonzero(start)
+        e = np.append(s[1:], len(a))
+        one, two = (_hashes(a, s, e, k) for k in (0, 1))
+        _, first, of = np.unique(one, return_index=True, return_inverse=True)
+        if (two != two[first][of]).any():  # two pieces share a hash
+            return self._whole([r.decode("utf-8", "surrogatepass") for r in raws])
+        pieces = [buf[x:y] for x, y in zip(s[first].tolist(), e[first].tolist())]
+        if len(self.known) > CACHE:
+            self.known.clear()
+        new = [p for p in pieces if p not in self.known]
+        self.known.update(zip(new, self._whole([p.decode("utf-8", "surrogatepass") for p in new])))
+        coded = list(map(self.known.__getitem__, pieces))
+        for p in new:
+            if len(p) > LONGEST:
+                del self.known[p]
+        n = np.fromiter(map(len, coded), np.int64, len(coded)) // self.kind.itemsize
+        begin, many = (np.cumsum(n) - n)[of], n[of]
+        ends = np.cumsum(many)
+        flat = np.frombuffer(b"".join(coded), self.kind)[np.repeat(begin - ends + many, many) + np.arange(ends[-1])].tobytes()
+        cuts = (np.append(0, ends)[np.searchsorted(s, at)] * self.kind.itemsize).tolist()
+        return [flat[x:y] for x, y in zip(cuts, cuts[1:])]
+
+
+_SPACE = np.isin(np.arange(256), [9, 10, 13, 32])
+_LETTER = np.array([c < 128 and chr(c).isalpha() for c in range(256)])
+_MARK = np.array([chr(c) in ".,;:!?()|%#$*" for c in range(256)])
+_LONG = 1 << 21
+_POWERS: list[np.ndarray] = []
+
+
+def _slices(raw: bytes):
+    """A long text in parts that end before a space after another character."""
+    border = re.compile(rb"(?<=[^ \t\n\r])(?=[ \t\n\r])")
+    at = 0
+    while at < len(raw):
+        m = border.search(raw, at + _LONG // 2)
+        end = m.start() if m else len(raw)
+        yield raw[at:end]
+        at = end
+
+
+def _hashes(a: np.ndarray, s: np.ndarray, e: np.ndarray, which: int) -> np.ndarray:
+    """Polynomial hashes, modulo 2^64, of the byte ranges; two independent kinds."""
+    if not _POWERS or len(_POWERS[0]) < len(a):
+        size = max(len(a), 1 << 21)
+        _POWERS.clear()
+        for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+            for x in (base, pow(base, -1, 1 << 64)):
+                _POWERS.append(np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)))))
+        rng = np.random.default_rng(11)
+        _POWERS.append(rng.integers(1, 2**63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1))
+    total = np.zeros(len(a) + 1, np.uint64)
+    np.cumsum(_POWERS[4][which][a] * _POWERS[2 * which][: len(a)], out=total[1:])
+    return (total[e] - total[s]) * _POWERS[2 * which + 1][s]
+
 
 # ---- the steps ------------------------------------------------------------------
 
@@ -165,11 +223,11 @@ def _spooler(folder: str, path: str, end_id: int):
         with fs.open_output_stream(f"{where}/{name}") as f:
             for b in batches:
                 ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-                for at in range(0, len(ids), 256):
-                    coded = [x + end for x in enc.encode([t or "" for t in texts[at : at + 256]])]
+                for at in range(0, len(ids), 512):
+                    coded = [x + end for x in enc.encode([t or "" for t in texts[at : at + 512]])]
                     flat = np.frombuffer(b"".join(coded), enc.kind)
                     counts += np.bincount(flat, minlength=enc.vocabulary)
-                    part = ids[at : at + 256]
+                    part = ids[at : at + 512]
                     body = squeeze.compress(np.array([i is None for i in part], np.uint8).tobytes() + np.array([i or 0 for i in part], "<i8").tobytes() + np.array([len(x) // enc.kind.itemsize for x in coded], "<u4").tobytes() + flat.tobytes())
                     f.write(struct.pack("<II", len(part), len(body)) + body)
                     docs, total = docs + len(part), total + len(flat)
