@@ -26,10 +26,13 @@ from __future__ import annotations
 import json
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,6 +115,7 @@ class Encoder:
         self.added = [t["content"] for t in pre["added_tokens"]]
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.known: dict[bytes, bytes] = {}
 
     @classmethod
@@ -121,7 +125,11 @@ class Encoder:
         return cls._made[path]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        made = [array(self.code, e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for x in made:
+                x.byteswap()
+        return [x.tobytes() for x in made]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.pieces:
@@ -154,15 +162,21 @@ class Encoder:
         s = np.flatnonzero(start)
         e = np.append(s[1:], len(a))
         one, two = (_hashes(a, s, e, k) for k in (0, 1))
-        _, first, of = np.unique(one, return_index=True, return_inverse=True)
+        of, values = pd.factorize(one)
+        first = np.empty(len(values), np.int64)
+        first[of[::-1]] = np.arange(len(of) - 1, -1, -1)
         if (two != two[first][of]).any():  # two pieces share a hash
             return self._whole([r.decode("utf-8", "surrogatepass") for r in raws])
         pieces = [buf[x:y] for x, y in zip(s[first].tolist(), e[first].tolist())]
         if len(self.known) > CACHE:
             self.known.clear()
-        new = [p for p in pieces if p not in self.known]
-        self.known.update(zip(new, self._whole([p.decode("utf-8", "surrogatepass") for p in new])))
-        coded = list(map(self.known.__getitem__, pieces))
+        coded = list(map(self.known.get, pieces))
+        missing = [i for i, c in enumerate(coded) if c is None]
+        new = [pieces[i] for i in missing]
+        found = self._whole([p.decode("utf-8", "surrogatepass") for p in new])
+        self.known.update(zip(new, found))
+        for i, c in zip(missing, found):
+            coded[i] = c
         for p in new:
             if len(p) > LONGEST:
                 del self.known[p]
