@@ -40,7 +40,7 @@ from pyspark.sql.window import Window
 
 from .common import discard, open_fs, small_batches, stage, workspace
 
-SHARD_BYTES, BLOCK_IDS, CACHE, LONGEST = 16 << 20, 1 << 19, 1_000_000, 48
+SHARD_BYTES, BLOCK_IDS, CACHE, LONGEST = 16 << 20, 1 << 19, 350_000, 48
 #: White space that cutting at spaces does not foresee, or that libraries see differently.
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -98,8 +98,8 @@ class Encoder:
     A byte-level BPE always splits a text before a space that follows another
     character, between a letter and punctuation, and after a lone line end.
     Texts are cut there with numpy, equal pieces are found by two 64-bit hashes,
-    and each distinct piece is encoded once and remembered (``CACHE`` short
-    pieces at most).  Texts with rarer white space or an added token's
+    and each distinct piece is encoded once and remembered (twice ``CACHE``
+    short pieces at most, the least used half leaving first).  Texts with rarer white space or an added token's
     string, and any other kind of tokenizer, are encoded whole.
     """
 
@@ -117,6 +117,7 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -125,18 +126,28 @@ class Encoder:
         return cls._made[path]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        made = [array(self.code, e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        if sys.byteorder == "big":
-            for x in made:
-                x.byteswap()
-        return [x.tobytes() for x in made]
+        out: list[bytes] = []
+        for at in range(0, len(texts), 2048):  # the library's result objects are large
+            made = [array(self.code, e.ids) for e in self.tokenizer.encode_batch_fast(texts[at : at + 2048], add_special_tokens=False)]
+            if sys.byteorder == "big":
+                for x in made:
+                    x.byteswap()
+            out += [x.tobytes() for x in made]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.pieces:
             return self._whole(texts)
         odd = [bool(_ODD.search(t)) or any(x in t for x in self.added) for t in texts]
         raws = [b"" if o else t.encode("utf-8", "surrogatepass") for o, t in zip(odd, texts)]
-        out = self._cut([r if len(r) < _LONG else b"" for r in raws])
+        out, part, size = [], [], 0
+        for r in raws:  # rounds of about _LONG bytes
+            part.append(r if len(r) < _LONG else b"")
+            size += len(part[-1])
+            if size >= _LONG // 2:
+                out += self._cut(part)
+                part, size = [], 0
+        out += self._cut(part)
         for i, (o, r) in enumerate(zip(odd, raws)):
             if o:
                 out[i] = self._whole([texts[i]])[0]
@@ -169,9 +180,13 @@ class Encoder:
             return self._whole([r.decode("utf-8", "surrogatepass") for r in raws])
         pieces = [buf[x:y] for x, y in zip(s[first].tolist(), e[first].tolist())]
         if len(self.known) > CACHE:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         coded = list(map(self.known.get, pieces))
         missing = [i for i, c in enumerate(coded) if c is None]
+        for i in missing:
+            if (c := self.older.get(pieces[i])) is not None:
+                coded[i] = self.known[pieces[i]] = c
+        missing = [i for i in missing if coded[i] is None]
         new = [pieces[i] for i in missing]
         found = self._whole([p.decode("utf-8", "surrogatepass") for p in new])
         self.known.update(zip(new, found))
@@ -191,7 +206,7 @@ class Encoder:
 _SPACE = np.isin(np.arange(256), [9, 10, 13, 32])
 _LETTER = np.array([c < 128 and chr(c).isalpha() for c in range(256)])
 _MARK = np.array([chr(c) in ".,;:!?()|%#$*" for c in range(256)])
-_LONG = 1 << 21
+_LONG = 1 << 20
 _POWERS: list[np.ndarray] = []
 
 
@@ -209,7 +224,7 @@ def _slices(raw: bytes):
 def _hashes(a: np.ndarray, s: np.ndarray, e: np.ndarray, which: int) -> np.ndarray:
     """Polynomial hashes, modulo 2^64, of the byte ranges; two independent kinds."""
     if not _POWERS or len(_POWERS[0]) < len(a):
-        size = max(len(a), 1 << 21)
+        size = max(len(a), 1 << 20)
         _POWERS.clear()
         for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
             for x in (base, pow(base, -1, 1 << 64)):
@@ -237,11 +252,11 @@ def _spooler(folder: str, path: str, end_id: int):
         with fs.open_output_stream(f"{where}/{name}") as f:
             for b in batches:
                 ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-                for at in range(0, len(ids), 512):
-                    coded = [x + end for x in enc.encode([t or "" for t in texts[at : at + 512]])]
+                for at in range(0, len(ids), 256):
+                    coded = [x + end for x in enc.encode([t or "" for t in texts[at : at + 256]])]
                     flat = np.frombuffer(b"".join(coded), enc.kind)
                     counts += np.bincount(flat, minlength=enc.vocabulary)
-                    part = ids[at : at + 512]
+                    part = ids[at : at + 256]
                     body = squeeze.compress(np.array([i is None for i in part], np.uint8).tobytes() + np.array([i or 0 for i in part], "<i8").tobytes() + np.array([len(x) // enc.kind.itemsize for x in coded], "<u4").tobytes() + flat.tobytes())
                     f.write(struct.pack("<II", len(part), len(body)) + body)
                     docs, total = docs + len(part), total + len(flat)
