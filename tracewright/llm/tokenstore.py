@@ -40,7 +40,7 @@ from pyspark.sql.window import Window
 
 from .common import discard, open_fs, small_batches, stage, workspace
 
-SHARD_BYTES, BLOCK_IDS, CACHE, LONGEST = 16 << 20, 1 << 19, 350_000, 48
+SHARD_BYTES, BLOCK_IDS, CACHE, LONGEST = 16 << 20, 1 << 19, 600_000, 48
 #: White space that cutting at spaces does not foresee, or that libraries see differently.
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -206,7 +206,7 @@ class Encoder:
 _SPACE = np.isin(np.arange(256), [9, 10, 13, 32])
 _LETTER = np.array([c < 128 and chr(c).isalpha() for c in range(256)])
 _MARK = np.array([chr(c) in ".,;:!?()|%#$*" for c in range(256)])
-_LONG = 1 << 20
+_LONG = 1 << 21
 _POWERS: list[np.ndarray] = []
 
 
@@ -224,7 +224,7 @@ def _slices(raw: bytes):
 def _hashes(a: np.ndarray, s: np.ndarray, e: np.ndarray, which: int) -> np.ndarray:
     """Polynomial hashes, modulo 2^64, of the byte ranges; two independent kinds."""
     if not _POWERS or len(_POWERS[0]) < len(a):
-        size = max(len(a), 1 << 20)
+        size = max(len(a), 1 << 21)
         _POWERS.clear()
         for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
             for x in (base, pow(base, -1, 1 << 64)):
@@ -252,11 +252,11 @@ def _spooler(folder: str, path: str, end_id: int):
         with fs.open_output_stream(f"{where}/{name}") as f:
             for b in batches:
                 ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-                for at in range(0, len(ids), 256):
-                    coded = [x + end for x in enc.encode([t or "" for t in texts[at : at + 256]])]
+                for at in range(0, len(ids), 512):
+                    coded = [x + end for x in enc.encode([t or "" for t in texts[at : at + 512]])]
                     flat = np.frombuffer(b"".join(coded), enc.kind)
                     counts += np.bincount(flat, minlength=enc.vocabulary)
-                    part = ids[at : at + 256]
+                    part = ids[at : at + 512]
                     body = squeeze.compress(np.array([i is None for i in part], np.uint8).tobytes() + np.array([i or 0 for i in part], "<i8").tobytes() + np.array([len(x) // enc.kind.itemsize for x in coded], "<u4").tobytes() + flat.tobytes())
                     f.write(struct.pack("<II", len(part), len(body)) + body)
                     docs, total = docs + len(part), total + len(flat)
