@@ -40,7 +40,7 @@ from pyspark.sql.window import Window
 
 from .common import discard, open_fs, small_batches, stage, workspace
 
-SHARD_BYTES, BLOCK_IDS, CACHE, LONGEST = 16 << 20, 1 << 19, 600_000, 48
+SHARD_BYTES, BLOCK_IDS, CACHE, LONGEST = 16 << 20, 1 << 19, 700_000, 48
 #: White space that cutting at spaces does not foresee, or that libraries see differently.
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -244,7 +244,7 @@ def _spooler(folder: str, path: str, end_id: int):
         import zstandard
         from pyspark import TaskContext
 
-        enc, squeeze = Encoder.of(path), zstandard.ZstdCompressor(1)
+        enc, squeeze = Encoder.of(path), zstandard.ZstdCompressor(-3)
         end = np.array([end_id], enc.kind).tobytes()
         counts, docs, total = np.zeros(enc.vocabulary, np.int64), 0, 0
         fs, where = open_fs(folder)
