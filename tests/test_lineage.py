@@ -78,6 +78,32 @@ def test_dialect_forms_parse(sql):
     assert parse(sql)
 
 
+def test_insert_into_several_targets():
+    hive = "FROM orders o INSERT INTO TABLE a (k) SELECT o.x WHERE o.s = 1 INSERT INTO TABLE b (c) SELECT o.y"
+    assert edges(hive) == [("orders.x", "a.k"), ("orders.y", "b.c")]
+    assert edges(hive, None, ("PREDICATE",)) == [("orders.s", "a.k")]
+    assert [(i, b["target_id"]) for i, w, _, b in analyse(hive + "; SELECT 1 AS n") if w == "statement"] == [(0, "a"), (1, "b"), (2, None)]
+    several = "INSERT {} WHEN p > 9 THEN INTO a (k) VALUES (k) ELSE INTO b (k) VALUES (k + 1) SELECT x AS k, y AS p FROM t"
+    assert ("k", "a.k") in edges(several.format("ALL")) and ("t.x", "k") in edges(several.format("ALL"))
+    assert edges(several.format("FIRST"), None, ("PREDICATE",)) == [("p", "a.k"), ("p", "b.k")]
+    assert {"a", "b", "t"} <= set(table_names(several.format("ALL")))
+    assert any("table b" in m for _, m, _, _ in validate(hive, {"orders": [("x", "int", None), ("y", "int", None), ("s", "int", None)], "a": [("k", "int", None)]}))
+
+
+@pytest.mark.parametrize("sql,want", [
+    ("SELECT TRIM(BOTH a FROM b) AS x FROM t", ["a", "b"]), ("SELECT POSITION(a IN b) AS x FROM t", ["a", "b"]), ("SELECT f(n => a) AS x FROM t", ["a"]),
+    ("SELECT a << b AS x FROM t", ["a", "b"]), ("SELECT a @> b AS x FROM t", ["a", "b"]), ("SELECT a // b ** c AS x FROM t", ["a", "b", "c"]), ("SELECT N'p' || x'ff' || E'q' || a AS x FROM t", ["a"]),
+    ("SELECT a AS x FROM t TIMESTAMP AS OF '2024-01-01' WHERE b SIMILAR TO 'z' AND c BETWEEN SYMMETRIC 2 AND 1", ["a"])])
+def test_operators_and_literals(sql, want):
+    assert edges(sql) == [(f"t.{c}", "x") for c in want] and reasons(sql) == []
+
+
+def test_output_of_changed_rows_has_no_lineage():
+    assert edges("UPDATE t SET a = u.x OUTPUT inserted.a FROM u WHERE u.k = 1") == [("u.x", "t.a")]
+    assert edges("INSERT INTO t (a) OUTPUT inserted.a INTO @log SELECT b FROM u") == [("u.b", "t.a")]
+    assert edges("DELETE FROM t OUTPUT deleted.a WHERE b = 1") == []
+
+
 def test_errors_carry_spans():
     with pytest.raises(SqlError) as e:
         parse("SELECT a FROM t WHERE")

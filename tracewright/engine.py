@@ -44,27 +44,31 @@ def analyse(sql: str, schema: dict | None = None, tolerant: bool = True, source_
     chunks = split_statements(sql)
     if not chunks:
         bad(0, "tokens.empty_input", "no statement", 0, len(sql))
-    for i, (start, end, text) in enumerate(chunks):
+    i = -1
+    for start, end, text in chunks:
         try:
-            st = parse(text, start)
+            parsed = parse(text, start)
         except SqlError as e:
+            i += 1
             bad(i, "tokens.parse_error", str(e), e.start, e.end)
             if not tolerant:
                 return [x for x in out if x[1] == "diagnostic"]
             continue
-        out.append((i, "statement", 0, {"statement_kind": st.kind, "target_id": fold(st.target) or None, "span_start": start, "span_end": end, "n_references": count_references(st), "text": text}))
-        seen: set[str] = set()
-        for t in st.tables:
-            if fold(t.name) not in seen:
-                seen.add(fold(t.name))
-                out.append((i, "table", len(seen) - 1, {"table_id": fold(t.name), "name": t.name, "alias": t.alias or None, "span_start": t.start, "span_end": t.end}))
-        for text_, s, e in st.warnings:
-            bad(i, "tokens.semantic_partial", text_, s, e, "WARNING")
-        if st.kind in SKIPPED:
-            continue
-        m = Model(st, text, schema, start, source_edges)
-        for what, rows in (("edge", m.edges), ("column", m.columns()), ("scope", m.scopes()), ("unknown", [dict(zip(("reason", "span_start", "span_end"), u)) for u in m.unknowns])):
-            out += [(i, what, k, r) for k, r in enumerate(rows)]
+        for st in (parsed, *parsed.more):
+            i += 1
+            out.append((i, "statement", 0, {"statement_kind": st.kind, "target_id": fold(st.target) or None, "span_start": start, "span_end": end, "n_references": count_references(st), "text": text}))
+            seen: set[str] = set()
+            for t in st.tables:
+                if fold(t.name) not in seen:
+                    seen.add(fold(t.name))
+                    out.append((i, "table", len(seen) - 1, {"table_id": fold(t.name), "name": t.name, "alias": t.alias or None, "span_start": t.start, "span_end": t.end}))
+            for text_, s, e in st.warnings:
+                bad(i, "tokens.semantic_partial", text_, s, e, "WARNING")
+            if st.kind in SKIPPED:
+                continue
+            m = Model(st, text, schema, start, source_edges)
+            for what, rows in (("edge", m.edges), ("column", m.columns()), ("scope", m.scopes()), ("unknown", [dict(zip(("reason", "span_start", "span_end"), u)) for u in m.unknowns])):
+                out += [(i, what, k, r) for k, r in enumerate(rows)]
     return out
 
 
@@ -76,8 +80,9 @@ def table_names(sql: str) -> list[str]:
             st = parse(text, start)
         except SqlError:
             continue
-        names |= {fold(t.name) for t in st.tables} | ({fold(st.target)} if st.target else set())
-        stack = [st.query] if st.query else []
+        every = [st, *st.more]
+        names |= {fold(t.name) for x in every for t in x.tables} | {fold(x.target) for x in every if x.target}
+        stack = [x.query for x in every if x.query]
         while stack:
             q = stack.pop()
             stack += [*q.branches, *(b for _, _, b in q.ctes)]

@@ -14,11 +14,11 @@ _LEX = re.compile(
       |(?P<line>--[^\n]*)
       |(?P<block>/\*)
       |(?P<dollar>\$(?P<tag>[A-Za-z_]\w*|)\$.*?\$(?P=tag)\$)
-      |(?P<string>'(?:[^'\\]|''|\\.)*(?:'|\Z))
+      |(?P<string>(?:[NnEeBbXxRr]|[Uu]&)?'(?:[^'\\]|''|\\.)*(?:'|\Z))
       |(?P<quoted>"(?:[^"]|"")*(?:"|\Z)|`(?:[^`]|``)*(?:`|\Z)|\[(?=[A-Za-z_][^\]]*\])(?:[^\]]|\]\])*\])
       |(?P<number>(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)
       |(?P<name>[^\W\d][\w$\#]*|[@\#]+\w+)
-      |(?P<op>->>|->|::|\|\||<=>|<>|!=|<=|>=|\(\+\)|[^\s])""",
+      |(?P<op>->>|->|\#>>|\#>|@>|<@|\?\||\?&|!~\*|!~|~\*|//|\*\*|:=|=>|::|\|\||<=>|<>|!=|<=|>=|\(\+\)|[^\s])""",
     re.X | re.S,
 )
 _NEST = re.compile(r"/\*|\*/")

@@ -80,12 +80,16 @@ def nodes(scripts: DataFrame) -> DataFrame:
         for f in frames:
             rows = []
             for src, sql in zip(f["source_file"], f["sql"]):
-                for i, (start, _, text) in enumerate(split_statements(sql or "")):
+                i = -1
+                for start, _, text in split_statements(sql or ""):
                     try:
                         st = parse(text, start)
                     except SqlError:
+                        i += 1
                         continue
-                    rows += [(src, i, *n) for n in tree(st, text, start)]
+                    for x in (st, *st.more):
+                        i += 1
+                        rows += [(src, i, *n) for n in tree(x, text, start)]
             yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in NODES.split(", ")]).astype({"parent_id": "Int32"})
 
     return scripts.select("source_file", "sql").mapInPandas(run, NODES)
