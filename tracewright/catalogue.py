@@ -136,13 +136,12 @@ UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 'PREDICATE', 'FILTER_PRED
 
 
 def cyclic_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small graph with cycles: the graph is defined by the first orders' lines, all of them."""
-    rows = read(spark, sf_dir, "lineitem").where("l_orderkey <= 20")
-    name = lambda c: F.concat(F.lit("p"), (F.col(c) % 50).cast("string"))
-    return rows.select(name("l_partkey").alias("src"), name("l_suppkey").alias("dst"), F.lit("OUTPUT").alias("kind"), F.lit("DIRECT").alias("transform"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    """A graph with cycles, self-loops and many parallel edges: part key to supplier key of every line, in one name space."""
+    name = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))
+    return read(spark, sf_dir, "lineitem").select(name("l_partkey").alias("src"), name("l_suppkey").alias("dst"), F.lit("OUTPUT").alias("kind"), F.lit("DIRECT").alias("transform"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
 
 
-CYCLE_SQL = "SELECT 'p' || (l_partkey % 50) AS src, 'p' || (l_suppkey % 50) AS dst, 'OUTPUT' AS kind, 'DIRECT' AS transform, l_orderkey * 10 + l_linenumber AS seq FROM lineitem WHERE l_orderkey <= 20"
+CYCLE_SQL = "SELECT 'p' || l_partkey AS src, 'p' || l_suppkey AS dst, 'OUTPUT' AS kind, 'DIRECT' AS transform, l_orderkey * 10 + l_linenumber AS seq FROM lineitem"
 
 
 def _reach(graph_sql: str, start: str, direction: str = "d", depth: int | None = None) -> str:
@@ -254,17 +253,18 @@ def ast_search(spark, sf_dir):
 
 
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected: foreign keys of the first regions; emitted: those of all suppliers' nations, and one case without expectation."""
+    """Expected: each nation's region; emitted: the regions of rich suppliers' nations, and a wrong nation for each poor supplier."""
     n = read(spark, sf_dir, "nation")
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    want = n.where("n_regionkey < 3").select(F.concat(F.lit("case"), F.col("n_regionkey").cast("string")).alias("case_id"), name("r", "n_regionkey").alias("from_id"), name("n", "n_nationkey").alias("to_id"), F.lit("OUTPUT").alias("kind"))
+    want = n.select(F.concat(F.lit("case"), F.col("n_regionkey").cast("string")).alias("case_id"), name("r", "n_regionkey").alias("from_id"), name("n", "n_nationkey").alias("to_id"), F.lit("OUTPUT").alias("kind"))
     s = read(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
-    got = s.where("s_suppkey % 3 > 0").select(F.concat(F.lit("case"), F.col("n_regionkey").cast("string")).alias("case_id"), name("r", "n_regionkey").alias("from_id"), name("n", "n_nationkey").alias("to_id"), F.when(F.col("s_acctbal") > 0, "OUTPUT").otherwise("SOURCE").alias("kind"))
+    edge = lambda df, to, kind: df.select(F.concat(F.lit("case"), F.col("n_regionkey").cast("string")).alias("case_id"), name("r", "n_regionkey").alias("from_id"), name("n", to).alias("to_id"), F.lit(kind).alias("kind"))
+    got = edge(s.where("s_acctbal > 5000"), "n_nationkey", "OUTPUT").union(edge(s.where("s_acctbal < 2000").withColumn("wrong", F.col("n_regionkey") + 1), "wrong", "OUTPUT")).union(edge(s, "n_nationkey", "SOURCE"))
     return quality.compare(want, got)
 
 
-VERDICT_SQL = """WITH w AS (SELECT DISTINCT 'case' || n_regionkey AS case_id, 'r' || n_regionkey AS from_id, 'n' || n_nationkey AS to_id, 'OUTPUT' AS kind FROM nation WHERE n_regionkey < 3),
-g AS (SELECT DISTINCT 'case' || n_regionkey AS case_id, 'r' || n_regionkey AS from_id, 'n' || n_nationkey AS to_id FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 3 > 0 AND n_regionkey < 3 AND s_acctbal > 0),
+VERDICT_SQL = """WITH w AS (SELECT DISTINCT 'case' || n_regionkey AS case_id, 'r' || n_regionkey AS from_id, 'n' || n_nationkey AS to_id, 'OUTPUT' AS kind FROM nation),
+g AS (SELECT DISTINCT 'case' || n_regionkey AS case_id, 'r' || n_regionkey AS from_id, 'n' || CASE WHEN s_acctbal < 2000 THEN n_regionkey + 1 ELSE n_nationkey END AS to_id FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 5000 OR s_acctbal < 2000),
 v AS (SELECT case_id, from_id, to_id, 'tp' AS verdict FROM (SELECT case_id, from_id, to_id FROM w INTERSECT SELECT * FROM g) UNION ALL
   SELECT case_id, from_id, to_id, 'fn' FROM (SELECT case_id, from_id, to_id FROM w EXCEPT SELECT * FROM g) UNION ALL SELECT case_id, from_id, to_id, 'fp' FROM (SELECT * FROM g EXCEPT SELECT case_id, from_id, to_id FROM w))"""
 
@@ -274,7 +274,8 @@ def quality_precision_recall(spark, sf_dir):
 
 
 def quality_gaps(spark, sf_dir):
-    declared = read(spark, sf_dir, "region").where("r_regionkey = 0").select(F.lit("case0").alias("case_id"), F.lit("r0").alias("from_id"))
+    key = F.col("r_regionkey").cast("string")
+    declared = read(spark, sf_dir, "region").where("r_name = 'ASIA'").select(F.concat(F.lit("case"), key).alias("case_id"), F.concat(F.lit("r"), key).alias("from_id"))
     return quality.gaps(_verdicts(spark, sf_dir), declared).select("case_id", "from_id", "to_id")
 
 
@@ -295,8 +296,8 @@ def fingerprints(spark, sf_dir):
 
 def incremental_actions(spark, sf_dir):
     c = read(spark, sf_dir, "customer")
-    now = c.where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("source_file"), F.col("c_name").alias("fingerprint"))
-    old = c.where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("source_file"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise("old").alias("fingerprint"))
+    now = c.where("c_acctbal > 1000").select(F.col("c_custkey").alias("source_file"), F.col("c_name").alias("fingerprint"))
+    old = c.where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("source_file"), F.when(F.col("c_acctbal") > 5000, F.col("c_name")).otherwise("old").alias("fingerprint"))
     return incremental.actions(now, old)
 
 
@@ -349,7 +350,7 @@ def queries() -> dict:
     out |= {
         "impact_downstream": _impact("r1", "DOWNSTREAM"), "impact_upstream": _impact("o1", "UPSTREAM"), "impact_both": _impact("p1", "BOTH", None, cyclic_graph),
         "impact_depth2": _impact("r1", "DOWNSTREAM", 2), "impact_unknown_origin": _impact("zz", "DOWNSTREAM"), "impact_truncated": impact_truncated,
-        "shortest_path_lex": lambda s, d: graph.shortest_path(cyclic_graph(s, d), "p12", "p1", "BOTH"),
+        "shortest_path_lex": lambda s, d: graph.shortest_path(cyclic_graph(s, d), "p150", "p160", "BOTH"),
         "cycles_scc": lambda s, d: graph.cycles(cyclic_graph(s, d)),
         "self_loops": lambda s, d: cyclic_graph(s, d).where("src = dst").select("src").distinct(),
         "strong_components": lambda s, d: graph.components(cyclic_graph(s, d)),
@@ -376,9 +377,10 @@ def oracle_sql() -> dict[str, str]:
         "impact_downstream": _reach(KEY_SQL, "r1"), "impact_upstream": _reach(KEY_SQL, "o1", "u"), "impact_both": _reach(CYCLE_SQL, "p1", "b"),
         "impact_depth2": _reach(KEY_SQL, "r1", "d", 2), "impact_unknown_origin": _reach(KEY_SQL, "zz"),
         "impact_truncated": f"WITH r AS ({_reach(KEY_SQL, 'r1', 'd', 3)}) SELECT 'r1' AS id, 2::INTEGER AS depth, count(*) FILTER (distance = 3) > 0 AS truncated FROM r",
-        "shortest_path_lex": f"""WITH RECURSIVE e AS ({CYCLE_SQL}), s AS (SELECT DISTINCT a, b FROM ({undirected})),
-r AS (SELECT 'p12' AS id, ['p12'] AS p UNION SELECT s.b, list_append(r.p, s.b) FROM r JOIN s ON s.a = r.id WHERE NOT list_contains(r.p, s.b) AND len(r.p) < 6),
-h AS (SELECT p FROM r WHERE id = 'p1' ORDER BY len(p), p LIMIT 1) SELECT unnest(range(len(p)))::INTEGER AS step, unnest(p) AS id FROM h""",
+        "shortest_path_lex": f"""WITH RECURSIVE e AS ({CYCLE_SQL}), s AS MATERIALIZED (SELECT DISTINCT a, b FROM ({undirected})), far AS MATERIALIZED ({_reach(CYCLE_SQL, "p160", "b")}),
+r AS (SELECT 0 AS step, 'p150' AS id, (SELECT distance FROM far WHERE id = 'p150') AS rest
+  UNION ALL SELECT r.step + 1, (SELECT min(s.b) FROM s JOIN far ON far.id = s.b WHERE s.a = r.id AND far.distance = r.rest - 1), r.rest - 1 FROM r WHERE r.rest > 0)
+SELECT step, id FROM r WHERE rest IS NOT NULL""",
         "cycles_scc": _CLOSURE + """, c AS (SELECT n.id, min(CASE WHEN x.b IS NOT NULL THEN r.b ELSE n.id END) AS m0, n.id AS self FROM n LEFT JOIN r ON r.a = n.id LEFT JOIN r x ON x.a = r.b AND x.b = n.id GROUP BY n.id),
 k AS (SELECT id, least(id, m0) AS component FROM c)
 SELECT component, count(*) AS size, bool_or(EXISTS (SELECT 1 FROM s WHERE s.src = k.id AND s.dst = k.id)) AS self_loop, string_agg(id, ',' ORDER BY id) AS members FROM k GROUP BY component
@@ -400,11 +402,11 @@ HAVING count(*) > 1 OR bool_or(EXISTS (SELECT 1 FROM s WHERE s.src = k.id AND s.
         "catalog_search": f"SELECT DISTINCT table_name AS table_id, table_name AS name FROM ({_COLUMNS_SQL}) WHERE table_name LIKE '%line%'",
         "catalog_search_path": "SELECT * FROM (VALUES ('orders', 'shop.orders'), ('shop.orders', 'shop.orders'), ('nation', NULL)) v(query, table_id)",
         "quality_precision_recall": VERDICT_SQL + " SELECT case_id, count(*) FILTER (verdict = 'tp') AS tp, count(*) FILTER (verdict = 'fp') AS fp, count(*) FILTER (verdict = 'fn') AS fn, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall FROM v GROUP BY case_id",
-        "quality_gaps": VERDICT_SQL + " SELECT case_id, from_id, to_id FROM v WHERE verdict = 'fn' AND from_id <> 'r0'",
+        "quality_gaps": VERDICT_SQL + " SELECT case_id, from_id, to_id FROM v WHERE verdict = 'fn' AND from_id NOT IN (SELECT 'r' || r_regionkey FROM region WHERE r_name = 'ASIA')",
         "coverage_pivot": "SELECT o_orderpriority AS dialect, sum((o_totalprice > 100000)::INT) FILTER (o_orderstatus = 'F')::BIGINT AS \"F\", sum((o_totalprice > 100000)::INT) FILTER (o_orderstatus = 'O')::BIGINT AS \"O\" FROM orders GROUP BY 1",
         "unknown_rate": "SELECT count(*) FILTER (lang <> 'en') AS unknowns, sum(n_chars)::BIGINT AS \"references\", count(*) FILTER (lang <> 'en') / sum(n_chars) AS rate FROM documents",
         "fingerprints": "SELECT doc_id AS source_file, sha256('ctx' || chr(0) || text) AS fingerprint FROM documents",
-        "incremental_actions": "WITH n AS (SELECT c_custkey AS k, c_name AS f FROM customer WHERE k % 5 <> 0), o AS (SELECT c_custkey AS k, CASE WHEN k % 2 = 0 THEN c_name ELSE 'old' END AS f FROM customer WHERE k % 7 <> 0) SELECT coalesce(n.k, o.k) AS source_file, CASE WHEN n.f IS NULL THEN 'remove' WHEN o.f IS NULL THEN 'add' WHEN n.f = o.f THEN 'reuse' ELSE 'replace' END AS action FROM n FULL JOIN o ON n.k = o.k",
+        "incremental_actions": "WITH n AS (SELECT c_custkey AS k, c_name AS f FROM customer WHERE c_acctbal > 1000), o AS (SELECT c_custkey AS k, CASE WHEN c_acctbal > 5000 THEN c_name ELSE 'old' END AS f FROM customer WHERE c_mktsegment <> 'BUILDING') SELECT coalesce(n.k, o.k) AS source_file, CASE WHEN n.f IS NULL THEN 'remove' WHEN o.f IS NULL THEN 'add' WHEN n.f = o.f THEN 'reuse' ELSE 'replace' END AS action FROM n FULL JOIN o ON n.k = o.k",
         "openlineage_fields": "SELECT * FROM (VALUES ('name', 'customer', 'c_name', 'DIRECT', 'IDENTITY'), ('total', 'orders', 'o_totalprice', 'DIRECT', 'AGGREGATION'), ('name', 'orders', 'o_orderstatus', 'INDIRECT', 'FILTER'), ('total', 'orders', 'o_orderstatus', 'INDIRECT', 'FILTER'), ('name', 'customer', 'c_name', 'INDIRECT', 'GROUP_BY'), ('total', 'customer', 'c_name', 'INDIRECT', 'GROUP_BY')) v(output, \"table\", field, type, subtype)",
         "mermaid_edges": f"SELECT src, dst, string_agg(DISTINCT transform, ', ' ORDER BY transform) AS label FROM ({KEY_SQL}) GROUP BY src, dst",
         "statement_split": "SELECT * FROM (VALUES (0, 'SELECT', 0, 8), (1, 'INSERT', 38, 69), (2, 'SELECT', 72, 91)) v(statement_index, statement_kind, span_start, span_end)",
