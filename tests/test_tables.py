@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.engine import LineageEngine
-from tracewright.functions import exporters
-from tracewright.operators import ast, graph, quality
+from tracewright.functions import exporters, reports
+from tracewright.operators import ast, graph, matrix, quality
 from tracewright.sources import catalog, files
-from tracewright.sources.store import LineageStore, StoreError
+from tracewright.sources.store import LineageStore, StoreError, library, locate
 from tracewright.streaming.incremental import update, watch
 
 
@@ -112,3 +112,46 @@ def test_tree_difference():
     a, b = "SELECT a, b FROM t", "SELECT a FROM t"
     got = ast.diff_trees(ast.tree(parse(a), a), ast.tree(parse(b), b))
     assert [x[0] for x in got].count("removed") == 2 and got[0][0] == "changed"
+
+
+def test_mermaid_names_outputs(spark):
+    e = spark.createDataFrame([("t.a", "x", "OUTPUT", "DIRECT", 0)], "src string, dst string, kind string, transform string, seq int")
+    lines = [r.line for r in exporters.mermaid(e, spark.createDataFrame([("x",)], "id string")).collect()]
+    assert lines == ["flowchart LR", '  n_x["x (output)"]', "  n_t_a -->|DIRECT| n_x"]
+
+
+def test_matrices(spark):
+    cases = spark.createDataFrame([("a", "mysql", ["p", "p"], "SELECT a FROM t"), ("b", None, [], None), ("c", "MySQL", None, "SELEC " + "x" * 90)], "id string, dialect string, features array<string>, sql string")
+    got = {r.case_id: r for r in matrix.compatibility(cases).collect()}
+    assert got["a"].ok and got["a"].statements == 1 and not got["b"].ok and not got["c"].ok and len(got["c"].reason) <= 41
+    assert sorted((r.case_id, r.pair, r.ok) for r in matrix.conversions(cases, "mysql>oracle,trino>mysql").collect()) == [("a", "mysql>oracle", True), ("c", "mysql>oracle", False)]
+    verdicts = spark.createDataFrame([("a", "tp"), ("c", "fn")], "case_id string, verdict string")
+    assert [(r.feature, r.tp, r.fn) for r in matrix.by_feature(verdicts, cases).collect()] == [("p", 1, 0)]
+    cells = matrix.compatibility(cases)
+    assert sorted(r.case_id for r in matrix.details(cells, cells.where("case_id = 'a'").select("case_id")).collect()) == ["a", "b", "c"]
+    assert matrix.compatibility(cases.limit(0)).count() == 0 and matrix.shorten("abc", 2) == "ab…"
+
+
+def test_reports_and_library(spark, tmp_path):
+    facts = LineageEngine(spark).facts(spark.createDataFrame([("x", "SELECT a FROM t; SELEC"), ("y", None)], "source_file string, sql string"))
+    report = {r.source_file: json.loads(r.report) for r in reports.parse_report(facts).collect()}
+    assert [t["table_id"] for t in report["x"]["tables"]] == ["t"] and len(report["x"]["diagnostics"]) == 1 and report["y"]["tables"] == []
+    e = spark.createDataFrame([("a", "b")], "src string, dst string")
+    lines = [json.loads(r.line) for r in reports.impact_report(graph.impact(e, "a"), graph.nodes(e), "a").collect()]
+    assert lines[0]["origin"] == "a" and [(x["id"], x["distance"]) for x in lines[1:]] == [("a", 0), ("b", 1)]
+    LineageStore(spark, str(tmp_path / "g1"))
+    (tmp_path / "other").mkdir()
+    assert [(r.name, r.models) for r in library(spark, str(tmp_path)).collect()] == [("g1", 0)] and library(spark, str(tmp_path / "none")).count() == 0
+    assert locate("/r", "g1") == "/r/g1"
+    for bad in ("", "..", "a/b", "a\\b"):
+        with pytest.raises(StoreError):
+            locate("/r", bad)
+
+
+def test_visible_nodes_and_layout(spark):
+    n = ast.nodes(spark.createDataFrame([("-", "SELECT a + 1 AS x FROM t")], "source_file string, sql string"))
+    root = n.where("parent_id IS NULL")
+    assert [r.node_id for r in ast.visible(n, root).collect()] == [r.node_id for r in root.collect()]
+    assert ast.visible(n, root.where("false")).count() == n.count()
+    e = spark.createDataFrame([("a", "c"), ("b", "c")], "src string, dst string")
+    assert sorted((r.id, r.depth, r.row) for r in graph.layout(e).collect()) == [("a", 0, 0), ("b", 0, 1), ("c", 1, 0)]

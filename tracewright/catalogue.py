@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import LineageEngine
-from .functions import exporters, rewrite
-from .operators import ast, graph, incremental, quality
+from .functions import exporters, reports, rewrite
+from .operators import ast, graph, incremental, matrix, quality
 from .sources import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -249,6 +249,42 @@ def ast_search(spark, sf_dir):
     return ast.search(n, "o_totalprice").select("node_id", "type", "hit")
 
 
+CASES = [
+    ("a", "mysql", ["basic", "limit"], "SELECT `a` FROM `t` LIMIT 5"),
+    ("b", "postgresql", ["basic"], 'SELECT "a" FROM t LIMIT 3; SELECT x FROM t, u'),
+    ("c", "trino", ["qualify"], "SELECT a FROM t WHERE"),
+]
+
+
+def _cases(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(CASES, "id string, dialect string, features array<string>, sql string")
+
+
+def compat_matrix(spark, sf_dir):
+    return matrix.compatibility(_cases(spark)).withColumn("reason", F.col("reason").isNotNull())
+
+
+def convert_matrix(spark, sf_dir):
+    return matrix.conversions(_cases(spark), "mysql>postgresql,mysql>oracle,postgresql>tsql,trino>mysql").select("case_id", "pair", "ok", "sql")
+
+
+def quality_by_feature(spark, sf_dir):
+    """Each market segment is a feature of its nation's case."""
+    key = F.concat(F.lit("case"), F.col("n_regionkey").cast("string"))
+    c = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    cases = c.groupBy(key.alias("id")).agg(F.collect_set("c_mktsegment").alias("features"))
+    return matrix.by_feature(_verdicts(spark, sf_dir), cases)
+
+
+def edge_lines(spark, sf_dir):
+    return reports.edge_lines(LineageEngine(spark).lineage("SELECT a * 2 AS p FROM t").where("kind = 'OUTPUT'")).select("line")
+
+
+def facts_summary(spark, sf_dir):
+    facts = LineageEngine(spark).facts(spark.createDataFrame([("x", "SELECT a, b FROM t; SELEC"), ("y", "SELECT a FROM t, u")], "source_file string, sql string"))
+    return reports.summary(facts).select("source_file", "statements", "edges", "unknowns", "diagnostics", "tables")
+
+
 # ---- quality, fingerprints, exports ---------------------------------------------------
 
 
@@ -359,7 +395,9 @@ def queries() -> dict:
         "edge_filter_traverse": lambda s, d: graph.impact(graph.visible(key_graph(s, d)), "r2"),
         "subgraph_edges": lambda s, d: graph.subgraph(key_graph(s, d), graph.impact(key_graph(s, d), "n3").select("id")),
         "collapse_tables": collapse_tables, "ownership_edges": ownership_edges,
-        "layout_depth": lambda s, d: graph.layers(key_graph(s, d)),
+        "layout_depth": lambda s, d: graph.layers(key_graph(s, d)), "layout_rows": lambda s, d: graph.layout(key_graph(s, d)),
+        "compat_matrix": compat_matrix, "convert_matrix": convert_matrix, "quality_by_feature": quality_by_feature, "edge_lines": edge_lines, "facts_summary": facts_summary,
+        "capabilities": lambda s, d: matrix.capabilities(s).groupBy("engine").agg(F.count("*").alias("features"), F.sum(F.col("supported").cast("long")).alias("supported")),
         "lineage_star_expand": _with_catalog(STAR), "lineage_insert_by_schema": _with_catalog(BY_SCHEMA), "lineage_unknowns": lineage_unknowns,
         "catalog_columns": lambda s, d: _tables(s, d).select("table_id", "column_name"), "catalog_search": catalog_search, "catalog_search_path": catalog_search_path,
         "quality_precision_recall": quality_precision_recall, "quality_gaps": quality_gaps, "coverage_pivot": coverage_pivot, "unknown_rate": unknown_rate,
@@ -395,6 +433,13 @@ HAVING count(*) > 1 OR bool_or(EXISTS (SELECT 1 FROM s WHERE s.src = k.id AND s.
         "collapse_tables": f"SELECT src, dst, kind, transform FROM ({KEY_SQL}) WHERE src NOT LIKE 's%' AND dst NOT LIKE 's%'",
         "ownership_edges": "SELECT DISTINCT 'own:region.k' || n_regionkey AS id, 'table:region' AS src, 'region.k' || n_regionkey AS dst FROM nation",
         "layout_depth": f"WITH RECURSIVE e AS ({KEY_SQL}), n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), r AS (SELECT id, 0 AS d FROM n UNION SELECT e.dst, r.d + 1 FROM r JOIN e ON e.src = r.id) SELECT id, max(d)::INTEGER AS depth FROM r GROUP BY id",
+        "layout_rows": f"SELECT id, depth, (row_number() OVER (PARTITION BY depth ORDER BY id) - 1)::INTEGER AS \"row\" FROM (WITH RECURSIVE e AS ({KEY_SQL}), n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), r AS (SELECT id, 0 AS d FROM n UNION SELECT e.dst, r.d + 1 FROM r JOIN e ON e.src = r.id) SELECT id, max(d)::INTEGER AS depth FROM r GROUP BY id)",
+        "compat_matrix": "SELECT * FROM (VALUES ('a', 'mysql', 'tokens', true, 1::BIGINT, 0::BIGINT, false), ('b', 'postgresql', 'tokens', true, 2, 1, false), ('c', 'trino', 'tokens', false, 0, 0, true)) v(case_id, dialect, engine, ok, statements, unknowns, reason)",
+        "convert_matrix": "SELECT * FROM (VALUES ('a', 'mysql>postgresql', true, 'SELECT \"a\" FROM \"t\" LIMIT 5'), ('a', 'mysql>oracle', true, 'SELECT \"a\" FROM \"t\" FETCH FIRST 5 ROWS ONLY'), ('b', 'postgresql>tsql', true, 'SELECT TOP (3) [a] FROM t;' || chr(10) || 'SELECT x FROM t, u'), ('c', 'trino>mysql', false, NULL)) v(case_id, pair, ok, sql)",
+        "quality_by_feature": VERDICT_SQL + ", t AS (SELECT DISTINCT 'case' || n_regionkey AS case_id, c_mktsegment AS feature FROM customer JOIN nation ON c_nationkey = n_nationkey) SELECT feature, count(*) FILTER (verdict = 'tp') AS tp, count(*) FILTER (verdict = 'fp') AS fp, count(*) FILTER (verdict = 'fn') AS fn, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall FROM v JOIN t USING (case_id) GROUP BY feature",
+        "edge_lines": "SELECT 'e0  OUTPUT  t.a -> p  [EXPRESSION]  «a * 2»' AS line",
+        "facts_summary": "SELECT * FROM (VALUES ('x', 1::BIGINT, 4::BIGINT, 0::BIGINT, 1::BIGINT, 1::BIGINT), ('y', 1, 2, 1, 0, 2)) v(source_file, statements, edges, unknowns, diagnostics, tables)",
+        "capabilities": "SELECT 'tokens' AS engine, 11::BIGINT AS features, 10::BIGINT AS supported",
         "lineage_star_expand": f"SELECT table_name || '.' || column_name AS from_id, column_name AS to_id FROM ({_COLUMNS_SQL}) WHERE table_name IN ('nation', 'region')",
         "lineage_insert_by_schema": "SELECT * FROM (VALUES ('nation.n_nationkey', 'region.r_regionkey'), ('nation.n_name', 'region.r_name')) v(from_id, to_id)",
         "lineage_unknowns": "SELECT * FROM (VALUES ('column x matches no source'), ('column nosuch is not in table orders'), ('qualifier q matches no source')) v(reason)",

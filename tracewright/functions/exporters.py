@@ -61,10 +61,20 @@ def _safe(col: str) -> Column:
     return F.concat(F.lit("n_"), F.regexp_replace(col, "[^A-Za-z0-9_]", "_"))
 
 
-def mermaid(edges: DataFrame) -> DataFrame:
+def mermaid(edges: DataFrame, outputs: DataFrame | None = None) -> DataFrame:
+    """Lines of a flow chart; with ``outputs(id)`` their nodes are labelled as such."""
+    if outputs is not None:
+        ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().join(outputs.select("id").distinct(), "id", "left_semi")
+        label = F.replace(F.col("id"), F.lit('"'), F.lit("#quot;"))
+        named = ids.select(F.lit(-1).alias("seq"), F.lit("1").alias("src"), F.concat(F.lit("  "), _safe("id"), F.lit('["'), label, F.lit(' (output)"]')).alias("line"))
+        return _mermaid_rows(edges).unionByName(named).orderBy("seq", "src", "line").select("line")
+    return _mermaid_rows(edges).orderBy("seq", "src", "line").select("line")
+
+
+def _mermaid_rows(edges: DataFrame) -> DataFrame:
     rows = mermaid_edges(edges).select("seq", "src", F.concat(F.lit("  "), _safe("src"), F.lit(" -->|"), "label", F.lit("| "), _safe("dst")).alias("line"))
     head = edges.sparkSession.createDataFrame([(-1, "", "flowchart LR")], "seq int, src string, line string")
-    return head.unionByName(rows).orderBy("seq", "src", "line").select("line")
+    return head.unionByName(rows)
 
 
 def _quote(col: str) -> Column:

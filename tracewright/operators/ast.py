@@ -165,3 +165,12 @@ def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs of half-open spans of one file that overlap; null spans never do."""
     y = b.select(F.col("source_file").alias("f"), F.col("span_start").alias("s"), F.col("span_end").alias("e"))
     return a.join(y, (F.col("source_file") == F.col("f")) & (F.col("span_start") < F.col("e")) & (F.col("s") < F.col("span_end")))
+
+
+def visible(tree_nodes: DataFrame, collapsed: DataFrame) -> DataFrame:
+    """Nodes that stand below none of ``collapsed(source_file, statement_index, node_id)``."""
+    key = ["source_file", "statement_index"]
+    steps = F.split("path", "/")
+    above = tree_nodes.select(*key, "node_id", F.explode(F.transform(F.slice(steps, 1, F.size(steps) - 1), lambda x: x.cast("int"))).alias("above"))
+    hidden = above.join(collapsed.select(*key, F.col("node_id").alias("above")), [*key, "above"]).select(*key, "node_id").distinct()
+    return tree_nodes.join(hidden, [*key, "node_id"], "left_anti")

@@ -166,3 +166,8 @@ def layers(edges: DataFrame) -> DataFrame:
         if not new.join(depth.withColumnRenamed("depth", "old"), "id").where("depth <> old").take(1):
             return new
         depth = new
+
+
+def layout(edges: DataFrame) -> DataFrame:
+    """``(id, depth, row)``: the layers, each in the order of its ids."""
+    return layers(edges).withColumn("row", F.row_number().over(Window.partitionBy("depth").orderBy("id")) - 1)

@@ -81,3 +81,19 @@ class LineageStore:
 
     def summary(self) -> str:
         return json.dumps({r["what"]: r["count"] for r in self.load().groupBy("what").count().orderBy("what").collect()})
+
+
+def library(spark: SparkSession, root: str) -> DataFrame:
+    """``(name, models)`` of the stores right below ``root``, by name."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(x.getPath().getName() for x in fs.listStatus(path) if x.isDirectory()) if fs.exists(path) else []
+    found = [(n, LineageStore(spark, f"{root}/{n}").count()) for n in names if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/info"))]
+    return spark.createDataFrame(found, "name string, models long")
+
+
+def locate(root: str, name: str) -> str:
+    """The path of a store in ``root``; a name that could leave ``root`` is an error."""
+    if not name or name in (".", "..") or "/" in name or "\\" in name:
+        raise StoreError(f"invalid_graph_ref: {name}")
+    return f"{root}/{name}"
