@@ -104,6 +104,11 @@ def test_output_of_changed_rows_has_no_lineage():
     assert edges("DELETE FROM t OUTPUT deleted.a WHERE b = 1") == []
 
 
+def test_common_table_without_query_is_unknown():
+    for sql in ("WITH m AS (DELETE FROM t RETURNING *) INSERT INTO old (k) SELECT k FROM m", "WITH m AS (DELETE FROM t RETURNING *) SELECT m.k FROM m", "WITH m AS (DELETE FROM t RETURNING *) SELECT * FROM m"):
+        assert edges(sql) == [] and any("not known" in r for r in reasons(sql))
+
+
 def test_errors_carry_spans():
     with pytest.raises(SqlError) as e:
         parse("SELECT a FROM t WHERE")
