@@ -109,6 +109,16 @@ def test_common_table_without_query_is_unknown():
         assert edges(sql) == [] and any("not known" in r for r in reasons(sql))
 
 
+@pytest.mark.parametrize("sql,want", [
+    ("SELECT id, tag FROM t LATERAL VIEW OUTER explode(tags) x AS tag", [("t.id", "id"), ("t.tags", "tag")]),
+    ("SELECT x.k, v FROM t LATERAL VIEW explode(m) x AS k, v WHERE k > 1", [("t.m", "k"), ("t.m", "v")]),
+    ("SELECT b FROM t LATERAL VIEW explode(xs) x AS a LATERAL VIEW explode(x.a) y AS b", [("t.xs", "b")]),
+    ("SELECT t.id, u.x, u.o FROM t CROSS JOIN UNNEST(t.xs) WITH ORDINALITY AS u(x, o)", [("t.id", "id"), ("t.xs", "x")]),
+    ("SELECT g FROM generate_series(1, 10) AS g", []), ("SELECT t.a AS n, upper(e) AS f FROM t, unnest(t.es) AS e", [("t.a", "n"), ("t.es", "f")])])
+def test_columns_of_table_functions(sql, want):
+    assert edges(sql) == want and reasons(sql) == []
+
+
 def test_errors_carry_spans():
     with pytest.raises(SqlError) as e:
         parse("SELECT a FROM t WHERE")
