@@ -68,16 +68,20 @@ def _signed(x: int) -> int:
 
 
 def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that connect what pairs within ``radius`` connect; a value is compared with those not yet reached."""
+    """Edges that connect what pairs within ``radius`` connect; a value is compared with those not yet reached.
+
+    Edges lead to the first value of each connected set.  Where ``values`` are
+    sorted that is its smallest, so no value has many smaller neighbours.
+    """
     out, rest = [], values
     while len(rest) > 1:
-        queue, rest = [rest[0]], rest[1:]
+        root, queue, rest = int(rest[0]), [rest[0]], rest[1:]
         while queue and len(rest):
             x = queue.pop()
             near = np.bitwise_count(rest ^ x) <= radius
             if near.any():
                 found = rest[near]
-                out += [(int(x), int(y)) for y in found]
+                out += [(root, int(y)) for y in found]
                 queue += list(found)
                 rest = rest[~near]
     return out
