@@ -356,6 +356,16 @@ def test_embedding_recall(spark):
     assert 0.999 * want <= got <= want
 
 
+@pytest.mark.parametrize("latent", [2, 3, 4])
+def test_embedding_links_of_low_dimensional_vectors(spark, monkeypatch, latent):
+    monkeypatch.setattr(embeddings, "CELL", 40)
+    r = np.random.default_rng(latent)
+    x = embeddings.unit(embeddings.unit(r.normal(size=(2400, latent + 1))) @ r.normal(size=(latent + 1, 64)) + 0.02 * r.normal(size=(2400, 64)))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {y.vec_id: y.n_links for y in embeddings.near_duplicates(table, cosine=0.99).collect()}
+    assert got == dict(enumerate(((x @ x.T >= 0.99).sum(axis=1) - 1).tolist()))
+
+
 # -- 10
 
 

@@ -3,12 +3,12 @@
 Cells come from k-means on a bounded sample (``SAMPLE`` vectors at most); every
 vector is then assigned.  A vector also visits each other cell whose border it
 stands near: if x belongs to cell c and y to cell d and their difference has at
-most length delta, then y.(d - c) is at most delta |d - c| if the difference
-points straight across the border.  In n dimensions the part across is about
-delta / sqrt(n); ``REACH`` times that is allowed for (the full delta where that
-is less, as in 12 dimensions or fewer, which makes the search exact).  A pair at
-the very threshold whose difference points anywhere is missed with a chance of
-about 0.0002, closer pairs with far less; tests and README give measured recall.
+most length delta, then x.(c - d) and y.(d - c) are both at least 0 and their sum
+(x - y).(c - d) is at most delta |c - d|, so one of the two is at most half of
+that.  Each vector visits the cells within that half; of every pair one end at
+least then visits the other's cell, whatever the direction of the difference, so
+the search is exact.  A pair counts for the end at home in the cell where it is
+found, and there for the visiting end too if the home end does not visit back.
 
 Equal vectors are one node with a multiplicity.  A cell is compared in
 blocks of ``BLOCK`` by ``WIDE`` vectors, so a crowded cell spreads over many tasks, and each
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, stage
 from .components import components
 
-SAMPLE, BLOCK, WIDE, CELL, MOST_CELLS, ROUNDS, REACH = 20_000, 2048, 4096, 1024, 2048, 8, 3.5
+SAMPLE, BLOCK, WIDE, CELL, MOST_CELLS, ROUNDS = 20_000, 2048, 4096, 1024, 2048, 8
 
 
 def unit(rows) -> np.ndarray:
@@ -54,20 +54,23 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 7)
 
 
 def _assigner(centres: dict[int, np.ndarray], cosine: float):
-    delta = np.sqrt(2 - 2 * cosine) + 1e-9
+    delta = np.sqrt(max(0, 2 - 2 * cosine) + 1e-12)  # the small terms here and below outweigh rounding
 
     def run(frames):
         for f in frames:
             out = []
             for dim, part in f.groupby(f["v"].map(len)):
                 c = centres[dim]
-                gaps = np.sqrt(np.maximum(0, 2 - 2 * np.clip(c @ c.T, -1, 1))) * delta * min(1, REACH / np.sqrt(dim)) + 1e-9
+                gaps = np.sqrt(np.maximum(0, 2 - 2 * np.clip(c @ c.T, -1, 1)) + 1e-14) * delta / 2 + 1e-9
                 for at in range(0, len(part), BLOCK):
                     block = part.iloc[at : at + BLOCK]
                     sims = unit(block["v"]) @ c.T
                     home = sims.argmax(axis=1)
-                    row, cell = np.nonzero(sims.max(axis=1)[:, None] - sims <= gaps[home])
-                    out.append(pd.DataFrame({"dim": dim, "cell": cell, "home": cell == home[row], "node": block["node"].to_numpy()[row], "n": block["n"].to_numpy()[row], "v": block["v"].to_numpy()[row]}))
+                    near = sims.max(axis=1)[:, None] - sims <= gaps[home]
+                    row, cell = np.nonzero(near)
+                    visits = [np.flatnonzero(x).tolist() for x in near]
+                    cells = [visits[r] if c == home[r] else [int(home[r])] for r, c in zip(row, cell)]
+                    out.append(pd.DataFrame({"dim": dim, "cell": cell, "home": cell == home[row], "cells": cells, "node": block["node"].to_numpy()[row], "n": block["n"].to_numpy()[row], "v": block["v"].to_numpy()[row]}))
             if out:
                 yield pd.concat(out)
 
@@ -108,9 +111,14 @@ def _comparer(cosine: float):
         rows, cols = left["node"].to_numpy(), right["node"].to_numpy()
         m &= rows[:, None] != cols[None, :]
         w = m @ right["n"].to_numpy(np.int64)
+        goes = np.zeros((len(left), max(max(x) for x in f["cells"]) + 1), bool)  # left row to cell
+        for i, x in enumerate(left["cells"]):
+            goes[i, x] = True
+        w2 = left["n"].to_numpy(np.int64) @ (m & ~goes[:, [x[0] for x in right["cells"]]])
         pairs = np.array(_block_forest(m, rows, cols), np.int64).reshape(-1, 2)
+        ends, w = np.concatenate([rows, cols]), np.concatenate([w, w2])
         some = w > 0
-        return pd.DataFrame({"a": np.concatenate([rows[some], pairs[:, 0]]), "b": pd.array([None] * int(some.sum()) + pairs[:, 1].tolist(), "Int64"), "w": np.concatenate([w[some], np.zeros(len(pairs), np.int64)])})
+        return pd.DataFrame({"a": np.concatenate([ends[some], pairs[:, 0]]), "b": pd.array([None] * int(some.sum()) + pairs[:, 1].tolist(), "Int64"), "w": np.concatenate([w[some], np.zeros(len(pairs), np.int64)])})
 
     return run
 
@@ -127,13 +135,13 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     for dim, count in nodes.groupBy(F.size("v")).count().collect():  # one row per vector length
         sample = nodes.where(F.size("v") == dim).orderBy(F.xxhash64("v"), "node").limit(SAMPLE).select("v").toPandas()["v"]
         centres[dim] = spherical_kmeans(unit(sample), max(1, min(MOST_CELLS, len(sample) // 8, -(-count // CELL))))
-    dealt = stage(nodes.select("node", "n", "v").mapInPandas(_assigner(centres, cosine), f"dim int, cell int, home boolean, node long, n long, {_field(nodes)}"), "cells")
+    dealt = stage(nodes.select("node", "n", "v").mapInPandas(_assigner(centres, cosine), f"dim int, cell int, home boolean, cells array<int>, node long, n long, {_field(nodes)}"), "cells")
     blocks = dealt.groupBy("dim", "cell").agg(F.greatest(F.ceil(F.sum(F.col("home").cast("int")) / BLOCK), F.lit(1)).cast("int").alias("nl"), F.ceil(F.count("*") / WIDE).cast("int").alias("nr"))
     dealt = dealt.join(blocks, ["dim", "cell"])
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = dealt.where("home").select("dim", "cell", own("nl").alias("i"), every("nr").alias("j"), F.lit(0).alias("side"), "node", "n", "v")
-    right = dealt.select("dim", "cell", every("nl").alias("i"), own("nr").alias("j"), F.lit(1).alias("side"), "node", "n", "v")
+    left = dealt.where("home").select("dim", "cell", own("nl").alias("i"), every("nr").alias("j"), F.lit(0).alias("side"), "cells", "node", "n", "v")
+    right = dealt.select("dim", "cell", every("nl").alias("i"), own("nr").alias("j"), F.lit(1).alias("side"), F.when(F.col("home"), F.array("cell")).otherwise(F.col("cells")).alias("cells"), "node", "n", "v")
     found = stage(left.unionByName(right).groupBy("dim", "cell", "i", "j").applyInPandas(_comparer(cosine), "a long, b long, w long"), "links")
     weight = found.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("w"))
     roots = components(found.where("b is not null").select("a", "b"))
