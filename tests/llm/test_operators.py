@@ -231,6 +231,15 @@ def test_decontamination(spark, docs, empty):
     assert not decontaminate.digest(docs, bench.limit(0)).where("contaminated").count() and decontaminate.digest(empty, bench).count() == 0
 
 
+def test_items_that_share_or_lack_an_id(spark):
+    texts = [prose(60 + i, 30) for i in range(6)]
+    bench = spark.createDataFrame([(0, texts[0]), (0, texts[1]), (0, texts[2]), (None, texts[3]), (None, texts[4]), (7, texts[4])], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"{prose(300 + i, 20)} {t} {prose(400 + i, 20)}") for i, t in enumerate(texts)] + [(6, f"{texts[0]} {texts[1]} {texts[3]}")], "doc_id long, text string")
+    got = {x.doc_id: (x.contaminated, x.n_items, x["items"]) for x in decontaminate.digest(docs, bench).collect()}
+    assert got == {0: (True, 1, "0"), 1: (True, 1, "0"), 2: (True, 1, "0"), 3: (True, 1, ""), 4: (True, 1, "7"), 5: (False, 0, None), 6: (True, 3, "0")}
+    assert [x.doc_id for x in decontaminate.clean(docs, bench).collect()] == [5]
+
+
 # -- 7
 
 

@@ -10,9 +10,11 @@ text, and the text is contaminated if some window of ``WINDOW`` aligned tokens
 
 Items shorter than the longest mask also get a seed of all their tokens.
 
-Defined results: null and wordless texts and items match nothing; repeated and
-equal items count once each in ``n_items``' list by their smallest item_id;
-repeated documents are each reported; an empty benchmark contaminates nothing;
+Defined results: null and wordless texts and items match nothing; equal
+texts are one item, named by their smallest item_id; texts are told apart by
+themselves, not by item_id, so texts that share an item_id are all compared, and
+each counts in ``n_items`` though the list names their item_id once; an item whose
+item_id is null counts in ``n_items`` and has no entry in the list; repeated documents are each reported; an empty benchmark contaminates nothing;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -77,11 +79,11 @@ def _bits(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def _item_seeds(frames):
     for f in frames:
         out = []
-        for item, text in zip(f["item_id"], f["text"]):
+        for item, text in zip(f["item_key"], f["text"]):
             t = tokens(text)
             if len(t):
                 h, p = seeds(t, range(len(t), len(t) + 1) if len(t) < _LONGEST else range(0))
-                out.append(pd.DataFrame({"seed": h.view(np.int64), "at": p, "item_id": item, "item": [t.tobytes()] * len(h)}))
+                out.append(pd.DataFrame({"seed": h.view(np.int64), "at": p, "item_key": item, "item": [t.tobytes()] * len(h)}))
         if out:
             yield pd.concat(out)
 
@@ -139,16 +141,15 @@ def agreement(doc: np.ndarray, item: np.ndarray, shift: int, window: int = WINDO
 def _verifier(frames):
     for f in frames:
         got = [max(agreement(np.frombuffer(d, np.uint64), np.frombuffer(i, np.uint64), s) for s in set(shifts)) for d, i, shifts in zip(f["tokens"], f["item"], f["shifts"])]
-        yield pd.DataFrame({"key": f["key"], "item_id": f["item_id"], "overlap": got})
+        yield pd.DataFrame({"key": f["key"], "item_key": f["item_key"], "overlap": got})
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``(key, items, overlap)``: a row for each distinct contaminated text, by its MD5."""
+    """``(key, items, n_items, overlap)``: a row for each distinct contaminated text, by its MD5."""
     spark = docs.sparkSession
     small_batches(spark)
-    kind = benchmark.schema[item_id].dataType.simpleString()
-    items = benchmark.where(F.col(item_text).isNotNull()).groupBy(F.col(item_text).alias("text")).agg(F.min(item_id).alias("item_id"))
-    table = stage(items.mapInPandas(_item_seeds, f"seed long, at long, item_id {kind}, item binary"), "seeds")
+    items = benchmark.where(F.col(item_text).isNotNull()).groupBy(F.col(item_text).alias("text")).agg(F.min(item_id).alias("item_id")).withColumn("item_key", F.md5(F.col("text").cast("binary")))
+    table = stage(items.select("item_key", "text").mapInPandas(_item_seeds, "seed long, at long, item_key string, item binary"), "seeds")
     bits = 1 << 16
     wanted = 512 * table.count()
     while bits < min(BLOOM_BITS, wanted):
@@ -162,10 +163,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     keyed = docs.where(F.col(text).isNotNull()).select(F.md5(F.col(text).cast("binary")).alias("key"), F.col(text).alias("text"))
     found = stage(keyed.mapInPandas(_finder(shared), "key string, tokens binary, seed array<long>, at array<long>"), "hits")
     hits = found.select("key", F.explode(F.arrays_zip("seed", "at")).alias("h")).select("key", F.col("h.seed").alias("seed"), F.col("h.at").alias("doc_at")).distinct()
-    laid = hits.join(table.select("seed", "at", "item_id"), "seed").groupBy("key", "item_id").agg(F.collect_set(F.col("doc_at") - F.col("at")).alias("shifts"))
-    pairs = laid.join(found.select("key", "tokens").dropDuplicates(["key"]), "key").join(table.select("item_id", "item").dropDuplicates(["item_id"]), "item_id")
-    good = pairs.select("key", "item_id", "tokens", "item", "shifts").mapInPandas(_verifier, f"key string, item_id {kind}, overlap long").where("overlap > 0")
-    return stage(good.groupBy("key").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("overlap").alias("overlap")), "contaminated")
+    laid = hits.join(table.select("seed", "at", "item_key"), "seed").groupBy("key", "item_key").agg(F.collect_set(F.col("doc_at") - F.col("at")).alias("shifts"))
+    pairs = laid.join(found.select("key", "tokens").dropDuplicates(["key"]), "key").join(table.select("item_key", "item").dropDuplicates(["item_key"]), "item_key")
+    good = pairs.select("key", "item_key", "tokens", "item", "shifts").mapInPandas(_verifier, "key string, item_key string, overlap long").where("overlap > 0").join(items.select("item_key", "item_id"), "item_key")
+    return stage(good.groupBy("key").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.count("*").alias("n_items"), F.max("overlap").alias("overlap")), "contaminated")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
@@ -179,4 +180,4 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document: whether it is contaminated, by how many items, which, and the longest overlap in tokens."""
     bad = contaminated(docs, benchmark)
     own = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("key")).join(bad, "key", "left")
-    return own.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce(F.size("items"), F.lit(0)).alias("size"), "items", "overlap").select("doc_id", "contaminated", F.when(F.col("contaminated"), F.col("size")).otherwise(0).cast("long").alias("n_items"), F.array_join(F.col("items").cast("array<string>"), ",").alias("items"), F.coalesce("overlap", F.lit(0)).cast("long").alias("overlap"))
+    return own.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), "items", "overlap").select("doc_id", "contaminated", "n_items", F.array_join(F.col("items").cast("array<string>"), ",").alias("items"), F.coalesce("overlap", F.lit(0)).cast("long").alias("overlap"))
