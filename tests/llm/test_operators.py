@@ -240,6 +240,30 @@ def test_items_that_share_or_lack_an_id(spark):
     assert [x.doc_id for x in decontaminate.clean(docs, bench).collect()] == [5]
 
 
+def allowed(n):
+    from itertools import combinations
+
+    return [bad for k in range(n - -(-4 * n // 5) + 1) for bad in combinations(range(n), k)]
+
+
+@pytest.mark.parametrize("n", range(1, decontaminate.WINDOW))
+def test_short_masks_catch_allowed_substitutions(n):
+    for bad in allowed(n):
+        assert any(all(c == "0" or i not in bad for i, c in enumerate(m)) for m in decontaminate.short_masks(n))
+
+
+def test_short_items_with_substitutions(spark):
+    bench = spark.createDataFrame([(n, prose(500 + n, n)) for n in range(1, 13)], "item_id long, text string")
+    rows, want = [], {}
+    for n in range(1, 13):
+        item = prose(500 + n, n).split()
+        for bad in [*allowed(n), range(-(-n // 3) + 1)]:
+            want[len(rows)] = len(bad) <= n - -(-4 * n // 5)
+            rows.append((len(rows), " ".join(["zz", *("changed" if i in bad else w for i, w in enumerate(item)), "yy"])))
+    got = {x.doc_id: x.contaminated for x in decontaminate.digest(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == want
+
+
 # -- 7
 
 

@@ -8,7 +8,9 @@ benchmark's seeds are joined with those seeds; each hit lays the item along the
 text, and the text is contaminated if some window of ``WINDOW`` aligned tokens
 (the whole item, where that is shorter) agrees in at least ``SIMILARITY``.
 
-Items shorter than the longest mask also get a seed of all their tokens.
+An item shorter than ``WINDOW`` has masks of its own length instead: its tokens
+are cut into groups, and each mask leaves out as many groups as the item may have
+substitutions, so every pattern that the check accepts leaves some mask whole.
 
 Defined results: null and wordless texts and items match nothing; equal
 texts are one item, named by their smallest item_id; texts are told apart by
@@ -21,6 +23,8 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -55,21 +59,28 @@ def _seed(t: np.ndarray, offsets: list[int], span: int, salt: int) -> np.ndarray
     return h
 
 
-def seeds(t: np.ndarray, short: range = range(0)) -> tuple[np.ndarray, np.ndarray]:
-    """``(hashes, positions)`` of all masks over the tokens, and of all-token masks of the lengths in ``short``."""
-    hs, ps = [], []
-    for m, mask in enumerate(MASKS):
+@cache
+def short_masks(n: int) -> tuple[str, ...]:
+    """Masks over all tokens of an item of ``n``: of the fewest groups that leave each mask 5 tokens, or else of single tokens."""
+    wrong = n - math.ceil(SIMILARITY * n - 1e-9)
+    for groups in range(wrong + 1, n + 1):
+        of = [i * groups // n for i in range(n)]
+        out = tuple("".join("0" if g in off else "1" for g in of) for off in combinations(range(groups), wrong))
+        if min(m.count("1") for m in out) >= 5:
+            break
+    return out
+
+
+def seeds(t: np.ndarray, masks: tuple[str, ...], salt: int = 0):
+    """``(hashes, positions)`` of each mask over the tokens."""
+    for m, mask in enumerate(masks, salt):
         h = _seed(t, [i for i, c in enumerate(mask) if c == "1"], len(mask), m)
-        hs.append(h)
-        ps.append(np.arange(len(h)))
-    for n in short:
-        h = _seed(t, list(range(n)), n, 100 + n)
-        hs.append(h)
-        ps.append(np.arange(len(h)))
-    return np.concatenate(hs), np.concatenate(ps)
+        yield h, np.arange(len(h))
 
 
-_LONGEST = max(map(len, MASKS))
+def _families(short) -> list[tuple[tuple[str, ...], int]]:
+    """Masks and salts for the windows and for the item lengths in ``short``."""
+    return [(MASKS, 0)] + [(short_masks(n), 1000 * n) for n in short]
 
 
 def _bits(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +93,8 @@ def _item_seeds(frames):
         for item, text in zip(f["item_key"], f["text"]):
             t = tokens(text)
             if len(t):
-                h, p = seeds(t, range(len(t), len(t) + 1) if len(t) < _LONGEST else range(0))
+                family = _families([len(t)] if len(t) < WINDOW else [])[-1]
+                h, p = map(np.concatenate, zip(*seeds(t, *family)))
                 out.append(pd.DataFrame({"seed": h.view(np.int64), "at": p, "item_key": item, "item": [t.tobytes()] * len(h)}))
         if out:
             yield pd.concat(out)
@@ -95,7 +107,7 @@ def _filler(bits: int):
             h = f["seed"].to_numpy().view(np.uint64)
             for b in _bits(h, bits):
                 bloom[b] = True
-            for n in f["length"][f["length"] < _LONGEST].unique():
+            for n in f["length"][f["length"] < WINDOW].unique():
                 lengths |= 1 << int(n)
         yield pd.DataFrame({"bloom": [np.packbits(bloom).tobytes()], "lengths": [lengths]})
 
@@ -105,17 +117,21 @@ def _filler(bits: int):
 def _finder(shared):
     def run(frames):
         packed, bits, short = shared.value
+        families = _families(short)
         bloom = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
         for f in frames:
             out = []
             for key, text in zip(f["key"], f["text"]):
                 t = tokens(text)
-                h, p = seeds(t, short)
+                found = []
+                for family in families:
+                    for h, p in seeds(t, *family):
+                        a, b = _bits(h, bits)
+                        some = np.flatnonzero(bloom[a] & bloom[b])
+                        found.append((h[some], p[some]))
+                h, p = map(np.concatenate, zip(*found))
                 if len(h):
-                    a, b = _bits(h, bits)
-                    some = np.flatnonzero(bloom[a] & bloom[b])
-                    if len(some):
-                        out.append((key, t.tobytes(), h[some].view(np.int64).tolist(), p[some].tolist()))
+                    out.append((key, t.tobytes(), h.view(np.int64).tolist(), p.tolist()))
             yield pd.DataFrame(out, columns=["key", "tokens", "seed", "at"])
 
     return run
@@ -159,7 +175,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     for p in parts:
         bloom |= np.frombuffer(p["bloom"], np.uint8)
         lengths |= p["lengths"]
-    shared = spark.sparkContext.broadcast((bloom.tobytes(), bits, [n for n in range(_LONGEST) if lengths >> n & 1]))
+    shared = spark.sparkContext.broadcast((bloom.tobytes(), bits, [n for n in range(WINDOW) if lengths >> n & 1]))
     keyed = docs.where(F.col(text).isNotNull()).select(F.md5(F.col(text).cast("binary")).alias("key"), F.col(text).alias("text"))
     found = stage(keyed.mapInPandas(_finder(shared), "key string, tokens binary, seed array<long>, at array<long>"), "hits")
     hits = found.select("key", F.explode(F.arrays_zip("seed", "at")).alias("h")).select("key", F.col("h.seed").alias("seed"), F.col("h.at").alias("doc_at")).distinct()
