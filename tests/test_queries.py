@@ -27,6 +27,11 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 11
 
 
+def test_coverage_totals_take_in_every_order(spark):
+    got = catalogue.queries()["coverage_totals"](spark, SF).toPandas()
+    assert got[["F_total", "O_total", "P_total"]].to_numpy().sum() == catalogue.read(spark, SF, "orders").count()
+
+
 def test_tree_queries(spark):
     for name in ("ast_diff", "ast_search"):
         assert catalogue.queries()[name](spark, SF).count() > 0

@@ -315,9 +315,17 @@ def quality_gaps(spark, sf_dir):
     return quality.gaps(_verdicts(spark, sf_dir), declared).select("case_id", "from_id", "to_id")
 
 
+def _coverage_cells(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderpriority").alias("dialect"), F.col("o_orderstatus").alias("engine"), (F.col("o_totalprice") > 100000).alias("ok"))
+
+
 def coverage_pivot(spark, sf_dir):
-    cells = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderpriority").alias("dialect"), F.col("o_orderstatus").alias("engine"), (F.col("o_totalprice") > 100000).alias("ok"))
-    return quality.pivot(cells, ["F", "O"])
+    return quality.pivot(_coverage_cells(spark, sf_dir), ["F", "O"])
+
+
+def coverage_totals(spark, sf_dir):
+    """Every order status, with ok and total; ``coverage_pivot`` keeps the two of its SQL."""
+    return quality.pivot_totals(_coverage_cells(spark, sf_dir), ["F", "O", "P"])
 
 
 def unknown_rate(spark, sf_dir):
@@ -400,7 +408,7 @@ def queries() -> dict:
         "capabilities": lambda s, d: matrix.capabilities(s).groupBy("engine").agg(F.count("*").alias("features"), F.sum(F.col("supported").cast("long")).alias("supported")),
         "lineage_star_expand": _with_catalog(STAR), "lineage_insert_by_schema": _with_catalog(BY_SCHEMA), "lineage_unknowns": lineage_unknowns,
         "catalog_columns": lambda s, d: _tables(s, d).select("table_id", "column_name"), "catalog_search": catalog_search, "catalog_search_path": catalog_search_path,
-        "quality_precision_recall": quality_precision_recall, "quality_gaps": quality_gaps, "coverage_pivot": coverage_pivot, "unknown_rate": unknown_rate,
+        "quality_precision_recall": quality_precision_recall, "quality_gaps": quality_gaps, "coverage_pivot": coverage_pivot, "coverage_totals": coverage_totals, "unknown_rate": unknown_rate,
         "fingerprints": fingerprints, "incremental_actions": incremental_actions, "openlineage_fields": openlineage_fields, "mermaid_edges": mermaid_edges,
         "statement_split": statement_split, "format_sql": format_sql, "convert_sql": convert_sql, "validate_sql": validate_sql, "ast_diff": ast_diff, "ast_search": ast_search,
     }
@@ -448,6 +456,7 @@ HAVING count(*) > 1 OR bool_or(EXISTS (SELECT 1 FROM s WHERE s.src = k.id AND s.
         "catalog_search_path": "SELECT * FROM (VALUES ('orders', 'shop.orders'), ('shop.orders', 'shop.orders'), ('nation', NULL)) v(query, table_id)",
         "quality_precision_recall": VERDICT_SQL + " SELECT case_id, count(*) FILTER (verdict = 'tp') AS tp, count(*) FILTER (verdict = 'fp') AS fp, count(*) FILTER (verdict = 'fn') AS fn, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall FROM v GROUP BY case_id",
         "quality_gaps": VERDICT_SQL + " SELECT case_id, from_id, to_id FROM v WHERE verdict = 'fn' AND from_id NOT IN (SELECT 'r' || r_regionkey FROM region WHERE r_name = 'ASIA')",
+        "coverage_totals": "SELECT o_orderpriority AS dialect, " + ", ".join(f"count(*) FILTER (o_orderstatus = '{s}' AND o_totalprice > 100000) AS \"{s}_ok\", count(*) FILTER (o_orderstatus = '{s}') AS \"{s}_total\"" for s in "FOP") + " FROM orders GROUP BY 1",
         "coverage_pivot": "SELECT o_orderpriority AS dialect, sum((o_totalprice > 100000)::INT) FILTER (o_orderstatus = 'F')::BIGINT AS \"F\", sum((o_totalprice > 100000)::INT) FILTER (o_orderstatus = 'O')::BIGINT AS \"O\" FROM orders GROUP BY 1",
         "unknown_rate": "SELECT count(*) FILTER (lang <> 'en') AS unknowns, sum(n_chars)::BIGINT AS \"references\", count(*) FILTER (lang <> 'en') / sum(n_chars) AS rate FROM documents",
         "fingerprints": "SELECT doc_id AS source_file, sha256('ctx' || chr(0) || text) AS fingerprint FROM documents",

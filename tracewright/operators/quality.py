@@ -63,6 +63,12 @@ def coverage(cells: DataFrame, by: str = "dialect") -> DataFrame:
     return cells.groupBy(by, "engine").agg(F.sum(F.col("ok").cast("long")).alias("ok"), F.count("*").alias("total"))
 
 
+def pivot_totals(cells: DataFrame, engines: list[str]) -> DataFrame:
+    """One row for each dialect, columns ``<engine>_ok`` and ``<engine>_total`` for each engine; 0 where there is no cell."""
+    out = coverage(cells).groupBy("dialect").pivot("engine", engines).agg(F.sum("ok").alias("ok"), F.sum("total").alias("total"))
+    return out.select("dialect", *(F.coalesce(c, F.lit(0)).alias(c) for c in out.columns if c != "dialect"))
+
+
 def pivot(cells: DataFrame, engines: list[str]) -> DataFrame:
     """One row for each dialect, one column of ok counts for each engine."""
     return cells.groupBy("dialect").pivot("engine", engines).agg(F.sum(F.col("ok").cast("long")))
