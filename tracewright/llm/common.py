@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,11 +41,23 @@ def workspace(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """A session setting that holds within the block and is put back after it."""
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` below the shared root and read it back."""
+    """Write ``df`` below the shared root and read it back; the write's shuffle files are dropped once it is over."""
     spark = df.sparkSession
     path = workspace(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -87,6 +100,12 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def unclaimed(df: DataFrame, into: str) -> None:
+    """An error if ``df`` has a column ``into``, which an operator would overwrite."""
+    if into.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"there is a column {into} already; choose another name by into=")
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let the context cleaner drop the shuffle files of jobs that are over."""
     import gc
