@@ -1,9 +1,9 @@
 """Secret scan by a trigram inverted index (DataFrame functions only).
 
 Each rule's regex is turned into a Boolean query over lower-case trigrams that
-every match must contain.  Postings ``(trigram, text key)`` are gathered, their
-trigrams united per text, and the query of each rule is evaluated on them; only
-texts that satisfy it are verified with the regex.  A rule without mandatory
+every match must contain.  Postings ``(trigram, text key)`` are stored in the
+order of their trigrams; a scan reads those of its rules, unites them per text and
+evaluates each rule's query; only texts that satisfy it are verified with the regex.  A rule without mandatory
 trigrams (``hex``) scans every text.
 
 Defined results: a null text counts as empty and has no spans; an empty table
@@ -17,10 +17,13 @@ from __future__ import annotations
 import re
 import warnings
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name, stage, unclaimed
+
 with warnings.catch_warnings():
     warnings.simplefilter("ignore")
     import re._constants as sre
@@ -56,6 +59,7 @@ MORE_RULES = (
 # ---- regex -> Boolean trigram query --------------------------------------
 # A query is True (no condition), a trigram, ("and", {...}) or ("or", {...}).
 _CLASS, _EXACT = 12, 64  # larger classes and exact sets are treated as "any text"
+_RUN = 256  # matches that gather in one array
 
 
 def _join(op: str, parts):
@@ -72,7 +76,8 @@ def _join(op: str, parts):
 
 
 def _grams(s: str) -> object:
-    return _join("and", (s[i : i + 3] for i in range(len(s) - 2)))
+    """Trigrams that cover every character of ``s`` with the fewest lookups."""
+    return _join("and", (s[i : i + 3] for i in sorted({*range(0, len(s) - 2, 3), len(s) - 3}) if i >= 0))
 
 
 class _Info:
@@ -174,57 +179,95 @@ def _holds(query, has) -> Column:
 
 
 def postings(docs: DataFrame, key: str, text: str, grams: list[str]) -> DataFrame:
-    """``(key, gram)``: which of ``grams`` (by position) stand in the lower-cased text."""
-    low = F.lower(F.col(text))
-    found = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(i)) for i, g in enumerate(grams)]))
-    return docs.select(F.col(key), F.explode(found).alias("gram"))
+    """``(key, gram)``: which of ``grams`` (by position) stand in the lower-cased text.
+
+    The text is lower-cased once, each gram sets a bit, and the set bits are listed.
+    """
+    low = docs.select(F.col(key).alias("key"), F.lower(F.col(text)).alias("low"))
+    word = lambda w: reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.contains("low", F.lit(g)), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, g in enumerate(grams[63 * w : 63 * w + 63])])
+    bits = low.select("key", *[word(w).alias(f"w{w}") for w in range(-(-len(grams) // 63))])
+    found = F.array_compact(F.array(*[F.when(F.col(f"w{i // 63}").bitwiseAND(F.lit(1 << i % 63).cast("long")) != 0, F.lit(i)) for i in range(len(grams))]))
+    return bits.select(F.col("key").alias(key), F.explode(found).alias("gram"))
+
 
+def index(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
+    """Stored postings ``(gram, key)`` of the rules' trigrams, in the order of gram and text key; ``scan`` takes them for these or fewer rules."""
+    grams = sorted(set().union(*(query_trigrams(trigram_query(r.pattern)) for r in rules)))
+    body = F.coalesce(F.col(text), F.lit(""))
+    posts = postings(docs.select(F.xxhash64(body).alias("key"), body.alias("text")), "key", "text", grams)
+    at = F.element_at(F.array(*map(F.lit, grams)), F.col("gram") + 1) if grams else F.lit("")
+    told = posts.select(at.alias("gram"), "key") if grams else docs.sparkSession.createDataFrame([], "gram string, key long")
+    return stage(told.distinct().repartitionByRange("gram", "key").sortWithinPartitions("gram", "key"), "postings")
 
-def candidates(posts: DataFrame, key: str, grams: list[str], queries: list) -> DataFrame:
-    """Intersect and unite postings: ``(key, mask)``, bit r set if rule r's query holds; queries that are True get no bit."""
-    words = [F.bit_or(F.when(F.floor(F.col("gram") / 63) == w, F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("gram") % 63).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range((len(grams) + 62) // 63)]
+
+def candidates(posts: DataFrame, grams: list[str], queries: list) -> DataFrame:
+    """Intersect and unite postings ``(gram, key)``: ``(key, mask)``, bit r set if rule r's query holds; queries that are True get no bit."""
     at = {g: i for i, g in enumerate(grams)}
+    place = F.array_position(F.array(*map(F.lit, grams)), F.col("gram")).cast("int") - 1
+    own = posts.where(F.col("gram").isin(grams)).select("key", place.alias("at"))
+    words = [F.bit_or(F.when(F.floor(F.col("at") / 63) == w, F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 63).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range((len(grams) + 62) // 63)]
     has = lambda g: F.col(f"w{at[g] // 63}").bitwiseAND(F.lit(1 << (at[g] % 63)).cast("long")) != 0
-    mask = sum((F.when(_holds(q, has), F.lit(1 << r)).otherwise(F.lit(0)) for r, q in enumerate(queries) if q is not True), F.lit(0))
-    return posts.groupBy(key).agg(*words).select(key, mask.alias("mask")).where("mask <> 0")
+    mask = reduce(lambda a, b: a + b, [F.when(_holds(q, has), F.lit(1 << r)).otherwise(F.lit(0)).cast("long") for r, q in enumerate(queries) if q is not True])
+    return own.groupBy("key").agg(*words).select("key", mask.alias("mask")).where("mask <> 0")
+
+
+def _run_of(rule: Rule) -> bool:
+    """Whether the rule is one repeated class, so that its length can stand in the pattern."""
+    return rule.group == 0 and re.fullmatch(r"\[[^]]*\]\+", rule.pattern) is not None
 
 
 def _java(rule: Rule) -> str:
-    return ("(?i)" if rule.fold else "") + rule.pattern
+    return ("(?i)" if rule.fold else "") + (f"{rule.pattern[:-1]}{{{rule.least},}}" if _run_of(rule) else rule.pattern)
 
 
 def _spans(text: Column, rule: Rule) -> Column:
-    """Array of ``(start, end)`` of the rule's matches: gaps between matches give the offsets."""
+    """Array of ``(start, end)`` of the rule's matches: gaps between matches give the offsets.
+
+    Matches gather in runs of ``_RUN``, so that a text with very many of them is
+    not copied once for each.
+    """
     pat = F.lit(_java(rule))
     whole, part = F.regexp_extract_all(text, pat, F.lit(0)), F.regexp_extract_all(text, pat, F.lit(rule.group))
     lens = F.zip_with(F.transform(F.split(text, _java(rule), -1), F.char_length), F.zip_with(F.transform(whole, F.char_length), F.transform(part, F.char_length), lambda a, b: F.struct(a.alias("all"), b.alias("part"))), lambda g, m: F.struct(g.alias("gap"), m["all"].alias("all"), m["part"].alias("part")))
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<s:int,e:int,n:int>>").alias("out"))
-    step = lambda acc, x: F.struct((acc["pos"] + x["gap"] + F.coalesce(x["all"], F.lit(0))).alias("pos"), F.when(x["all"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], F.struct((acc["pos"] + x["gap"]).alias("s"), (acc["pos"] + x["gap"] + x["all"]).alias("e"), x["part"].alias("n")))).alias("out"))
-    found = F.aggregate(lens, start, step, lambda acc: acc["out"])
+    few = "array<struct<s:int,e:int,n:int>>"
+    start = F.struct(F.lit(0).alias("pos"), F.array().cast(few).alias("now"), F.array().cast(f"array<{few}>").alias("done"))
+
+    def step(acc, x):
+        full = F.size(acc["now"]) >= _RUN
+        one = F.struct((acc["pos"] + x["gap"]).alias("s"), (acc["pos"] + x["gap"] + x["all"]).alias("e"), x["part"].alias("n"))
+        now = F.when(x["all"].isNull(), acc["now"]).when(full, F.array(one)).otherwise(F.array_append(acc["now"], one))
+        done = F.when(x["all"].isNotNull() & full, F.array_append(acc["done"], acc["now"])).otherwise(acc["done"])
+        return F.struct((acc["pos"] + x["gap"] + F.coalesce(x["all"], F.lit(0))).alias("pos"), now.alias("now"), done.alias("done"))
+
+    found = F.aggregate(lens, start, step, lambda acc: F.concat(F.flatten(acc["done"]), acc["now"]))
     return F.filter(found, lambda x: x["n"] >= rule.least)
 
 
-def scan(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, into: str = "spans") -> DataFrame:
-    """``docs`` plus ``into``: array of ``(s, r, e)`` (start, rule number, end; code points), sorted by start, then rule."""
+def scan(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, into: str = "spans", posts: DataFrame | None = None) -> DataFrame:
+    """``docs`` plus ``into``: array of ``(s, r, e)`` (start, rule number, end; code points), sorted by start, then rule.
+
+    ``posts``: an :func:`index` of these texts made before, else one is made.  A
+    column of ``docs`` that is already called ``into`` is an error.
+    """
+    unclaimed(docs, into)
     queries = [trigram_query(r.pattern) for r in rules]
     grams = sorted(set().union(*map(query_trigrams, queries)))
-    names = {c.lower() for c in docs.columns}
-    key = next(n for n in ("_key" + "_" * i for i in range(99)) if n not in names)
+    key = free_name(docs, "_key")
     mask = key + "m"
     keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    found = candidates(postings(keyed, key, text, grams), key, grams, queries) if grams else None
-    if found is None:
-        joined = keyed.withColumn(mask, F.lit(0))
+    if not grams:
+        joined = keyed.withColumn(mask, F.lit(0).cast("long"))
     else:
-        joined = keyed.join(found.withColumnRenamed("mask", mask), key, "left")
+        found = stage(candidates(index(docs, text, rules) if posts is None else posts, grams, queries), "candidates")
+        joined = keyed.join(found.select(F.col("key").alias(key), F.col("mask").alias(mask)), key, "left")
     body, parts = F.coalesce(F.col(text), F.lit("")), []
     for r, (rule, query) in enumerate(zip(rules, queries)):
         number = F.lit(r).alias("r")
         spans = F.transform(_spans(body, rule), lambda x: F.struct(x["s"].alias("s"), number, x["e"].alias("e")))  # noqa: B023
         if query is True:
-            due = F.regexp_like(body, F.lit(f"{rule.pattern[:-1]}{{{rule.least},}}")) if rule.group == 0 and re.fullmatch(r"\[[^]]*\]\+", rule.pattern) else F.lit(True)
+            due = F.regexp_like(body, F.lit(_java(rule))) if _run_of(rule) else F.lit(True)
         else:
-            due = F.coalesce(F.col(mask), F.lit(0)).bitwiseAND(F.lit(1 << r)) != 0
+            due = F.coalesce(F.col(mask), F.lit(0)).bitwiseAND(F.lit(1 << r).cast("long")) != 0
         parts.append(F.when(due, spans).otherwise(F.array().cast("array<struct<s:int,r:int,e:int>>")))
     return joined.withColumn(into, F.array_sort(F.concat(*parts))).drop(key, mask)
 
