@@ -8,7 +8,9 @@ Index: captures are sorted by reversed-host key and packed into gzip blocks of
 ``LINES`` lines (``index-*.gz``).  The directory keeps the first key, place and
 size of each block, in one sorted file per index shard, and a top list keeps the
 first key of each shard.  A lookup bisects the top list, then that shard's
-directory, reads one byte range of the index, and then one of an archive.
+directory, reads one byte range of the index, and then one of an archive.  A URL
+with very many captures spreads over blocks and shards, for it is sorted by key
+and page_id.
 
 File names are fresh for each task attempt and count only through the committed
 tables, so a lost executor's leftovers are never read.
@@ -149,7 +151,7 @@ def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: st
     told = rows.join(first, "digest", "left").withColumn("revisit", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
     captures = stage(told.select("page_id", "url", "html", "digest", "first", "revisit").mapInArrow(_archiver(folder), "key string, page_id long, file string, offset long, length long"), "captures")
     shards = max(1, -(-captures.count() // shard_rows))
-    ranged = captures.repartitionByRange(shards, "key") if shards > 1 else captures.coalesce(1)
+    ranged = captures.repartitionByRange(shards, "key", "page_id", "file", "offset") if shards > 1 else captures.coalesce(1)
     return folder, stage(ranged.sortWithinPartitions("key", "page_id", "file", "offset").mapInArrow(_indexer(folder), "key string, last string, stem string, blocks long"), "top")
 
 
@@ -175,43 +177,71 @@ class Index:
             self.directory = (stem, rows, [r["key"] for r in rows])
         return self.directory[1:]
 
-    def lookup(self, key: str) -> list[list]:
-        """All captures ``[page_id, file, offset, length]`` of a key."""
+    def blocks(self, key: str):
+        """``(stem, offset, length)`` of each block that may hold captures of a key."""
         if self.fs is None:
             self.fs, self.where = open_fs(self.folder)
-        out = []
         at = max(0, bisect_left(self.firsts, key) - 1)
         while at < len(self.shards) and self.firsts[at] <= key:
             stem = self.shards[at][2]
             if key <= self.shards[at][1]:
                 rows, keys = self._blocks(stem)
                 for i in range(max(0, bisect_left(keys, key) - 1), bisect_right(keys, key)):
-                    if self.block[0] != (stem, i):
-                        text = zlib.decompress(self._range(f"index-{stem}.gz", rows[i]["offset"], rows[i]["length"]), 31).decode()
-                        lines = [x.split(" ", 1) for x in text.split("\n")[:-1]]
-                        self.block = ((stem, i), [x[0] for x in lines], [x[1] for x in lines])
-                    own = self.block[1]
-                    out += [json.loads(x) for x in self.block[2][bisect_left(own, key) : bisect_right(own, key)]]
+                    yield stem, rows[i]["offset"], rows[i]["length"]
             at += 1
-        return out
+
+    def captures(self, key: str, stem: str, offset: int, length: int) -> list[list]:
+        """Captures ``[page_id, file, offset, length]`` of a key in one block."""
+        if self.fs is None:
+            self.fs, self.where = open_fs(self.folder)
+        if self.block[0] != (stem, offset):
+            text = zlib.decompress(self._range(f"index-{stem}.gz", offset, length), 31).decode()
+            lines = [x.split(" ", 1) for x in text.split("\n")[:-1]]
+            self.block = ((stem, offset), [x[0] for x in lines], [x[1] for x in lines])
+        own = self.block[1]
+        return [json.loads(x) for x in self.block[2][bisect_left(own, key) : bisect_right(own, key)]]
+
+    def lookup(self, key: str) -> list[list]:
+        """All captures ``[page_id, file, offset, length]`` of a key."""
+        return [c for place in self.blocks(key) for c in self.captures(key, *place)]
+
+
+_PLACE = pa.schema([("key", pa.string()), ("stem", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
 
 def _seeker(shared):
     def run(batches):
         index = Index(*shared.value)
         for b in batches:
-            rows = [dict(zip(_CAPTURE.names, (k, *c))) for k in b.column(0).to_pylist() for c in index.lookup(k)]
+            rows = [dict(zip(_PLACE.names, (k, *place))) for k in b.column(0).to_pylist() for place in index.blocks(k)]
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, _CAPTURE)
+                yield pa.RecordBatch.from_pylist(rows, _PLACE)
+
+    return run
+
+
+def _block_reader(folder: str):
+    def run(batches):
+        index = Index(folder, [])
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                rows = [dict(zip(_CAPTURE.names, (r["key"], *c))) for r in b.slice(at, 64).to_pylist() for c in index.captures(**r)]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, _CAPTURE)
 
     return run
 
 
 def lookup(keys: DataFrame, folder: str, top: DataFrame) -> DataFrame:
-    """Captures of distinct ``keys(key)``, found by bisection."""
+    """Captures of distinct ``keys(key)``: bisection finds the blocks, which are then dealt out and read.
+
+    A key with very many captures is many blocks, and so many tasks.
+    """
     spark = keys.sparkSession
     shared = spark.sparkContext.broadcast((folder, [tuple(r) for r in top.select("key", "last", "stem").collect()]))  # a row for each million captures
-    return keys.sortWithinPartitions("key").mapInArrow(_seeker(shared), "key string, page_id long, file string, offset long, length long")
+    places = keys.sortWithinPartitions("key").mapInArrow(_seeker(shared), "key string, stem string, offset long, length long")
+    dealt = places.repartition("stem", "offset").sortWithinPartitions("stem", "offset", "key")
+    return dealt.mapInArrow(_block_reader(folder), "key string, page_id long, file string, offset long, length long")
 
 
 def _fetcher(folder: str):
