@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, stage
+from .common import free_name, stage, unclaimed
 
 MIN_SITES, LG_K, BAND = 5, 12, 4.0
 
@@ -45,8 +45,10 @@ def clean(docs: DataFrame, text: str = "text", site: str = "source", min_sites:
     """``docs`` with boilerplate lines cut from ``text`` and their number in ``into``.
 
     The join key is the text's own hash: what is cut depends on the text alone,
-    and each line is still looked up by its hash.
+    and each line is still looked up by its hash.  A column of ``docs`` already
+    called ``into`` is an error.
     """
+    unclaimed(docs, into)
     key = free_name(docs, "_key")
     bad = stage(spread_lines(docs, text, site, min_sites), "spread")
     keyed = docs.withColumn(key, F.xxhash64(F.col(text)))
