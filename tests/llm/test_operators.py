@@ -81,6 +81,19 @@ def test_warc_index_bisects(spark, monkeypatch):
     assert index.lookup("com,nosuch)/") == []
 
 
+def test_warc_with_a_hot_url_and_a_long_payload(spark, monkeypatch):
+    monkeypatch.setattr(warc, "LINES", 7)
+    rows = [(i, "http://hot.com/", f"page {i}") for i in range(150)] + [(i, None, f"bare {i}") for i in range(150, 200)] + [(200, "http://a.com/", "long " * 700_000), (201, "http://b.com/", "long " * 700_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder, top = warc.write(pages, shard_rows=40)
+    shards = top.collect()
+    assert sum(r.key <= "com,hot)/" <= r.last for r in shards) > 2
+    got = warc.lookup(spark.createDataFrame([("com,hot)/",), ("-",), ("no,such)/",)], "key string"), folder, top)
+    assert sorted(r.page_id for r in got.collect()) == list(range(200))
+    told = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.digest(pages).collect()}
+    assert len(told) == 202 and told[200] == (3_500_000, "response", None) and told[201] == (3_500_000, "revisit", 200)
+
+
 # -- 2
 
 
@@ -153,6 +166,39 @@ def test_language_id(spark, docs, empty):
     assert all(r.language.lang == "und" for r in bare) and not next(r for r in bare if r.doc_id == 1).language.rejected
 
 
+def test_language_rejection(spark):
+    """Of these texts, in no trained language, all are rejected, and below 1 % of the trained ones are."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs)
+    foreign = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+        "Minden emberi lény szabadon születik és egyenlő méltósága és joga van.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar.",
+        "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền.",
+        "xq zzk vvr qwx kjh bnm plk",
+    ]
+    assert all(model.predict([" ".join([t] * n) for t in foreign for n in (1, 3, 20)])[2])
+    own = langid.predict(docs, model).where("text is not null").select("language.rejected").toPandas()["rejected"]
+    assert own.mean() < 0.01
+
+
+def test_language_floors_by_length():
+    scale = np.repeat([2, 5, 6, 9], [3, 60, 10, 50])
+    got = langid.floors(scale, np.repeat([0.1, 0.4, 0.6, 0.8], [3, 60, 10, 50]))
+    assert (got[:6] == got[0]).all() and got[0] == pytest.approx(langid.SLACK * np.quantile([0.1] * 3 + [0.4] * 60, langid.FLOOR))
+    assert (got[6:] == got[6]).all() and 0.3 <= got[6] / langid.SLACK <= 0.8
+
+
+def test_ties_and_names_already_taken(spark, docs):
+    same = spark.createDataFrame([(i, "ka lo mi tu " * 9, x) for i in range(200) for x in ("zz", "aa")], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in langid.digest(same).collect()} == {"aa"}
+    for run, name in ((lambda d: langid.predict(d, langid.fit(docs)), "language"), (linededup.clean, "n_removed")):
+        with pytest.raises(ValueError):
+            run(docs.withColumn(name, F.lit(1)))
+
+
 def test_grams_do_not_depend_on_pieces(monkeypatch):
     t = prose(3, 400) + " é!! 中 " + prose(4, 10)
     want = langid.grams(t)
@@ -341,6 +387,39 @@ def test_encoder_equals_library():
     assert enc.encode(texts) == [np.array(tok.encode(t, add_special_tokens=False).ids, enc.kind).tobytes() for t in texts]
 
 
+def test_pieces_that_share_a_hash():
+    """Thue-Morse words and their complements collide under every polynomial hash modulo 2^64."""
+    from tokenizers import Tokenizer
+
+    tok, enc = Tokenizer.from_file(tokenizer_path()), tokenstore.Encoder(tokenizer_path())
+    texts = [f"start {''.join(two[i.bit_count() & 1] for i in range(n))} end" for n in (256, 1024, 2048, 4096) for two in ("ab", "ba")]
+    assert enc.encode(texts) == [np.array(tok.encode(t, add_special_tokens=False).ids, enc.kind).tobytes() for t in texts]
+    made = tokenstore._keys
+    for key in (0, 5):  # keys without any worth: every piece shares one, or its length's
+        tokenstore._keys = lambda buf, s, e: (np.minimum(e - s, key).astype(np.uint64), *made(buf, s, e)[1:])
+        try:
+            assert tokenstore.Encoder(tokenizer_path()).encode(texts) == enc.encode(texts)
+        finally:
+            tokenstore._keys = made
+
+
+def test_pieces_that_differ_are_told_apart():
+    r = random.Random(8)
+    for n in (1, 7, 8, 9, 16, 17, 40):
+        a = bytes(r.randrange(256) for _ in range(n))
+        for i in range(n):
+            b = bytearray(a)
+            b[i] ^= 1
+            buf, s, e = a + bytes(b) + a + bytes(8), np.array([0, n, 2 * n]), np.array([n, 2 * n, 3 * n])
+            keys, head, tail = tokenstore._keys(buf, s, e)
+            assert keys[0] == keys[2] and keys[0] != keys[1] and tokenstore._same(buf, s, e, head, tail, np.array([0, 1, 0]))
+            assert not tokenstore._same(buf, s, e, head, tail, np.array([0, 0, 0]))
+    made = [bytes(r.choice(b"endtgab") for _ in range(n)) for n in (8, 9, 12, 16) for _ in range(20_000)]
+    ends = np.cumsum([len(x) for x in made])
+    keys = tokenstore._keys(b"".join([*made, bytes(8)]), np.append(0, ends[:-1]), ends)[0]
+    assert len(set(keys.tolist())) == len(set(made))
+
+
 # -- 9
 
 
@@ -428,3 +507,15 @@ def test_secret_scan(spark, docs, empty):
         assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(k == j for _, k, _ in spans) for j in range(3))
     assert secrets.digest(docs).count() == 12 and secrets.digest(empty).count() == 0
     assert secrets.scan(docs).columns == [*docs.columns, "spans"]
+    with pytest.raises(ValueError):
+        secrets.scan(docs.withColumn("Spans", F.lit(1)))
+
+
+def test_postings_serve_other_rules(spark, docs):
+    table = spark.createDataFrame([(1, "a token = abcdefgh"), (2, "AKIA" + "Q" * 20), (3, "nothing"), (4, None), (5, "a token = abcdefgh")], "doc_id long, text string")
+    posts = secrets.index(table)
+    assert posts.groupBy("gram", "key").count().where("count > 1").count() == 0 and posts.where("gram = 'tok'").count() == 1
+    for rules in (secrets.BASE_RULES, secrets.BASE_RULES[1:], secrets.BASE_RULES[2:], secrets.BASE_RULES + secrets.MORE_RULES):
+        want = {r.doc_id: r.spans for r in secrets.scan(table, rules=rules).collect()}
+        assert {r.doc_id: r.spans for r in secrets.scan(table, rules=rules, posts=posts).collect()} == want
+    assert secrets.index(docs.limit(0)).count() == 0
