@@ -24,6 +24,7 @@ doc_ids come first; repeated doc_ids are ordered by text; an empty table writes
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import sys
@@ -97,10 +98,12 @@ class Encoder:
 
     A byte-level BPE always splits a text before a space that follows another
     character, between a letter and punctuation, and after a lone line end.
-    Texts are cut there with numpy, equal pieces are found by two 64-bit hashes,
-    and each distinct piece is encoded once and remembered (twice ``CACHE``
-    short pieces at most, the least used half leaving first).  Texts with rarer white space or an added token's
-    string, and any other kind of tokenizer, are encoded whole.
+    Texts are cut there with numpy, equal pieces are found by a 64-bit key and
+    confirmed by all their bytes, and each distinct piece is encoded once and remembered
+    (twice ``CACHE`` short pieces at most, the least used half leaving first).
+    Where two pieces differ but share a key, the round's texts are encoded
+    whole, and so are texts with rarer white space or an added token's string,
+    and all texts of any other kind of tokenizer.
     """
 
     _made: dict[str, Encoder] = {}
@@ -156,11 +159,11 @@ class Encoder:
         return out
 
     def _cut(self, raws: list[bytes]) -> list[bytes]:
-        buf = b"".join(raws)
-        if not buf:
-            return [b""] * len(raws)
         at = np.cumsum([0, *map(len, raws)])
-        a = np.frombuffer(buf, np.uint8)
+        if not at[-1]:
+            return [b""] * len(raws)
+        buf = b"".join([*raws, bytes(8)])
+        a = np.frombuffer(buf, np.uint8, int(at[-1]))
         space = _SPACE[a]
         start = space.copy()
         start[1:] &= ~space[:-1]
@@ -172,11 +175,11 @@ class Encoder:
         start[2:] |= mark[2:] & two_byte
         s = np.flatnonzero(start)
         e = np.append(s[1:], len(a))
-        one, two = (_hashes(a, s, e, k) for k in (0, 1))
-        of, values = pd.factorize(one)
+        keys, head, tail = _keys(buf, s, e)
+        of, values = pd.factorize(keys)
         first = np.empty(len(values), np.int64)
         first[of[::-1]] = np.arange(len(of) - 1, -1, -1)
-        if (two != two[first][of]).any():  # two pieces share a hash
+        if not _same(buf, s, e, head, tail, first[of]):  # two pieces share a key
             return self._whole([r.decode("utf-8", "surrogatepass") for r in raws])
         pieces = [buf[x:y] for x, y in zip(s[first].tolist(), e[first].tolist())]
         if len(self.known) > CACHE:
@@ -206,8 +209,8 @@ class Encoder:
 _SPACE = np.isin(np.arange(256), [9, 10, 13, 32])
 _LETTER = np.array([c < 128 and chr(c).isalpha() for c in range(256)])
 _MARK = np.array([chr(c) in ".,;:!?()|%#$*" for c in range(256)])
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 _LONG = 1 << 21
-_POWERS: list[np.ndarray] = []
 
 
 def _slices(raw: bytes):
@@ -221,19 +224,40 @@ def _slices(raw: bytes):
         at = end
 
 
-def _hashes(a: np.ndarray, s: np.ndarray, e: np.ndarray, which: int) -> np.ndarray:
-    """Polynomial hashes, modulo 2^64, of the byte ranges; two independent kinds."""
-    if not _POWERS or len(_POWERS[0]) < len(a):
-        size = max(len(a), 1 << 21)
-        _POWERS.clear()
-        for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-            for x in (base, pow(base, -1, 1 << 64)):
-                _POWERS.append(np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)))))
-        rng = np.random.default_rng(11)
-        _POWERS.append(rng.integers(1, 2**63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1))
-    total = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum(_POWERS[4][which][a] * _POWERS[2 * which][: len(a)], out=total[1:])
-    return (total[e] - total[s]) * _POWERS[2 * which + 1][s]
+def _keys(buf: bytes, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(keys, first 8 bytes, last 8 bytes)`` of the byte ranges; ``buf`` goes on for 8 bytes after the last.
+
+    Up to 7 bytes the key is the bytes and their number.  Up to 16 it mixes the
+    first and last 8 with the number; beyond, it is a hash of all bytes.
+    """
+    from xxhash import xxh64_intdigest
+
+    words = np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,))
+    n = e - s
+    size = np.minimum(n, 8)
+    head = words[s] & _FIRST[size]
+    keys = head | n.astype(np.uint64) << np.uint64(56)
+    tail = np.zeros_like(head)
+    more = np.flatnonzero(n > 7)
+    tail[more] = words[e[more] - 8]
+    spread = np.uint64(0x9E3779B97F4A7C15)
+    mixed = (head[more] + n[more].astype(np.uint64)) * spread
+    mixed ^= mixed >> np.uint64(32)
+    keys[more] = mixed * np.uint64(0xC2B2AE3D27D4EB4F) ^ tail[more]
+    keys *= spread  # one to one, so the keys of short ranges stay distinct
+    keys ^= keys >> np.uint64(32)
+    for i in np.flatnonzero(n > 16).tolist():
+        keys[i] = xxh64_intdigest(buf[s[i] : e[i]])
+    return keys, head, tail
+
+
+def _same(buf: bytes, s: np.ndarray, e: np.ndarray, head: np.ndarray, tail: np.ndarray, to: np.ndarray) -> bool:
+    """Whether each byte range equals the range numbered ``to`` of it."""
+    n = e - s
+    if (n != n[to]).any() or (head != head[to]).any() or (tail != tail[to]).any():
+        return False
+    long = np.flatnonzero((n > 16) & (to != np.arange(len(to)))).tolist()
+    return all(buf[s[i] : e[i]] == buf[s[j] : e[j]] for i, j in zip(long, to[long].tolist()))
 
 
 # ---- the steps ------------------------------------------------------------------
@@ -244,12 +268,13 @@ def _spooler(folder: str, path: str, end_id: int):
         import zstandard
         from pyspark import TaskContext
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         enc, squeeze = Encoder.of(path), zstandard.ZstdCompressor(-3)
         end = np.array([end_id], enc.kind).tobytes()
         counts, docs, total = np.zeros(enc.vocabulary, np.int64), 0, 0
         fs, where = open_fs(folder)
         name = f"spool-{uuid.uuid4().hex}"
-        with fs.open_output_stream(f"{where}/{name}") as f:
+        with fs.open_output_stream(f"{where}/spools/{name}") as f:
             for b in batches:
                 ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
                 for at in range(0, len(ids), 512):
@@ -290,7 +315,7 @@ def _coder(folder: str, path: str):
         for b in batches:
             for row in b.to_pylist():
                 name, size = f"shard-{row['shard']:06d}-{uuid.uuid4().hex}.tok", 0
-                with fs.open_input_stream(f"{where}/{row['spool']}") as src, fs.open_output_stream(f"{where}/{name}") as out:
+                with fs.open_input_stream(f"{where}/spools/{row['spool']}") as src, fs.open_output_stream(f"{where}/{name}") as out:
                     ids, lengths, ranks, held = [], [], [], 0
                     while head := src.read(8):
                         docs, packed = struct.unpack("<II", head)
@@ -320,7 +345,7 @@ def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
     small_batches(spark)
     folder = folder or workspace(spark, "tokens")
     fs, where = open_fs(folder)
-    fs.create_dir(where, recursive=True)
+    fs.create_dir(f"{where}/spools", recursive=True)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
@@ -334,8 +359,7 @@ def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
     first = F.coalesce(F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     listed = spools.drop("counts").withColumn("first", first).repartition(shards)
     manifest = stage(listed.mapInArrow(_coder(folder, path), "shard int, file string, docs long, tokens long, first long, bytes long"), "manifest")
-    for row in spools.select("spool").toLocalIterator():
-        fs.delete_file(f"{where}/{row[0]}")
+    fs.delete_dir(f"{where}/spools")
     discard(spark, spools)
     return folder, manifest
 
