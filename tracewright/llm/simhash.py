@@ -6,7 +6,8 @@ with an odd inner product <phi(i), v>.  At most r differing positions span at
 most r dimensions, so some v is orthogonal to all of them: its mask keeps none
 of them and the pair collides there.  No pair within the radius is missed.
 
-Buckets are counted first, with partial counts before the shuffle.  Those above
+Buckets are counted first, with partial counts before the shuffle, and only
+fingerprints that share one go on.  Buckets above
 ``LIMIT`` distinct fingerprints are dealt out again by a second covering family over the positions that their mask ignores, so no comparison
 group exceeds 2^18 values whatever the data; nothing is capped.  A group yields
 a spanning forest of its links, not its pairs.
@@ -104,10 +105,11 @@ def links(values: DataFrame, radius: int = 4, limit: int = LIMIT) -> DataFrame:
     deeper = [[_signed(m | n) for n in covering([p for p in range(64) if not m >> p & 1], radius)] for m in masks]
     deal = lambda ms: F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")) for m in ms]))
     dealt = values.select("fp", deal(masks).alias("t", "key"))
-    hot = stage(dealt.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("t", "key"), "hot")
-    small = dealt.join(hot, ["t", "key"], "left_anti").groupBy("t", "key").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
+    shared = stage(dealt.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    sized = dealt.join(shared, ["t", "key"])
+    small = sized.where(F.col("n") <= limit).groupBy("t", "key").agg(F.collect_list("fp").alias("members"))
     again = F.array(*[F.array(*[F.lit(m).cast("long") for m in row]) for row in deeper])
-    large = dealt.join(hot, ["t", "key"], "left_semi").select("t", "fp", F.posexplode(F.transform(F.element_at(again, F.col("t") + 1), lambda m: F.col("fp").bitwiseAND(m))).alias("t2", "key"))
+    large = sized.where(F.col("n") > limit).select("t", "fp", F.posexplode(F.transform(F.element_at(again, F.col("t") + 1), lambda m: F.col("fp").bitwiseAND(m))).alias("t2", "key"))
     large = large.groupBy("t", "t2", "key").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
     run = _linker(radius)
     return small.select("members").mapInPandas(run, "a long, b long").union(large.select("members").mapInPandas(run, "a long, b long"))
