@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,42 +210,85 @@ def test_grams_do_not_depend_on_pieces(monkeypatch):
 # -- 5
 
 
-def test_katz(spark, docs, empty):
-    rows = [(i, " ".join(random.Random(i).choices("a b c d E é".split(), k=i % 9))) for i in range(120)] + [(500, None), (None, "a b"), (7, "A b")]
-    table = spark.createDataFrame(rows, "doc_id long, text string")
-    scores, tables = katz.score(table, F.col("doc_id") % 10 == 0)
+class Katz:
+    """Brute force: the same model from dictionaries."""
+
+    def __init__(self, rows, held, order):
+        from collections import Counter
+
+        self.one, self.two, self.three, k = Counter(), Counter(), Counter(), katz.K
+        for i, t in rows:
+            w = [*katz.words(t), b""]
+            if not held(i):
+                self.one.update(w)
+                self.two.update(zip([b" ", *w], w))
+                self.three.update(zip([b" ", *w], w, w[1:]))
+        self.n, self.v, self.order = sum(self.one.values()), len(self.one), order
+        self.d2 = katz.discounts([Counter(self.two.values())[r] for r in range(k + 2)])
+        self.d3 = katz.discounts([Counter(self.three.values())[r] for r in range(k + 2)], least=2)
+
+    def p1(self, w):
+        return (self.one[w] + 0.1) / (self.n + 0.1 * (self.v + 1))
+
+    def back(self, seen, size, d, w, lower):
+        if not size:
+            return lower(w)
+        kept = sum(x * d[min(x, katz.K + 1)] for x in seen.values())
+        if not kept:
+            return lower(w)
+        size = size + 0.5 if kept >= size * (1 - 1e-12) else size
+        return seen[w] * d[min(seen[w], katz.K + 1)] / size if w in seen else (size - kept) / size / (1 - sum(map(lower, seen))) * lower(w)
+
+    def p2(self, u, w):
+        seen = {y: x for (a, y), x in self.two.items() if a == u}
+        return self.back(seen, sum(seen.values()), self.d2, w, self.p1)
+
+    def p(self, t, u, w):
+        if self.order == 2 or t is None:
+            return self.p2(u, w)
+        every = {y: x for (a, b, y), x in self.three.items() if (a, b) == (t, u)}
+        return self.back({y: x for y, x in every.items() if x > 1}, sum(every.values()), self.d3, w, lambda y: self.p2(u, y))
+
+    def score(self, text):
+        w = [b" ", *katz.words(text), b""]
+        return sum(np.log10(self.p(t, u, y)) for t, u, y in zip([None, *w], w, w[1:]))
+
+    def base(self, text):
+        return sum(np.log10(self.p1(y)) for y in [*katz.words(text), b""])
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_katz(spark, docs, empty, monkeypatch, order):
+    monkeypatch.setattr(katz, "SPOOL_BYTES", 2500)
+    rows = [(i, " ".join(random.Random(i).choices("a b c d E é f g".split(), [9, 7, 5, 2, 2, 1, 1, 1], k=i % 9))) for i in range(160)] + [(500, None), (None, "a b"), (7, "A b")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    scores, tables = katz.score(table, F.col("doc_id") % 10 == 0, order=order)
     scores, tables = scores.toPandas(), tables.collect()
     held = lambda i: i is not None and i % 10 == 0
-    from collections import Counter
-
-    one, two = Counter(), Counter()
-    for i, t in rows:
-        w = [*katz.words(t), b""]
-        if not held(i):
-            one.update(w)
-            two.update(zip([b" ", *w[:-1]], w))
-    n, v = sum(one.values()), len(one)
-    d = katz.discounts([Counter(two.values())[r] for r in range(7)])
-    p1 = lambda w: (one[w] + 0.1) / (n + 0.1 * (v + 1))
-
-    def p(u, w):
-        c = {y: x for (a, y), x in two.items() if a == u}
-        if not c:
-            return p1(w)
-        size, kept = sum(c.values()), sum(x * d[min(x, 6)] for x in c.values())
-        size = size + 0.5 if kept >= size * (1 - 1e-12) else size
-        return c[w] * d[min(c[w], 6)] / size if w in c else (size - kept) / size / (1 - sum(map(p1, c))) * p1(w)
-
-    for u in [*one, b" ", b"new"]:
-        assert sum(p(u, w) for w in one) + p(u, b"unseen") == pytest.approx(1, abs=1e-9)
-    want = sorted((len(katz.words(t)) + 1, round(sum(np.log10(p(a, b)) for a, b in zip([b" ", *katz.words(t)], [*katz.words(t), b""])), 6)) for _, t in rows)
-    assert sorted((r.n_tokens, round(r.score, 6)) for r in scores.itertuples()) == want
-    assert {t.kind for t in tables} == {1, 2, 3} and set(scores["train_tokens"]) == {n}
-    assert katz.digest(docs).count() == 12 and katz.digest(empty).count() == 0
-    lone = katz.score(table, F.lit(True))[0].toPandas()
+    model = Katz(rows, held, order)
+    for t, u in [(None, b" "), (None, b"new"), *[x[:2] for x in list(model.three)[:40]], (b"new", b"a")]:
+        assert sum(model.p(t, u, w) for w in model.one) + model.p(t, u, b"unseen") == pytest.approx(1, abs=1e-9)
+    key = lambda i: -1 if i is None or i != i else int(i)
+    want = sorted((key(i), held(i), len(katz.words(t)) + 1, sum(model.one[w] > 0 for w in [*katz.words(t), b""]), model.n, round(model.base(t), 6), round(model.score(t), 6)) for i, t in rows)
+    assert sorted((key(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in scores.itertuples()) == want
+    assert {t.kind for t in tables} == set(range(1, order + (2 if order == 2 else 3)))
+    assert katz.score(docs, F.lit(False), order=order)[0].count() == 12 and katz.score(empty, F.lit(False), order=order)[0].count() == 0
+    lone = katz.score(table, F.lit(True), order=order)[0].toPandas()
     assert (lone["score"] == 0).all() and (lone["train_tokens"] == 0).all()
 
 
+def test_katz_counts_beyond_32_bits():
+    many = np.array([2**32 - 1], "<u4")
+    ask = pa.concat_tables([katz._ask(2, spool, np.array([77], np.uint64), [many], 8) for spool in range(3)])
+    said = katz._grams_merged(1)(ask).to_pylist()
+    assert katz._said([r for r in said if r["spool"] == 0], 2, ["<u8", "u1"])[0].tolist() == [3 * (2**32 - 1)]
+    table = next(r for r in said if r["kind"] == -2)
+    assert katz._unpack(table["vals"], "<u8").tolist() == [3 * (2**32 - 1)] and table["stats"][-1] == 3 * (2**32 - 1)
+    sums = [np.array([2**40], "<u8"), *[np.array([0], "<u8")] * katz.K, np.array([2], "<u8"), np.array([2**40], "<u8")]
+    size = katz._contexts_merged(2**41, 9, np.ones(katz.K + 2))(katz._ask(3, 1, np.array([5], np.uint64), sums, 8)).to_pylist()
+    assert katz._said(size, 3, ["<f8", "<f8"])[0].tolist() == [2**40 + 0.5]
+
+
 # -- 6
 
 

@@ -104,11 +104,3 @@ def unclaimed(df: DataFrame, into: str) -> None:
     """An error if ``df`` has a column ``into``, which an operator would overwrite."""
     if into.lower() in {c.lower() for c in df.columns}:
         raise ValueError(f"there is a column {into} already; choose another name by into=")
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Let the context cleaner drop the shuffle files of jobs that are over."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

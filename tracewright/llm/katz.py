@@ -1,19 +1,28 @@
-"""Katz backoff language model, bigram over unigram.
+"""Katz backoff language model: trigram over bigram over unigram.
 
-    P(w | v) = d(c) c(v, w) / C(v)      if the pair was seen
-             = alpha(v) P(w)            otherwise
-    P(w)     = (c(w) + 0.1) / (N + 0.1 (V + 1)),  one class for all unknown words
+    P(w | u, v) = d3(c) c(u, v, w) / C(u, v)  if the triple was seen twice or more
+                = alpha(u, v) P(w | v)        otherwise
+    P(w | v)    = d2(c) c(v, w) / C(v)        if the pair was seen
+                = alpha(v) P(w)               otherwise
+    P(w)        = (c(w) + 0.1) / (N + 0.1 (V + 1)),  one class for all unknown words
 
-d(c) is the Good-Turing discount for counts up to ``K``; alpha(v) gives what the
-seen pairs leave over to the words not seen after v, so each context sums to 1
-exactly.  A context whose discounts leave nothing keeps half a count back.
+The d(c) are Good-Turing discounts for counts up to ``K``; an alpha gives what the
+seen continuations of a context leave over to all others, so each context sums to
+1 exactly.  A context whose discounts leave nothing keeps half a count back.
+Triples seen once are given up to the backoff, as Katz proposed, so d3(1) is 0;
+their number still enters the discounts.  A text's first token has one start mark
+as its history and is scored by the pair.  ``order`` 2 leaves the triples out.
 
 Tables are dealt by the range of a 64-bit hash (``buckets``) and packed: a row
-holds a bucket's sorted keys and counts.  Texts stay in spool files of about
-``SPOOL_BYTES`` of text.  A spool asks each bucket for its distinct words, then
-its distinct pairs, then its contexts; a bucket merges all requests and answers
-each spool.  So a frequent word costs one entry a spool, whatever its count, and
-no word, pair or context gathers in one task.
+holds a bucket's sorted keys and 64-bit counts.  Texts stay in spool files of about
+``SPOOL_BYTES`` of text.  A spool asks each bucket for its distinct words and
+pairs, then for its contexts and for the triples of which both pairs were seen
+twice (no other can have been), then for the contexts of those; a bucket merges
+all requests and answers each spool.  So a frequent word costs one entry a spool,
+whatever its count, and no word, pair or context gathers in one task.  A spool
+sends a bucket one message or none, so messages grow with the square of the input
+only until each holds a single key; from there on they are what a plain shuffle
+of partially summed keys would be.
 
 Defined results: a null text is empty and has the end token alone; null ids
 count as the empty text in the fold; repeated rows each count; without training
@@ -25,13 +34,14 @@ from __future__ import annotations
 
 import struct
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, free_shuffles, open_fs, small_batches, stage, workspace
+from .common import crc_fold, open_fs, small_batches, stage, workspace
 
 SPOOL_BYTES, K, FIRST, BUCKET_BYTES = 16 << 20, 5, 0.1, 16 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -54,11 +64,12 @@ def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def discounts(n: list[int], k: int = K) -> np.ndarray:
-    """d(0..k+1) from the numbers ``n[r]`` of pairs seen r times, r up to k + 1; above k no discount."""
+def discounts(n: list[int], k: int = K, least: int = 1) -> np.ndarray:
+    """d(0..k+1) from the numbers ``n[r]`` of n-grams seen r times, r up to k + 1; above k no discount, below ``least`` 0."""
     out = np.ones(k + 2)
+    out[:least] = 0
     top = (k + 1) * n[k + 1] / n[1] if n[1] else 1.0
-    for r in range(1, k + 1):
+    for r in range(least, k + 1):
         star = (r + 1) * n[r + 1] / n[r] if n[r] else 0.0
         d = (star / r - top) / (1 - top) if top < 1 else 0.0
         out[r] = d if 0 < d < 1 else (r - 0.5) / r
@@ -86,16 +97,16 @@ def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
 
 
-_ASK = pa.schema([("bucket", pa.int32()), ("spool", pa.string()), ("keys", pa.binary()), ("vals", pa.binary())])
-_ASK_SQL = "bucket int, spool string, keys binary, vals binary"
-_SAY = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("spool", pa.string()), ("vals", pa.binary()), ("keys", pa.binary()), ("stats", pa.list_(pa.int64()))])
-_SAY_SQL = "kind int, bucket int, spool string, vals binary, keys binary, stats array<long>"
+_ASK = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("spool", pa.int64()), ("keys", pa.binary()), ("vals", pa.binary())])
+_ASK_SQL = "kind int, bucket int, spool long, keys binary, vals binary"
+_SAY = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("spool", pa.int64()), ("vals", pa.binary()), ("keys", pa.binary()), ("stats", pa.list_(pa.int64()))])
+_SAY_SQL = "kind int, bucket int, spool long, vals binary, keys binary, stats array<long>"
 
 
-def _ask(spool: str, keys: np.ndarray, columns: list[np.ndarray], buckets: int) -> pa.Table:
+def _ask(kind: int, spool: int, keys: np.ndarray, columns: list[np.ndarray], buckets: int) -> pa.Table:
     """Request rows for sorted keys; each column's slice follows the one before."""
     cut = _cuts(keys, buckets)
-    rows = [{"bucket": b, "spool": spool, "keys": _pack(keys[s:e], True), "vals": b"".join(_pack(c[s:e]) for c in columns)} for b, (s, e) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if e > s]
+    rows = [{"kind": kind, "bucket": b, "spool": spool, "keys": _pack(keys[s:e], True), "vals": b"".join(_pack(c[s:e]) for c in columns)} for b, (s, e) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if e > s]
     return pa.Table.from_pylist(rows, _ASK)
 
 
@@ -113,24 +124,34 @@ def _gathered(table: pa.Table, kinds: list[str]):
     return rows, np.cumsum([len(k) for k in keys])[:-1], np.concatenate(keys), [np.concatenate(c) for c in columns]
 
 
-def _answer(kind: int, rows: list[dict], ends: np.ndarray, columns: list[np.ndarray], table: tuple, stats: list[int]) -> pa.Table:
+def _answer(rows: list[dict], ends: np.ndarray, columns: list[np.ndarray], table: tuple, stats: list[int]) -> pa.Table:
     split = [np.split(c, ends) for c in columns]
-    out = [{"kind": kind, "bucket": r["bucket"], "spool": r["spool"], "vals": b"".join(_pack(c[i]) for c in split)} for i, r in enumerate(rows)]
-    out.append({"kind": -kind, "bucket": rows[0]["bucket"], "keys": table[0], "vals": table[1], "stats": stats})
+    out = [{"kind": r["kind"], "bucket": r["bucket"], "spool": r["spool"], "vals": b"".join(_pack(c[i]) for c in split)} for i, r in enumerate(rows)]
+    out.append({"kind": -rows[0]["kind"], "bucket": rows[0]["bucket"], "keys": table[0], "vals": table[1], "stats": stats})
     return pa.Table.from_pylist(out, _SAY)
 
 
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(distinct keys in order, one place of each, number of each key's entry)``."""
+    order = np.argsort(keys)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[order[1:]] != keys[order[:-1]]
+    of = np.empty(len(keys), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return keys[order[new]], order[new], of
+
+
 # ---- spools -------------------------------------------------------------------
 
 
 class _Spool:
     """Distinct word hashes (the start mark among them), the words of each text, and the texts' ids."""
 
-    def __init__(self, folder: str, name: str):
+    def __init__(self, folder: str, name: int):
         import zstandard
 
         fs, where = open_fs(folder)
-        with fs.open_input_stream(f"{where}/{name}", compression=None) as f:
+        with fs.open_input_stream(f"{where}/{name:016x}", compression=None) as f:
             raw = zstandard.ZstdDecompressor().decompress(f.read())
         u, n, docs = struct.unpack("<III", raw[:12])
         at = 12
@@ -142,27 +163,35 @@ class _Spool:
         self.ids = [None if x else i for i, x in zip(np.frombuffer(raw[at:], "<i8").tolist(), none)]
         self.train = np.repeat(~self.held, self.lengths)
 
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.end = int(np.searchsorted(self.uniq, np.uint64(_hash(b""))))
+
     def pairs(self):
-        """``(context, word, place of each token, count in training)`` of the distinct pairs, by key."""
-        start = int(np.searchsorted(self.uniq, np.uint64(_hash(b" "))))
-        before = np.empty_like(self.of)
-        before[1:] = self.of[:-1]
-        before[np.cumsum(self.lengths) - self.lengths] = start
-        codes, place = np.unique(before * len(self.uniq) + self.of, return_inverse=True)
-        v, w = codes // len(self.uniq), codes % len(self.uniq)
-        keys = pair_keys(self.uniq[v], self.uniq[w])
-        order = np.argsort(keys, kind="stable")
-        back = np.empty_like(order)
-        back[order] = np.arange(len(order))
-        place = back[place]
-        count = np.bincount(place[self.train], minlength=len(keys)).astype("<u4")
-        return keys[order], v[order], w[order], place, count
+        """``(keys, context, word, place of each token, count in training)`` of the distinct pairs, by key."""
+        return _pairs(self.uniq, self.of, self.starts, self.train)
+
+    def triples(self, keys: np.ndarray, place: np.ndarray, c2: np.ndarray):
+        """``(keys, context pair, last pair, tokens, place of each of these tokens, count in training)`` of triples whose pairs were both seen twice."""
+        often = c2[place] >= 2
+        often[1:] &= often[:-1]
+        often[self.starts] = False
+        token = np.flatnonzero(often)
+        own, at, of = _grouped(pair_keys(keys[place[token - 1]], self.uniq[self.of[token]]))
+        count = np.bincount(of[self.train[token]], minlength=len(own)).astype("<u4")
+        return own, place[token[at] - 1], place[token[at]], token, of, count
+
+
+def _pairs(uniq: np.ndarray, of: np.ndarray, starts: np.ndarray, train: np.ndarray):
+    before = np.empty_like(of)
+    before[1:] = of[:-1]
+    before[starts] = int(np.searchsorted(uniq, np.uint64(_hash(b" "))))
+    keys, at, place = _grouped(pair_keys(uniq[before], uniq[of]))
+    return keys, before[at], of[at], place, np.bincount(place[train], minlength=len(keys)).astype("<u4")
 
 
 def _spooler(folder: str, buckets: int):
     def run(batches):
         import zstandard
-        from pyspark import TaskContext
 
         fs, where = open_fs(folder)
         known: dict[bytes, int] = {}
@@ -171,17 +200,19 @@ def _spooler(folder: str, buckets: int):
 
         def flush():
             nonlocal ids, held, lengths, flat, size
-            tokens = np.concatenate(flat)
-            uniq = np.unique(np.append(tokens, np.uint64(start)))
-            of = np.searchsorted(uniq, tokens)
+            uniq, _, of = _grouped(np.concatenate([*flat, np.array([start], np.uint64)]))
+            of = of[:-1]
             train = np.repeat(~np.array(held, bool), lengths)
             count = np.bincount(of[train], minlength=len(uniq)).astype("<u4")
-            raw = struct.pack("<III", len(uniq), len(tokens), len(ids)) + _pack(uniq, True) + _pack(of.astype("<u4")) + np.array(lengths, "<u4").tobytes() + np.array(held, np.uint8).tobytes() + np.array([i is None for i in ids], np.uint8).tobytes() + np.array([i or 0 for i in ids], "<i8").tobytes()
-            name = f"{TaskContext.get().partitionId():07d}-{uuid.uuid4().hex}"
-            with fs.open_output_stream(f"{where}/{name}", compression=None) as f:
+            raw = struct.pack("<III", len(uniq), len(of), len(ids)) + _pack(uniq, True) + _pack(of.astype("<u4")) + np.array(lengths, "<u4").tobytes() + np.array(held, np.uint8).tobytes() + np.array([i is None for i in ids], np.uint8).tobytes() + np.array([i or 0 for i in ids], "<i8").tobytes()
+            name = uuid.uuid4().int >> 65
+            with fs.open_output_stream(f"{where}/{name:016x}", compression=None) as f:
                 f.write(zstandard.ZstdCompressor(3).compress(raw))
+            many = np.array(lengths)
             ids, held, lengths, flat, size = [], [], [], [], 0
-            return _ask(name, uniq, [count], buckets)
+            yield from _ask(1, name, uniq, [count], buckets).to_batches()
+            keys, _, _, _, count = _pairs(uniq, of, np.cumsum(many) - many, train)
+            yield from _ask(2, name, keys, [count], buckets).to_batches()
 
         for b in batches:
             for i, text, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
@@ -201,48 +232,84 @@ def _spooler(folder: str, buckets: int):
                 if len(known) > 300_000:
                     known.clear()
                 if size >= SPOOL_BYTES:
-                    yield from flush().to_batches()
+                    yield from flush()
         if ids:
-            yield from flush().to_batches()
+            yield from flush()
 
     return run
 
 
 def _words_merged(table: pa.Table) -> pa.Table:
     rows, ends, keys, (count,) = _gathered(table, ["<u4"])
-    uniq, of = np.unique(keys, return_inverse=True)
+    uniq, _, of = _grouped(keys)
     total = np.bincount(of, weights=count).astype("<u8")
     seen = total > 0
-    return _answer(1, rows, ends, [total[of]], (_pack(uniq[seen], True), _pack(total[seen])), [int(seen.sum()), int(total.sum())])
+    return _answer(rows, ends, [total[of]], (_pack(uniq[seen], True), _pack(total[seen])), [int(seen.sum()), int(total.sum())])
 
 
-def _pairs_merged(table: pa.Table) -> pa.Table:
-    rows, ends, keys, (count,) = _gathered(table, ["<u4"])
-    uniq, of = np.unique(keys, return_inverse=True)
-    total = np.bincount(of, weights=count).astype("<u8")
-    owner = np.zeros(len(keys), np.uint8)
-    some = np.flatnonzero(count)
-    owner[some[np.unique(of[some], return_index=True)[1]]] = 1
-    seen = total > 0
-    low = np.bincount(np.minimum(total[seen], K + 2).astype(np.int64), minlength=K + 3)
-    return _answer(2, rows, ends, [total[of].astype("<u4"), owner], (_pack(uniq[seen], True), _pack(total[seen].astype("<u4"))), low[: K + 2].tolist())
+def _grams_merged(least: int):
+    """Counts of pairs or triples, those below ``least`` as 0, and which spool speaks for each; statistics: how many were seen 0 to K + 1 times, and the sum of the counts kept."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows, ends, keys, (count,) = _gathered(table, ["<u4"])
+        uniq, _, of = _grouped(keys)
+        total = np.bincount(of, weights=count).astype("<u8")
+        total[total < least] = 0
+        owner = np.zeros(len(keys), np.uint8)
+        some = np.flatnonzero((count > 0) & (total[of] > 0))
+        owner[some[np.unique(of[some], return_index=True)[1]]] = 1
+        seen = total > 0
+        low = np.bincount(np.minimum(total[seen], K + 2).astype(np.int64), minlength=K + 3)
+        return _answer(rows, ends, [total[of], owner], (_pack(uniq[seen], True), _pack(total[seen])), [*low[: K + 2].tolist(), int(total.sum())])
+
+    return run
 
 
-_SUMS = ["<u4"] * (K + 2) + ["<u8"]  # of a context: tokens, pairs seen 1 to K times, successors, their own counts
+_SUMS = ["<u8"] * (K + 3)  # of a word as context: tokens, pairs seen 1 to K times, successors, their own counts
 
 
 def _contexts_merged(n: int, v: int, d: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
         rows, ends, keys, sums = _gathered(table, _SUMS)
-        uniq, of = np.unique(keys, return_inverse=True)
+        uniq, _, of = _grouped(keys)
         count, *low, followers, own = (np.bincount(of, weights=x) for x in sums)
         kept = count + sum((d[r] - 1) * r * x for r, x in enumerate(low, 1))
         mass = (own + FIRST * followers) / (n + FIRST * (v + 1))
-        size = np.where(kept >= count * (1 - 1e-12), count + 0.5, count)
-        left = np.where(count > 0, (size - kept) / np.maximum(size, 0.5), 1.0)
-        alpha = np.where(count > 0, left / np.maximum(1 - mass, 1e-300), 1.0)
+        size, alpha = _left(count, kept, mass)
         some = count > 0
-        return _answer(3, rows, ends, [size[of], alpha[of]], (_pack(uniq[some], True), _pack(size[some]) + _pack(alpha[some])), [])
+        return _answer(rows, ends, [size[of], alpha[of]], (_pack(uniq[some], True), _pack(size[some]) + _pack(alpha[some])), [])
+
+    return run
+
+
+def _left(count: np.ndarray, kept: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Denominators and alphas from contexts' counts, what the discounts keep of them, and the lower order's mass of the seen words."""
+    size = np.where(kept >= count * (1 - 1e-12), count + 0.5, count)
+    left = np.where(count > 0, (size - kept) / np.maximum(size, 0.5), 1.0)
+    return size, np.where(count > 0, left / np.maximum(1 - mass, 1e-300), 1.0)
+
+
+_SUMS3 = ["<u8", "<f8", "<f8"]  # of a pair as context: its count, what is kept of it, the mass of the seen words
+
+
+def _contexts3_merged(table: pa.Table) -> pa.Table:
+    rows, ends, keys, (count, kept, mass) = _gathered(table, _SUMS3)
+    uniq, at, of = _grouped(keys)
+
+    def total(x: np.ndarray) -> np.ndarray:  # in the order of the addends, so that reruns agree
+        order = np.lexsort((x, of))
+        return np.bincount(of[order], weights=x[order])
+
+    kept, mass = total(kept), total(mass)
+    size, alpha = _left(count[at].astype(float), kept, mass)
+    some = kept > 0
+    alpha[~some] = 1.0
+    return _answer(rows, ends, [size[of], alpha[of]], (_pack(uniq[some], True), _pack(size[some]) + _pack(alpha[some])), [])
+
+
+def _merged(by_kind: dict):
+    def run(table: pa.Table) -> pa.Table:
+        return by_kind[table.column("kind")[0].as_py()](table)
 
     return run
 
@@ -257,31 +324,62 @@ def _said(rows: list[dict], kind: int, kinds: list[str]) -> list[np.ndarray]:
             size = n * np.dtype(k).itemsize
             p.append(_unpack(r["vals"][at : at + size], k))
             at += size
-    return [np.concatenate(p) for p in parts]
+    return [np.concatenate([np.zeros(0, k), *p]) for k, p in zip(kinds, parts)]
 
 
-def _ask_pairs(folder: str, buckets: int):
+class _Known:
+    """A spool with what the buckets have said about it so far."""
+
+    def __init__(self, folder: str, table: pa.Table):
+        rows = table.to_pylist()
+        self.name = rows[0]["spool"]
+        self.spool = _Spool(folder, self.name)
+        (self.c1,) = _said(rows, 1, ["<u8"])
+        self.c2, owner = _said(rows, 2, ["<u8", "u1"])
+        self.owner2 = owner.astype(bool)
+        self.keys, self.ctx, self.word, self.place, _ = self.spool.pairs()
+        self.rows = rows
+
+    def p2(self, n: int, v: int, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of the distinct words, and of the distinct pairs' words after their contexts."""
+        p1 = (self.c1 + FIRST) / (n + FIRST * (v + 1))
+        size, alpha = _said(self.rows, 3, ["<f8", "<f8"])
+        p = np.maximum(alpha[self.ctx], 1e-300) * p1[self.word]
+        seen = self.c2 > 0
+        p[seen] = self.c2[seen] * d[np.minimum(self.c2[seen], K + 1).astype(int)] / size[self.ctx[seen]]
+        return p1, p
+
+    def contexts3(self) -> np.ndarray:
+        """The pairs whose triples may have been seen twice."""
+        return np.flatnonzero((self.c2 >= 2) & (self.word != self.spool.end))
+
+
+def _ask_contexts(folder: str, buckets: int, order: int):
     def run(table: pa.Table) -> pa.Table:
-        name = table.column("spool")[0].as_py()
-        keys, _, _, _, count = _Spool(folder, name).pairs()
-        return _ask(name, keys, [count], buckets)
+        k = _Known(folder, table)
+        c, ctx, follower = k.c2[k.owner2], k.ctx[k.owner2], k.c1[k.word[k.owner2]]
+        total = lambda x: np.bincount(ctx, weights=x, minlength=len(k.spool.uniq))
+        sums = [total(x).astype(t) for x, t in zip([c, *(c == r for r in range(1, K + 1)), np.ones(len(c)), follower], _SUMS)]
+        out = [_ask(3, k.name, k.spool.uniq, sums, buckets)]
+        if order > 2:
+            keys, *_, count = k.spool.triples(k.keys, k.place, k.c2)
+            out.append(_ask(4, k.name, keys, [count], buckets))
+        return pa.concat_tables(out)
 
     return run
 
 
-def _ask_contexts(folder: str, buckets: int):
+def _ask_contexts3(folder: str, buckets: int, n: int, v: int, d2: np.ndarray, d3: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        name = rows[0]["spool"]
-        spool = _Spool(folder, name)
-        (c1,) = _said(rows, 1, ["<u8"])
-        c2, owner = _said(rows, 2, ["<u4", "u1"])
-        _, ctx, word, _, _ = spool.pairs()
+        k = _Known(folder, table)
+        _, p2 = k.p2(n, v, d2)
+        _, ctx, last, *_ = k.spool.triples(k.keys, k.place, k.c2)
+        c3, owner = _said(k.rows, 4, ["<u8", "u1"])
         own = owner.astype(bool)
-        c, ctx, follower = c2[own], ctx[own], c1[word[own]]
-        total = lambda x: np.bincount(ctx, weights=x, minlength=len(spool.uniq))
-        sums = [total(x).astype(k) for x, k in zip([c, *(c == r for r in range(1, K + 1)), np.ones(len(c)), follower], _SUMS)]
-        return _ask(name, spool.uniq, sums, buckets)
+        c, ctx, last = c3[own], ctx[own], last[own]
+        total = lambda x: np.bincount(ctx, weights=x, minlength=len(k.keys))
+        due = k.contexts3()
+        return _ask(5, k.name, k.keys[due], [k.c2[due], total(c * d3[np.minimum(c, K + 1).astype(int)])[due], total(p2[last])[due]], buckets)
 
     return run
 
@@ -289,59 +387,76 @@ def _ask_contexts(folder: str, buckets: int):
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _score(folder: str, n: int, v: int, d: np.ndarray):
+def _score(folder: str, n: int, v: int, d2: np.ndarray, d3: np.ndarray | None):
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        spool = _Spool(folder, rows[0]["spool"])
-        (c1,) = _said(rows, 1, ["<u8"])
-        c2, _ = _said(rows, 2, ["<u4", "u1"])
-        size, alpha = _said(rows, 3, ["<f8", "<f8"])
-        _, ctx, word, place, _ = spool.pairs()
-        base = np.log10((c1 + FIRST) / (n + FIRST * (v + 1)))
-        seen = c2 > 0
-        score = np.log10(np.maximum(alpha[ctx], 1e-300)) + base[word]
-        score[seen] = np.log10(c2[seen] * d[np.minimum(c2[seen], K + 1)] / size[ctx[seen]])
-        at = np.cumsum(spool.lengths) - spool.lengths
-        add = lambda x: np.add.reduceat(x, at)
-        return pa.Table.from_arrays([pa.array(spool.ids, pa.int64()), pa.array(spool.held), pa.array(spool.lengths), pa.array(add((c1[spool.of] > 0).astype(np.int64))), pa.array(np.full(len(at), n, np.int64)), pa.array(add(base[spool.of])), pa.array(add(score[place]))], schema=_SCORED)
+        k = _Known(folder, table)
+        spool = k.spool
+        p1, p2 = k.p2(n, v, d2)
+        score = np.log10(p2)[k.place]
+        if d3 is not None:
+            size, alpha = _said(k.rows, 5, ["<f8", "<f8"])
+            due = k.contexts3()
+            at = np.full(len(k.keys), -1)
+            at[due] = np.arange(len(due))
+            context = np.append(-1, at[k.place[:-1]])
+            context[spool.starts] = -1
+            some = np.flatnonzero(context >= 0)
+            score[some] += np.log10(np.maximum(alpha[context[some]], 1e-300))
+            _, _, _, token, of, _ = spool.triples(k.keys, k.place, k.c2)
+            c3 = _said(k.rows, 4, ["<u8", "u1"])[0][of]
+            token, c3 = token[c3 > 0], c3[c3 > 0]
+            score[token] = np.log10(c3 * d3[np.minimum(c3, K + 1).astype(int)] / size[context[token]])
+        add = lambda x: np.add.reduceat(x, spool.starts)
+        return pa.Table.from_arrays([pa.array(spool.ids, pa.int64()), pa.array(spool.held), pa.array(spool.lengths), pa.array(add((k.c1[spool.of] > 0).astype(np.int64))), pa.array(np.full(len(spool.ids), n, np.int64)), pa.array(add(np.log10(p1)[spool.of])), pa.array(add(score))], schema=_SCORED)
 
     return run
 
 
-def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def _totals(said: DataFrame, kind: int) -> list[int]:
+    """The buckets' statistics of a kind, added up."""
+    got = said.where(F.col("kind") == -kind).select(F.posexplode("stats").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()  # a row for each statistic
+    return [r["x"] for r in sorted(got)]
+
+
+def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", order: int = 3) -> tuple[DataFrame, DataFrame]:
     """``(scores, tables)``: a row per document, and the model's packed tables.
 
     ``tables(kind, bucket, keys, vals)``: kind 1 words (counts), 2 pairs
-    (counts), 3 contexts (denominator and alpha).  Learns from the rows where
-    ``held_out`` does not hold.
+    (counts), 3 words as contexts (denominator and alpha), 4 triples (counts), 5
+    pairs as contexts (denominator and alpha; pairs not listed have alpha 1).
+    Learns from the rows where ``held_out`` does not hold.
     """
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     spark = docs.sparkSession
     small_batches(spark)
     folder = workspace(spark, "katz")
     fs, where = open_fs(folder)
     fs.create_dir(where, recursive=True)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size, learned = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum((~F.col("held")).cast("long")), F.lit(0))).first()
     buckets = max(8, -(-size // BUCKET_BYTES))
-    ask1 = rows.mapInArrow(_spooler(folder, buckets), _ASK_SQL)
-    said1 = stage(ask1.groupBy("bucket").applyInArrow(_words_merged, _SAY_SQL), "words")
-    free_shuffles(spark)
-    stats = [r[0] for r in said1.where("kind = -1").select("stats").collect()]  # a row for each bucket
-    v, n = (sum(s[i] for s in stats) for i in (0, 1))
-    spools = said1.where("kind = 1").select("spool").distinct()
-    tasks = max(1, spools.count())  # set, since adaptive execution would read a few names as one small task
-    ask2 = spools.repartition(tasks, "spool").groupBy("spool").applyInArrow(_ask_pairs(folder, buckets), _ASK_SQL)
-    said2 = stage(ask2.groupBy("bucket").applyInArrow(_pairs_merged, _SAY_SQL), "pairs")
-    free_shuffles(spark)
-    low = [r[0] for r in said2.where("kind = -2").select("stats").collect()]
-    d = discounts([sum(s[i] for s in low) for i in range(K + 2)])
-    known = said1.where("kind = 1").unionByName(said2.where("kind = 2")).select("kind", "bucket", "spool", "vals")
-    ask3 = known.repartition(tasks, "spool").groupBy("spool").applyInArrow(_ask_contexts(folder, buckets), _ASK_SQL)
-    said3 = stage(ask3.groupBy("bucket").applyInArrow(_contexts_merged(n, v, d), _SAY_SQL), "contexts")
-    free_shuffles(spark)
-    known = known.unionByName(said3.where("kind = 3").select("kind", "bucket", "spool", "vals"))
-    scored = known.repartition(tasks, "spool").groupBy("spool").applyInArrow(_score(folder, n, v, d), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    tables = said1.unionByName(said2).unionByName(said3).where("kind < 0").select((-F.col("kind")).alias("kind"), "bucket", "keys", "vals")
+    merge = lambda ask, by_kind, label: stage(ask.groupBy("kind", "bucket").applyInArrow(_merged(by_kind), _SAY_SQL), label)
+    first = merge(rows.mapInArrow(_spooler(folder, buckets), _ASK_SQL), {1: _words_merged, 2: _grams_merged(1)}, "grams")
+    v, n = _totals(first, 1) or (0, 0)
+    d2 = discounts((_totals(first, 2) or [0] * (K + 3))[: K + 2])
+    parts = [first]
+    tasks = max(1, first.where("kind = 1").select("spool").distinct().count())  # set, since adaptive execution would read a few names as one small task
+    narrow = ["kind", "bucket", "spool", "vals"]
+
+    def asked(run, schema: str) -> DataFrame:
+        known = reduce(DataFrame.unionByName, [p.where("kind > 0").select(narrow) for p in parts])
+        return known.repartition(tasks, "spool").groupBy("spool").applyInArrow(run, schema)
+
+    parts.append(merge(asked(_ask_contexts(folder, buckets, order), _ASK_SQL), {3: _contexts_merged(n, v, d2), 4: _grams_merged(2)}, "contexts"))
+    d3 = None
+    if order > 2:
+        low = _totals(parts[-1], 4) or [0] * (K + 3)
+        low[1] = n - learned - low[-1]  # all other triples were seen once
+        d3 = discounts(low[: K + 2], least=2)
+        parts.append(merge(asked(_ask_contexts3(folder, buckets, n, v, d2, d3), _ASK_SQL), {5: _contexts3_merged}, "contexts3"))
+    scored = asked(_score(folder, n, v, d2, d3), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    tables = reduce(DataFrame.unionByName, parts).where("kind < 0").select((-F.col("kind")).alias("kind"), "bucket", "keys", "vals")
     return scored, tables
 
 
