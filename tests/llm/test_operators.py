@@ -284,7 +284,7 @@ def test_katz_counts_beyond_32_bits():
     assert katz._said([r for r in said if r["spool"] == 0], 2, ["<u8", "u1"])[0].tolist() == [3 * (2**32 - 1)]
     table = next(r for r in said if r["kind"] == -2)
     assert katz._unpack(table["vals"], "<u8").tolist() == [3 * (2**32 - 1)] and table["stats"][-1] == 3 * (2**32 - 1)
-    sums = [np.array([2**40], "<u8"), *[np.array([0], "<u8")] * katz.K, np.array([2], "<u8"), np.array([2**40], "<u8")]
+    sums = [np.array([2**40], "<u8"), *[np.array([0], "<u8")] * katz.K, np.array([2], "<u8"), np.array([2**40], "<u8"), np.array([1], "u1")]
     size = katz._contexts_merged(2**41, 9, np.ones(katz.K + 2))(katz._ask(3, 1, np.array([5], np.uint64), sums, 8)).to_pylist()
     assert katz._said(size, 3, ["<f8", "<f8"])[0].tolist() == [2**40 + 0.5]
 

@@ -34,7 +34,7 @@ from __future__ import annotations
 
 import struct
 import uuid
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_fold, open_fs, small_batches, stage, workspace
 
-SPOOL_BYTES, K, FIRST, BUCKET_BYTES = 16 << 20, 5, 0.1, 16 << 20
+SPOOL_BYTES, K, FIRST, BUCKET_BYTES = 10 << 20, 5, 0.1, 10 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -97,6 +97,22 @@ def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
 
 
+@cache
+def _zstd():
+    import zstandard
+
+    return zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
+
+
+def _small(raw: bytes) -> bytes:
+    """A message's part compressed; byte planes of small numbers shrink more here than in Spark's shuffle."""
+    return _zstd()[0].compress(raw)
+
+
+def _large(raw: bytes) -> bytes:
+    return _zstd()[1].decompress(raw)
+
+
 _ASK = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("spool", pa.int64()), ("keys", pa.binary()), ("vals", pa.binary())])
 _ASK_SQL = "kind int, bucket int, spool long, keys binary, vals binary"
 _SAY = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("spool", pa.int64()), ("vals", pa.binary()), ("keys", pa.binary()), ("stats", pa.list_(pa.int64()))])
@@ -106,27 +122,27 @@ _SAY_SQL = "kind int, bucket int, spool long, vals binary, keys binary, stats ar
 def _ask(kind: int, spool: int, keys: np.ndarray, columns: list[np.ndarray], buckets: int) -> pa.Table:
     """Request rows for sorted keys; each column's slice follows the one before."""
     cut = _cuts(keys, buckets)
-    rows = [{"kind": kind, "bucket": b, "spool": spool, "keys": _pack(keys[s:e], True), "vals": b"".join(_pack(c[s:e]) for c in columns)} for b, (s, e) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if e > s]
+    rows = [{"kind": kind, "bucket": b, "spool": spool, "keys": _small(_pack(keys[s:e], True)), "vals": _small(b"".join(_pack(c[s:e]) for c in columns))} for b, (s, e) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if e > s]
     return pa.Table.from_pylist(rows, _ASK)
 
 
 def _gathered(table: pa.Table, kinds: list[str]):
     """``(rows, ends, keys, columns)`` of a bucket's requests, by spool."""
     rows = sorted(table.to_pylist(), key=lambda r: r["spool"])
-    keys = [_unpack(r["keys"], "<u8", True) for r in rows]
+    keys = [_unpack(_large(r["keys"]), "<u8", True) for r in rows]
     columns: list[list[np.ndarray]] = [[] for _ in kinds]
     for r, k in zip(rows, keys):
-        at = 0
+        at, vals = 0, _large(r["vals"])
         for c, kind in zip(columns, kinds):
             size = len(k) * np.dtype(kind).itemsize
-            c.append(_unpack(r["vals"][at : at + size], kind))
+            c.append(_unpack(vals[at : at + size], kind))
             at += size
     return rows, np.cumsum([len(k) for k in keys])[:-1], np.concatenate(keys), [np.concatenate(c) for c in columns]
 
 
 def _answer(rows: list[dict], ends: np.ndarray, columns: list[np.ndarray], table: tuple, stats: list[int]) -> pa.Table:
     split = [np.split(c, ends) for c in columns]
-    out = [{"kind": r["kind"], "bucket": r["bucket"], "spool": r["spool"], "vals": b"".join(_pack(c[i]) for c in split)} for i, r in enumerate(rows)]
+    out = [{"kind": r["kind"], "bucket": r["bucket"], "spool": r["spool"], "vals": _small(b"".join(_pack(c[i]) for c in split))} for i, r in enumerate(rows)]
     out.append({"kind": -rows[0]["kind"], "bucket": rows[0]["bucket"], "keys": table[0], "vals": table[1], "stats": stats})
     return pa.Table.from_pylist(out, _SAY)
 
@@ -136,8 +152,8 @@ def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.argsort(keys)
     new = np.ones(len(keys), bool)
     new[1:] = keys[order[1:]] != keys[order[:-1]]
-    of = np.empty(len(keys), np.int64)
-    of[order] = np.cumsum(new) - 1
+    of = np.empty(len(keys), np.int32)
+    of[order] = np.cumsum(new, dtype=np.int32) - 1
     return keys[order[new]], order[new], of
 
 
@@ -156,7 +172,7 @@ class _Spool:
         u, n, docs = struct.unpack("<III", raw[:12])
         at = 12
         self.uniq = _unpack(raw[at : (at := at + 8 * u)], "<u8", True)
-        self.of = _unpack(raw[at : (at := at + 4 * n)], "<u4").astype(np.int64)
+        self.of = _unpack(raw[at : (at := at + 4 * n)], "<u4").view("<i4")
         self.lengths = np.frombuffer(raw[at : (at := at + 4 * docs)], "<u4").astype(np.int64)
         self.held = np.frombuffer(raw[at : (at := at + docs)], np.uint8).astype(bool)
         none = np.frombuffer(raw[at : (at := at + docs)], np.uint8)
@@ -265,35 +281,35 @@ def _grams_merged(least: int):
     return run
 
 
-_SUMS = ["<u8"] * (K + 3)  # of a word as context: tokens, pairs seen 1 to K times, successors, their own counts
+_SUMS = ["<u8"] * (K + 3) + ["u1"]  # of a word as context: tokens, pairs seen 1 to K times, successors, their own counts, whether the spool needs alpha
 
 
 def _contexts_merged(n: int, v: int, d: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
         rows, ends, keys, sums = _gathered(table, _SUMS)
         uniq, _, of = _grouped(keys)
-        count, *low, followers, own = (np.bincount(of, weights=x) for x in sums)
+        count, *low, followers, own = (np.bincount(of, weights=x) for x in sums[:-1])
         kept = count + sum((d[r] - 1) * r * x for r, x in enumerate(low, 1))
         mass = (own + FIRST * followers) / (n + FIRST * (v + 1))
         size, alpha = _left(count, kept, mass)
         some = count > 0
-        return _answer(rows, ends, [size[of], alpha[of]], (_pack(uniq[some], True), _pack(size[some]) + _pack(alpha[some])), [])
+        return _answer(rows, ends, [size[of], alpha[of] * sums[-1]], (_pack(uniq[some], True), _pack(size[some]) + _pack(alpha[some])), [])
 
     return run
 
 
 def _left(count: np.ndarray, kept: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Denominators and alphas from contexts' counts, what the discounts keep of them, and the lower order's mass of the seen words."""
-    size = np.where(kept >= count * (1 - 1e-12), count + 0.5, count)
+    size = np.where(kept >= count, count + 0.5, count)
     left = np.where(count > 0, (size - kept) / np.maximum(size, 0.5), 1.0)
     return size, np.where(count > 0, left / np.maximum(1 - mass, 1e-300), 1.0)
 
 
-_SUMS3 = ["<u8", "<f8", "<f8"]  # of a pair as context: its count, what is kept of it, the mass of the seen words
+_SUMS3 = ["<u8", "<f8", "<f8", "u1"]  # of a pair as context: its count, what is kept of it, the mass of the seen words, whether the spool needs the answer
 
 
 def _contexts3_merged(table: pa.Table) -> pa.Table:
-    rows, ends, keys, (count, kept, mass) = _gathered(table, _SUMS3)
+    rows, ends, keys, (count, kept, mass, need) = _gathered(table, _SUMS3)
     uniq, at, of = _grouped(keys)
 
     def total(x: np.ndarray) -> np.ndarray:  # in the order of the addends, so that reruns agree
@@ -304,7 +320,7 @@ def _contexts3_merged(table: pa.Table) -> pa.Table:
     size, alpha = _left(count[at].astype(float), kept, mass)
     some = kept > 0
     alpha[~some] = 1.0
-    return _answer(rows, ends, [size[of], alpha[of]], (_pack(uniq[some], True), _pack(size[some]) + _pack(alpha[some])), [])
+    return _answer(rows, ends, [size[of] * need, alpha[of] * need], (_pack(uniq[some], True), _pack(size[some]) + _pack(alpha[some])), [])
 
 
 def _merged(by_kind: dict):
@@ -319,10 +335,11 @@ def _said(rows: list[dict], kind: int, kinds: list[str]) -> list[np.ndarray]:
     parts: list[list[np.ndarray]] = [[] for _ in kinds]
     width = sum(np.dtype(k).itemsize for k in kinds)
     for r in sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["bucket"]):
-        n, at = len(r["vals"]) // width, 0
+        vals = _large(r["vals"])
+        n, at = len(vals) // width, 0
         for p, k in zip(parts, kinds):
             size = n * np.dtype(k).itemsize
-            p.append(_unpack(r["vals"][at : at + size], k))
+            p.append(_unpack(vals[at : at + size], k))
             at += size
     return [np.concatenate([np.zeros(0, k), *p]) for k, p in zip(kinds, parts)]
 
@@ -336,9 +353,10 @@ class _Known:
         self.spool = _Spool(folder, self.name)
         (self.c1,) = _said(rows, 1, ["<u8"])
         self.c2, owner = _said(rows, 2, ["<u8", "u1"])
-        self.owner2 = owner.astype(bool)
+        self.owner2 = owner.view(bool)
+        self.rows = [r for r in rows if r["kind"] > 2]
+        del rows, table
         self.keys, self.ctx, self.word, self.place, _ = self.spool.pairs()
-        self.rows = rows
 
     def p2(self, n: int, v: int, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities of the distinct words, and of the distinct pairs' words after their contexts."""
@@ -349,22 +367,46 @@ class _Known:
         p[seen] = self.c2[seen] * d[np.minimum(self.c2[seen], K + 1).astype(int)] / size[self.ctx[seen]]
         return p1, p
 
-    def contexts3(self) -> np.ndarray:
-        """The pairs whose triples may have been seen twice."""
-        return np.flatnonzero((self.c2 >= 2) & (self.word != self.spool.end))
-
-
-def _ask_contexts(folder: str, buckets: int, order: int):
+    def third(self) -> None:
+        """Place the triples: the pairs that begin and end them, their counts, the count and context of each token, and the pairs that ask as contexts.
+
+        A pair asks if this spool speaks for one of its triples, or needs its
+        answer: a token after it backs off, or all triples that are seen here
+        have no discount, so that half a count may have been kept back.
+        """
+        _, self.before3, self.last3, token, of, _ = self.spool.triples(self.keys, self.place, self.c2)
+        count, owner = _said(self.rows, 4, ["<u8", "u1"])
+        self.count3, self.owner3 = count, owner.view(bool)
+        self.c3 = np.zeros(len(self.place), "<u8")
+        self.c3[token] = count[of]
+        self.context = np.append(np.int32(-1), self.place[:-1])
+        self.context[self.spool.starts] = -1
+        self.context[(self.context >= 0) & (self.c2[self.context] < 2)] = -1
+        n = len(self.keys)
+        marked = lambda where: np.bincount(self.context[where], minlength=n) > 0
+        after = self.context >= 0
+        self.need = marked(after & (self.c3 == 0)) | (marked(after & (self.c3 > K)) & ~marked(after & (self.c3 > 0) & (self.c3 <= K)))
+        speaks = np.bincount(self.before3[self.owner3], minlength=n) > 0
+        self.asks = np.flatnonzero(self.need | speaks)
+
+
+def _ask_contexts(folder: str, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         k = _Known(folder, table)
         c, ctx, follower = k.c2[k.owner2], k.ctx[k.owner2], k.c1[k.word[k.owner2]]
         total = lambda x: np.bincount(ctx, weights=x, minlength=len(k.spool.uniq))
         sums = [total(x).astype(t) for x, t in zip([c, *(c == r for r in range(1, K + 1)), np.ones(len(c)), follower], _SUMS)]
-        out = [_ask(3, k.name, k.spool.uniq, sums, buckets)]
-        if order > 2:
-            keys, *_, count = k.spool.triples(k.keys, k.place, k.c2)
-            out.append(_ask(4, k.name, keys, [count], buckets))
-        return pa.concat_tables(out)
+        need = np.bincount(k.ctx[k.c2 == 0], minlength=len(k.spool.uniq)) > 0
+        return _ask(3, k.name, k.spool.uniq, [*sums, need.astype(np.uint8)], buckets)
+
+    return run
+
+
+def _ask_triples(folder: str, buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        k = _Known(folder, table)
+        keys, *_, count = k.spool.triples(k.keys, k.place, k.c2)
+        return _ask(4, k.name, keys, [count], buckets)
 
     return run
 
@@ -372,14 +414,10 @@ def _ask_contexts(folder: str, buckets: int, order: int):
 def _ask_contexts3(folder: str, buckets: int, n: int, v: int, d2: np.ndarray, d3: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
         k = _Known(folder, table)
-        _, p2 = k.p2(n, v, d2)
-        _, ctx, last, *_ = k.spool.triples(k.keys, k.place, k.c2)
-        c3, owner = _said(k.rows, 4, ["<u8", "u1"])
-        own = owner.astype(bool)
-        c, ctx, last = c3[own], ctx[own], last[own]
-        total = lambda x: np.bincount(ctx, weights=x, minlength=len(k.keys))
-        due = k.contexts3()
-        return _ask(5, k.name, k.keys[due], [k.c2[due], total(c * d3[np.minimum(c, K + 1).astype(int)])[due], total(p2[last])[due]], buckets)
+        k.third()
+        c, ctx, last = k.count3[k.owner3], k.before3[k.owner3], k.last3[k.owner3]
+        total = lambda x: np.bincount(ctx, weights=x, minlength=len(k.keys))[k.asks]
+        return _ask(5, k.name, k.keys[k.asks], [k.c2[k.asks], total(c * d3[np.minimum(c, K + 1).astype(int)]), total(k.p2(n, v, d2)[1][last]), k.need[k.asks].astype(np.uint8)], buckets)
 
     return run
 
@@ -394,18 +432,14 @@ def _score(folder: str, n: int, v: int, d2: np.ndarray, d3: np.ndarray | None):
         p1, p2 = k.p2(n, v, d2)
         score = np.log10(p2)[k.place]
         if d3 is not None:
-            size, alpha = _said(k.rows, 5, ["<f8", "<f8"])
-            due = k.contexts3()
-            at = np.full(len(k.keys), -1)
-            at[due] = np.arange(len(due))
-            context = np.append(-1, at[k.place[:-1]])
-            context[spool.starts] = -1
-            some = np.flatnonzero(context >= 0)
-            score[some] += np.log10(np.maximum(alpha[context[some]], 1e-300))
-            _, _, _, token, of, _ = spool.triples(k.keys, k.place, k.c2)
-            c3 = _said(k.rows, 4, ["<u8", "u1"])[0][of]
-            token, c3 = token[c3 > 0], c3[c3 > 0]
-            score[token] = np.log10(c3 * d3[np.minimum(c3, K + 1).astype(int)] / size[context[token]])
+            k.third()
+            size, alpha = np.maximum(k.c2.astype(float), 1), np.ones(len(k.keys))
+            of_needed = k.need[k.asks]
+            size[k.need], alpha[k.need] = (x[of_needed] for x in _said(k.rows, 5, ["<f8", "<f8"]))
+            back = np.flatnonzero((k.context >= 0) & (k.c3 == 0))
+            score[back] += np.log10(np.maximum(alpha[k.context[back]], 1e-300))
+            seen = np.flatnonzero(k.c3)
+            score[seen] = np.log10(k.c3[seen] * d3[np.minimum(k.c3[seen], K + 1).astype(int)] / size[k.context[seen]])
         add = lambda x: np.add.reduceat(x, spool.starts)
         return pa.Table.from_arrays([pa.array(spool.ids, pa.int64()), pa.array(spool.held), pa.array(spool.lengths), pa.array(add((k.c1[spool.of] > 0).astype(np.int64))), pa.array(np.full(len(spool.ids), n, np.int64)), pa.array(add(np.log10(p1)[spool.of])), pa.array(add(score))], schema=_SCORED)
 
@@ -448,9 +482,13 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
         known = reduce(DataFrame.unionByName, [p.where("kind > 0").select(narrow) for p in parts])
         return known.repartition(tasks, "spool").groupBy("spool").applyInArrow(run, schema)
 
-    parts.append(merge(asked(_ask_contexts(folder, buckets, order), _ASK_SQL), {3: _contexts_merged(n, v, d2), 4: _grams_merged(2)}, "contexts"))
+    contexts = merge(asked(_ask_contexts(folder, buckets), _ASK_SQL), {3: _contexts_merged(n, v, d2)}, "contexts")
     d3 = None
-    if order > 2:
+    if order == 2:
+        parts.append(contexts)
+    else:
+        triples = merge(asked(_ask_triples(folder, buckets), _ASK_SQL), {4: _grams_merged(2)}, "triples")
+        parts += [contexts, triples]
         low = _totals(parts[-1], 4) or [0] * (K + 3)
         low[1] = n - learned - low[-1]  # all other triples were seen once
         d3 = discounts(low[: K + 2], least=2)
