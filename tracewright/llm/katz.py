@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_fold, open_fs, small_batches, stage, workspace
 
-SPOOL_BYTES, K, FIRST, BUCKET_BYTES = 10 << 20, 5, 0.1, 10 << 20
+SPOOL_BYTES, K, FIRST, BUCKET_BYTES = 16 << 20, 5, 0.1, 10 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -223,7 +223,7 @@ def _spooler(folder: str, buckets: int):
             raw = struct.pack("<III", len(uniq), len(of), len(ids)) + _pack(uniq, True) + _pack(of.astype("<u4")) + np.array(lengths, "<u4").tobytes() + np.array(held, np.uint8).tobytes() + np.array([i is None for i in ids], np.uint8).tobytes() + np.array([i or 0 for i in ids], "<i8").tobytes()
             name = uuid.uuid4().int >> 65
             with fs.open_output_stream(f"{where}/{name:016x}", compression=None) as f:
-                f.write(zstandard.ZstdCompressor(3).compress(raw))
+                f.write(zstandard.ZstdCompressor(6).compress(raw))
             many = np.array(lengths)
             ids, held, lengths, flat, size = [], [], [], [], 0
             yield from _ask(1, name, uniq, [count], buckets).to_batches()
@@ -305,19 +305,21 @@ def _left(count: np.ndarray, kept: np.ndarray, mass: np.ndarray) -> tuple[np.nda
     return size, np.where(count > 0, left / np.maximum(1 - mass, 1e-300), 1.0)
 
 
-_SUMS3 = ["<u8", "<f8", "<f8", "u1"]  # of a pair as context: its count, what is kept of it, the mass of the seen words, whether the spool needs the answer
+_SUMS3 = ["<u8", "<f8", "<f8", "u1"]  # of a pair as context: its count if the spool speaks for a triple, what is kept of it, the mass of the seen words, whether the spool needs the answer
 
 
 def _contexts3_merged(table: pa.Table) -> pa.Table:
     rows, ends, keys, (count, kept, mass, need) = _gathered(table, _SUMS3)
-    uniq, at, of = _grouped(keys)
+    uniq, _, of = _grouped(keys)
 
     def total(x: np.ndarray) -> np.ndarray:  # in the order of the addends, so that reruns agree
         order = np.lexsort((x, of))
         return np.bincount(of[order], weights=x[order])
 
     kept, mass = total(kept), total(mass)
-    size, alpha = _left(count[at].astype(float), kept, mass)
+    most = np.zeros(len(uniq), "<u8")
+    np.maximum.at(most, of, count)
+    size, alpha = _left(most.astype(float), kept, mass)
     some = kept > 0
     alpha[~some] = 1.0
     return _answer(rows, ends, [size[of] * need, alpha[of] * need], (_pack(uniq[some], True), _pack(size[some]) + _pack(alpha[some])), [])
@@ -386,8 +388,8 @@ class _Known:
         marked = lambda where: np.bincount(self.context[where], minlength=n) > 0
         after = self.context >= 0
         self.need = marked(after & (self.c3 == 0)) | (marked(after & (self.c3 > K)) & ~marked(after & (self.c3 > 0) & (self.c3 <= K)))
-        speaks = np.bincount(self.before3[self.owner3], minlength=n) > 0
-        self.asks = np.flatnonzero(self.need | speaks)
+        self.speaks = np.bincount(self.before3[self.owner3], minlength=n) > 0
+        self.asks = np.flatnonzero(self.need | self.speaks)
 
 
 def _ask_contexts(folder: str, buckets: int):
@@ -417,7 +419,7 @@ def _ask_contexts3(folder: str, buckets: int, n: int, v: int, d2: np.ndarray, d3
         k.third()
         c, ctx, last = k.count3[k.owner3], k.before3[k.owner3], k.last3[k.owner3]
         total = lambda x: np.bincount(ctx, weights=x, minlength=len(k.keys))[k.asks]
-        return _ask(5, k.name, k.keys[k.asks], [k.c2[k.asks], total(c * d3[np.minimum(c, K + 1).astype(int)]), total(k.p2(n, v, d2)[1][last]), k.need[k.asks].astype(np.uint8)], buckets)
+        return _ask(5, k.name, k.keys[k.asks], [(k.c2 * k.speaks)[k.asks], total(c * d3[np.minimum(c, K + 1).astype(int)]), total(k.p2(n, v, d2)[1][last]), k.need[k.asks].astype(np.uint8)], buckets)
 
     return run
 
