@@ -155,3 +155,62 @@ def test_visible_nodes_and_layout(spark):
     assert ast.visible(n, root.where("false")).count() == n.count()
     e = spark.createDataFrame([("a", "c"), ("b", "c")], "src string, dst string")
     assert sorted((r.id, r.depth, r.row) for r in graph.layout(e).collect()) == [("a", 0, 0), ("b", 0, 1), ("c", 1, 0)]
+
+
+def _random_graph(seed, n, m):
+    import random
+
+    r = random.Random(seed)
+    return sorted({(f"n{r.randrange(n)}", f"n{r.randrange(n)}") for _ in range(m)})
+
+
+def _closure(pairs):
+    after = {}
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+        after.setdefault(b, set())
+    reach = {}
+    for a in after:
+        seen, todo = set(), [a]
+        while todo:
+            for b in after[todo.pop()]:
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        reach[a] = seen
+    return after, reach
+
+
+@pytest.mark.parametrize("local", [500_000, 12])
+def test_components_layers_and_reach(spark, monkeypatch, local):
+    monkeypatch.setattr(graph, "LOCAL", local)
+    pairs = _random_graph(3, 40, 34) + [("z1", "z1"), ("y1", "y2"), ("y2", "y1"), ("y2", "y3")]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    after, reach = _closure(pairs)
+    want = {a: min([a, *(b for b in reach[a] if a in reach[b])]) for a in after}
+    assert {r.id: r.component for r in graph.components(edges).collect()} == want
+    cyclic = {a for a in after if sum(want[b] == want[a] for b in after) > 1}
+    depth = dict.fromkeys(after, 0)
+    for _ in after:
+        for a, b in pairs:
+            if a != b and a not in cyclic and b not in cyclic:
+                depth[b] = max(depth[b], depth[a] + 1)
+    assert {r.id: r.depth for r in graph.layers(edges).collect()} == depth
+    start = pairs[0][0]
+    hops = {r.id: r.distance for r in graph.impact(edges, start).collect()}
+    assert set(hops) == reach[start] | {start} and hops[start] == 0
+    assert all(any(hops.get(a) == hops[b] - 1 for a, c in pairs if c == b) for b in hops if b != start)
+    assert {r.id for r in graph.impact(edges, start, depth=1).collect()} == after[start] | {start}
+    loops = sorted((r.first, r["size"], r.members) for r in graph.cycle_list(edges).collect())
+    assert loops == sorted([(c, len(m), ",".join(sorted(m))) for c in set(want.values()) if len(m := [a for a in after if want[a] == c]) > 1] + [(a, 1, a) for a, b in pairs if a == b])
+
+
+def test_a_long_chain_is_solved_in_one_task(spark):
+    import time
+
+    edges = spark.createDataFrame([(f"c{i:05d}", f"c{i + 1:05d}") for i in range(3000)], "src string, dst string")
+    began = time.time()
+    assert graph.components(edges).where("id <> component").count() == 0
+    assert graph.layers(edges).agg({"depth": "max"}).first()[0] == 3000
+    assert graph.impact(edges, "c00000").agg({"distance": "max"}).first()[0] == 3000
+    assert time.time() - began < 60

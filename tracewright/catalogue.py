@@ -396,6 +396,7 @@ def queries() -> dict:
         "impact_depth2": _impact("r1", "DOWNSTREAM", 2), "impact_unknown_origin": _impact("zz", "DOWNSTREAM"), "impact_truncated": impact_truncated,
         "shortest_path_lex": lambda s, d: graph.shortest_path(cyclic_graph(s, d), "p150", "p160", "BOTH"),
         "cycles_scc": lambda s, d: graph.cycles(cyclic_graph(s, d)),
+        "cycles_listed": lambda s, d: graph.cycle_list(cyclic_graph(s, d)),
         "self_loops": lambda s, d: cyclic_graph(s, d).where("src = dst").select("src").distinct(),
         "strong_components": lambda s, d: graph.components(cyclic_graph(s, d)),
         "graph_merge_dedupe": graph_merge_dedupe, "in_out_degree": in_out_degree,
@@ -432,6 +433,8 @@ k AS (SELECT id, least(id, m0) AS component FROM c)
 SELECT component, count(*) AS size, bool_or(EXISTS (SELECT 1 FROM s WHERE s.src = k.id AND s.dst = k.id)) AS self_loop, string_agg(id, ',' ORDER BY id) AS members FROM k GROUP BY component
 HAVING count(*) > 1 OR bool_or(EXISTS (SELECT 1 FROM s WHERE s.src = k.id AND s.dst = k.id))""",
         "strong_components": _CLOSURE + ", c AS (SELECT n.id, min(CASE WHEN x.b IS NOT NULL THEN r.b ELSE n.id END) AS m0 FROM n LEFT JOIN r ON r.a = n.id LEFT JOIN r x ON x.a = r.b AND x.b = n.id GROUP BY n.id) SELECT id, least(id, m0) AS component FROM c",
+        "cycles_listed": _CLOSURE + """, c AS (SELECT n.id, min(CASE WHEN x.b IS NOT NULL THEN r.b ELSE n.id END) AS m0 FROM n LEFT JOIN r ON r.a = n.id LEFT JOIN r x ON x.a = r.b AND x.b = n.id GROUP BY n.id)
+SELECT least(id, m0) AS first, count(*) AS size, string_agg(id, ',' ORDER BY id) AS members FROM c GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT DISTINCT src, 1, src FROM s WHERE src = dst""",
         "self_loops": f"SELECT DISTINCT src FROM ({CYCLE_SQL}) WHERE src = dst",
         "graph_merge_dedupe": f"SELECT src, dst, kind, transform, min(seq) AS seq FROM ({CYCLE_SQL}) GROUP BY ALL",
         "in_out_degree": f"SELECT id, sum(o)::BIGINT AS outgoing, sum(i)::BIGINT AS incoming FROM (SELECT src AS id, 1 AS o, 0 AS i FROM ({KEY_SQL}) UNION ALL SELECT dst, 0, 1 FROM ({KEY_SQL})) GROUP BY id",

@@ -2,16 +2,26 @@
 
 Traversals are frontier loops: each hop joins the frontier with the distinct
 adjacency and drops what was reached before; the state is one row per node.
+
+A loop takes a round of jobs for each hop, and lineage graphs are long chains.
+So weakly connected parts of at most ``LOCAL`` steps are each solved inside one
+task, many small parts to a task, and only larger parts go round in hops.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.checkpoints import cut
 
+#: Steps that one task may hold.
+LOCAL = 1_000_000
+
 
 def merge_edges(edges: DataFrame, order: str = "seq") -> DataFrame:
     """One edge for each (src, dst, kind, transform): the first by ``order``."""
@@ -36,20 +46,148 @@ def adjacency(edges: DataFrame, direction: str = "DOWNSTREAM") -> DataFrame:
     return {"DOWNSTREAM": down, "UPSTREAM": up, "BOTH": down.union(up)}[direction].distinct()
 
 
+def _weak_parts(steps: DataFrame) -> DataFrame:
+    """``(id, part)``: the smallest id of each weakly connected part, by alternating star contraction."""
+    now, mark = cut(steps.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct()), None
+    while True:
+        flow = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        low = flow.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        wide = flow.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = wide.groupBy("a").agg(F.min("b").alias("m"))
+        now = cut(wide.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        sign = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if sign == mark:
+            break
+        mark = sign
+    return now.select(F.col("a").alias("id"), F.col("b").alias("part")).union(now.select("b", "b").distinct())
+
+
+def _dealt(steps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``(src, dst, bin)`` of the parts that fit one task each, bins of about ``LOCAL`` steps at most; and the steps of the larger parts, or None."""
+    total = steps.count()
+    if total <= LOCAL:
+        return steps.select("src", "dst", F.lit(0).alias("bin")), None
+    placed = cut(steps.join(_weak_parts(steps).withColumnRenamed("id", "src"), "src"))
+    sizes = cut(placed.groupBy("part").agg(F.count("*").alias("n")))
+    large = sizes.where(F.col("n") > LOCAL).select("part")
+    bins = max(1, 2 * total // LOCAL)
+    small = placed.join(large, "part", "left_anti").select("src", "dst", F.pmod(F.xxhash64("part"), F.lit(bins)).cast("int").alias("bin"))
+    return small, placed.join(large, "part", "left_semi").select("src", "dst") if large.take(1) else None
+
+
+def _numbered(f: pd.DataFrame) -> tuple[list[str], list[list[int]]]:
+    """``(ids, successors)`` of the steps of a frame; ids in order."""
+    both = pd.concat([f["src"], f["dst"]])
+    code, ids = pd.factorize(both, sort=True)
+    after: list[list[int]] = [[] for _ in ids]
+    for a, b in zip(code[: len(f)].tolist(), code[len(f) :].tolist()):
+        after[a].append(b)
+    return list(ids), after
+
+
+def _strong(after: list[list[int]]) -> list[int]:
+    """The smallest member of each node's strongly connected component, with an explicit stack."""
+    n = len(after)
+    index, low, out, on, stack, count = [-1] * n, [0] * n, [0] * n, [False] * n, [], 0
+    for root in range(n):
+        if index[root] >= 0:
+            continue
+        work = [(root, 0)]
+        while work:
+            v, i = work.pop()
+            if i == 0:
+                index[v] = low[v] = count
+                count += 1
+                stack.append(v)
+                on[v] = True
+            elif on[w := after[v][i - 1]]:
+                low[v] = min(low[v], low[w])
+            while i < len(after[v]) and index[after[v][i]] >= 0:
+                if on[w := after[v][i]]:
+                    low[v] = min(low[v], index[w])
+                i += 1
+            if i < len(after[v]):
+                work += [(v, i + 1), (after[v][i], 0)]
+            elif low[v] == index[v]:
+                at = len(stack) - 1
+                while stack[at] != v:
+                    at -= 1
+                least = min(stack[at:])
+                for w in stack[at:]:
+                    out[w], on[w] = least, False
+                del stack[at:]
+    return out
+
+
+def _local_components(f: pd.DataFrame) -> pd.DataFrame:
+    ids, after = _numbered(f)
+    return pd.DataFrame({"id": ids, "component": [ids[c] for c in _strong(after)]}, dtype=object)
+
+
+def _local_layers(f: pd.DataFrame) -> pd.DataFrame:
+    ids, after = _numbered(f)
+    strong = _strong(after)
+    size = pd.Series(strong).value_counts()
+    cyclic = [size[c] > 1 for c in strong]
+    depth, waits = [0] * len(ids), [0] * len(ids)
+    for a, xs in enumerate(after):
+        after[a] = [] if cyclic[a] else [b for b in xs if not cyclic[b]]
+        for b in after[a]:
+            waits[b] += 1
+    ready = [i for i, n in enumerate(waits) if not n]
+    while ready:
+        a = ready.pop()
+        for b in after[a]:
+            depth[b] = max(depth[b], depth[a] + 1)
+            waits[b] -= 1
+            if not waits[b]:
+                ready.append(b)
+    return pd.DataFrame({"id": pd.Series(ids, dtype=object), "depth": pd.array(depth, "int32")})
+
+
+def _local_reach(depth: int | None):
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        starts = f["src"].isna()
+        ids, after = _numbered(f[~starts])
+        at = {x: i for i, x in enumerate(ids)}
+        front = [at[x] for x in f["dst"][starts]]
+        seen, hop = dict.fromkeys(front, 0), 0
+        while front and (depth is None or hop < depth):
+            hop += 1
+            new = []
+            for a in front:
+                for b in after[a]:
+                    if b not in seen:
+                        seen[b] = hop
+                        new.append(b)
+            front = new
+        return pd.DataFrame({"id": pd.Series([ids[i] for i in seen], dtype=object), "distance": pd.array(list(seen.values()), "int32")})
+
+    return run
+
+
 def impact(edges: DataFrame, origin: str | DataFrame, direction: str = "DOWNSTREAM", depth: int | None = None) -> DataFrame:
     """``(id, distance)`` of everything reachable; the origin has distance 0, and stands alone if it is unknown."""
     spark, step = edges.sparkSession, cut(adjacency(edges, direction))
     start = spark.createDataFrame([(origin,)], "id string") if isinstance(origin, str) else origin.select("id").distinct()
-    seen = cut(start.withColumn("distance", F.lit(0)))
-    hop = 0
+    if step.count() <= LOCAL:
+        ends = step.select(F.col("src").alias("id")).union(step.select("dst")).distinct()
+        known = start.join(ends, "id", "left_semi").select(F.lit(None).cast("string").alias("src"), F.col("id").alias("dst"))
+        near = step.unionByName(known).withColumn("bin", F.lit(0)).groupBy("bin").applyInPandas(_local_reach(depth), "id string, distance int")
+        return near.union(start.join(ends, "id", "left_anti").withColumn("distance", F.lit(0)))
+    front = cut(start.withColumn("distance", F.lit(0)))
+    hops, hop = [front], 0
     while depth is None or hop < depth:
-        front = seen.where(F.col("distance") == hop)
+        seen = reduce(DataFrame.union, hops)
         new = cut(front.join(step, front["id"] == step["src"]).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"))
         if not new.take(1):
             break
         hop += 1
-        seen = cut(seen.union(new.withColumn("distance", F.lit(hop))))
-    return seen
+        front = new.withColumn("distance", F.lit(hop))
+        hops.append(front)
+        if len(hops) > 16:  # so that the plan stays short
+            hops = [cut(reduce(DataFrame.union, hops))]
+    return reduce(DataFrame.union, hops)
 
 
 def truncated(edges: DataFrame, reached: DataFrame, depth: int, direction: str = "DOWNSTREAM") -> bool:
@@ -76,24 +214,24 @@ def shortest_path(edges: DataFrame, start: str, end: str, direction: str = "DOWN
 
 
 def _spread_min(steps: DataFrame, colour: DataFrame) -> DataFrame:
-    """Smallest colour that reaches each node along ``steps``, within colours ``(id, c)``."""
+    """Smallest colour that reaches each node along ``steps``, within colours ``(id, c)``; each round only changed nodes speak."""
+    front = colour
     while True:
-        came = steps.join(colour, steps["src"] == colour["id"]).groupBy("dst").agg(F.min("c").alias("m"))
-        new = cut(colour.join(came, colour["id"] == came["dst"], "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c")))
-        if not new.join(colour.withColumnRenamed("c", "old"), "id").where("c <> old").take(1):
-            return new
-        colour = new
+        came = steps.join(front, steps["src"] == front["id"]).groupBy("dst").agg(F.min("c").alias("m"))
+        new = cut(colour.join(came, colour["id"] == came["dst"], "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"), (F.coalesce("m", "c") < F.col("c")).alias("changed")))
+        colour, front = new.select("id", "c"), new.where("changed").select("id", "c")
+        if not front.take(1):
+            return colour
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``(id, component)`` for every node: its strongly connected component, by the smallest member.
+def _colouring(steps: DataFrame) -> DataFrame:
+    """Strong components ``(id, component)`` of steps that no task can hold.
 
-    Colouring: the smallest id that reaches each node is spread forward; the
-    nodes of a colour that also reach that id backward are one component, and
-    leave.  Rounds go on until no node is left; ends of chains leave first.
+    The smallest id that reaches each node is spread forward; the nodes of a
+    colour that also reach that id backward are one component, and leave.  Rounds
+    go on until no node is left; ends of chains leave first.
     """
-    steps = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    left = cut(nodes(edges).select("id"))
+    left = cut(steps.select(F.col("src").alias("id")).union(steps.select("dst")).distinct())
     out = None
     while left.take(1):
         live = steps.join(left.withColumnRenamed("id", "src"), "src").join(left.withColumnRenamed("id", "dst"), "dst").select("src", "dst")
@@ -114,7 +252,16 @@ def components(edges: DataFrame) -> DataFrame:
         done = cut(done)
         out = done if out is None else out.union(done)
         left = cut(left.join(done, "id", "left_anti"))
-    return out if out is not None else left.select("id", F.col("id").alias("component"))
+    return out
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``(id, component)`` for every node: its strongly connected component, by the smallest member."""
+    small, large = _dealt(cut(edges.select("src", "dst").where("src <> dst").distinct()))
+    done = small.groupBy("bin").applyInPandas(_local_components, "id string, component string")
+    if large is not None:
+        done = done.union(_colouring(cut(large)))
+    return nodes(edges).select("id").join(done, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def cycles(edges: DataFrame) -> DataFrame:
@@ -124,6 +271,13 @@ def cycles(edges: DataFrame) -> DataFrame:
     return rows.where("size > 1 OR self_loop")
 
 
+def cycle_list(edges: DataFrame) -> DataFrame:
+    """``(first, size, members)``: a row for each component of several nodes, and one of its own for each self-loop, also inside such a component."""
+    own = components(edges).groupBy(F.col("component").alias("first")).agg(F.count("*").alias("size"), F.array_join(F.sort_array(F.collect_list("id")), ",").alias("members")).where("size > 1")
+    loops = edges.where("src = dst").select(F.col("src").alias("first")).distinct()
+    return own.union(loops.select("first", F.lit(1).cast("long"), F.col("first")))
+
+
 def subgraph(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges with both ends in ``ids(id)``."""
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
@@ -155,17 +309,26 @@ def unique_edge_ids(edges: DataFrame, order: str) -> DataFrame:
 
 def layers(edges: DataFrame) -> DataFrame:
     """``(id, depth)``: the longest path from a root; nodes on or behind a cycle keep the depth that their acyclic part gives."""
-    comp = components(edges)
+    small, large = _dealt(cut(edges.select("src", "dst").where("src <> dst").distinct()))
+    done = small.groupBy("bin").applyInPandas(_local_layers, "id string, depth int")
+    if large is not None:
+        done = done.union(_long_layers(cut(large)))
+    return nodes(edges).select("id").join(done, "id", "left").select("id", F.coalesce("depth", F.lit(0)).alias("depth"))
+
+
+def _long_layers(steps: DataFrame) -> DataFrame:
+    """The layers of steps that no task can hold; each round only the nodes that moved speak."""
+    comp = _colouring(steps)
     loops = comp.groupBy("component").count().where("count > 1").select("component")
-    cyclic = comp.join(loops, "component", "left_semi").select("id")
-    step = cut(collapse(edges.where("src <> dst").select("src", "dst").distinct(), cyclic))
-    depth = cut(nodes(edges).select("id", F.lit(0).alias("depth")))
+    step = cut(collapse(steps, comp.join(loops, "component", "left_semi").select("id")))
+    depth = cut(comp.select("id", F.lit(0).alias("depth")))
+    front = depth
     while True:
-        came = step.join(depth, step["src"] == depth["id"]).groupBy("dst").agg((F.max("depth") + 1).alias("m"))
-        new = cut(depth.join(came, depth["id"] == came["dst"], "left").select("id", F.greatest("depth", F.coalesce("m", "depth")).alias("depth")))
-        if not new.join(depth.withColumnRenamed("depth", "old"), "id").where("depth <> old").take(1):
-            return new
-        depth = new
+        came = step.join(front, step["src"] == front["id"]).groupBy("dst").agg((F.max("depth") + 1).alias("m"))
+        new = cut(depth.join(came, depth["id"] == came["dst"], "left").select("id", F.greatest("depth", F.coalesce("m", "depth")).alias("depth"), (F.coalesce("m", "depth") > F.col("depth")).alias("moved")))
+        depth, front = new.select("id", "depth"), new.where("moved").select("id", "depth")
+        if not front.take(1):
+            return depth
 
 
 def layout(edges: DataFrame) -> DataFrame:
