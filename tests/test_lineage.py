@@ -160,3 +160,20 @@ def test_format_convert_validate():
     assert convert("SELECT 1", "mysql", "nosuch")[1].startswith("dialect_unknown")
     assert validate("SELECT 1", None)[0][0] == "validate.skipped"
     assert validate("SELECT a FROM t", {"t": [("a", "int", None)]}) == []
+
+
+def test_subqueries_see_inner_and_outer_columns():
+    def edges(sql, schema=None):
+        return [(b["kind"], b["from_id"], b["to_id"]) for _, what, _, b in analyse(sql, schema) if what == "edge" and b["kind"] != "SOURCE"]
+
+    schema = {"t": [("a", "int", True), ("k", "int", True)], "s": [("b", "int", True)]}
+    assert edges("SELECT a FROM t WHERE EXISTS (SELECT 1 FROM s WHERE b = k)", schema) == [("OUTPUT", "t.a", "a"), ("PREDICATE", "s.b", "a"), ("PREDICATE", "t.k", "a")]
+    assert edges("SELECT a FROM t WHERE k IN (WITH c AS (SELECT b AS z FROM s) SELECT z FROM c UNION SELECT b FROM s)", schema) == [("OUTPUT", "t.a", "a"), ("PREDICATE", "t.k", "a"), ("PREDICATE", "c.z", "a"), ("PREDICATE", "s.b", "a"), ("OUTPUT", "s.b", "c.z")]
+    assert edges("UPDATE t SET a = (SELECT MAX(s.b) FROM s WHERE s.b < t.k)") == [("OUTPUT", "s.b", "t.a"), ("OUTPUT", "s.b", "t.a"), ("OUTPUT", "t.k", "t.a")]
+    bad = [b["reason"] for _, what, _, b in analyse("SELECT a FROM t WHERE EXISTS (SELECT 1 FROM s WHERE nosuch = 1)", schema) if what == "unknown"]
+    assert bad == ["column nosuch matches no source"]
+
+
+def test_many_diagnostics_are_numbered_by_statement():
+    said = [(i, k) for i, what, k, _ in analyse("SELEC a;" * 300) if what == "diagnostic"]
+    assert said == [(i, 0) for i in range(300)]

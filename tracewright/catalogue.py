@@ -18,7 +18,7 @@ FLAGSHIP = """SELECT c.c_name AS name, SUM(o.o_totalprice) AS total
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
 WHERE o.o_orderstatus = 'F' GROUP BY c.c_name"""
 
-#: Statements with the edges that follow from their meaning: kind, from, to, transform.
+#: Statements with the edges that follow from their meaning: kind, from, to, transform.  A bare name in ORDER BY is a source column wherever it can be one.
 STATEMENTS: dict[str, tuple[str, str]] = {
     "lineage_select": ("SELECT o.o_orderkey AS k, o.o_totalprice * 2 AS p FROM orders o WHERE o.o_orderstatus = 'F'", """
         OUTPUT orders.o_orderkey k DIRECT; OUTPUT orders.o_totalprice p EXPRESSION; PREDICATE orders.o_orderstatus k FILTER_PREDICATE;
@@ -55,6 +55,49 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         OUTPUT supplier.s_name part.p_name DIRECT; PREDICATE supplier.s_suppkey part.p_name FILTER_PREDICATE; PREDICATE part.p_partkey part.p_name FILTER_PREDICATE;
         SOURCE part part.p_name SOURCE; SOURCE supplier part.p_name SOURCE"""),
     "lineage_delete": ("DELETE FROM orders WHERE o_totalprice < 0", ""),
+    "lineage_left_join": ("SELECT c.c_custkey AS k, o.o_orderkey AS o FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey", """
+        OUTPUT customer.c_custkey k DIRECT; OUTPUT orders.o_orderkey o DIRECT; JOIN_KEY orders.o_custkey customer.c_custkey JOIN_KEY;
+        SOURCE customer k SOURCE; SOURCE customer o SOURCE; SOURCE orders k SOURCE; SOURCE orders o SOURCE"""),
+    "lineage_right_join": ("SELECT o.o_orderkey AS o FROM orders o RIGHT OUTER JOIN customer c ON o.o_custkey = c.c_custkey", """
+        OUTPUT orders.o_orderkey o DIRECT; JOIN_KEY orders.o_custkey customer.c_custkey JOIN_KEY; SOURCE orders o SOURCE; SOURCE customer o SOURCE"""),
+    "lineage_full_join": ("SELECT n.n_name AS n FROM nation n FULL JOIN supplier s ON n.n_nationkey = s.s_nationkey", """
+        OUTPUT nation.n_name n DIRECT; JOIN_KEY nation.n_nationkey supplier.s_nationkey JOIN_KEY; SOURCE nation n SOURCE; SOURCE supplier n SOURCE"""),
+    "lineage_cross_join": ("SELECT r.r_name AS r, n.n_name AS n FROM region r CROSS JOIN nation n", """
+        OUTPUT region.r_name r DIRECT; OUTPUT nation.n_name n DIRECT; SOURCE region r SOURCE; SOURCE region n SOURCE; SOURCE nation r SOURCE; SOURCE nation n SOURCE"""),
+    "lineage_comma_join": ("SELECT n.n_name AS n FROM nation n, region r WHERE n.n_regionkey = r.r_regionkey", """
+        OUTPUT nation.n_name n DIRECT; PREDICATE nation.n_regionkey n FILTER_PREDICATE; PREDICATE region.r_regionkey n FILTER_PREDICATE; SOURCE nation n SOURCE; SOURCE region n SOURCE"""),
+    "lineage_theta_join": ("SELECT a.p_partkey AS x FROM part a JOIN part b ON a.p_size < b.p_size", """
+        OUTPUT part.p_partkey x DIRECT; PREDICATE part.p_size x FILTER_PREDICATE; PREDICATE part.p_size x FILTER_PREDICATE; SOURCE part x SOURCE"""),
+    "lineage_self_join": ("SELECT a.r_name AS x, b.r_name AS y FROM region a JOIN region b ON a.r_regionkey = b.r_regionkey", """
+        OUTPUT region.r_name x DIRECT; OUTPUT region.r_name y DIRECT; JOIN_KEY region.r_regionkey region.r_regionkey JOIN_KEY; SOURCE region x SOURCE; SOURCE region y SOURCE"""),
+    "lineage_exists": ("SELECT c.c_name AS n FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)", """
+        OUTPUT customer.c_name n DIRECT; PREDICATE orders.o_custkey n FILTER_PREDICATE; PREDICATE customer.c_custkey n FILTER_PREDICATE; SOURCE customer n SOURCE"""),
+    "lineage_in_subquery": ("SELECT n.n_name AS n FROM nation n WHERE n.n_regionkey IN (SELECT r.r_regionkey FROM region r WHERE r.r_name < 'B')", """
+        OUTPUT nation.n_name n DIRECT; PREDICATE nation.n_regionkey n FILTER_PREDICATE; PREDICATE region.r_regionkey n FILTER_PREDICATE; PREDICATE region.r_name n FILTER_PREDICATE; SOURCE nation n SOURCE"""),
+    "lineage_scalar_subquery": ("SELECT c.c_name AS n, (SELECT MAX(o.o_totalprice) FROM orders o WHERE o.o_custkey = c.c_custkey) AS m FROM customer c", """
+        OUTPUT customer.c_name n DIRECT; OUTPUT orders.o_totalprice m EXPRESSION; OUTPUT orders.o_custkey m EXPRESSION; OUTPUT customer.c_custkey m EXPRESSION; SOURCE customer n SOURCE; SOURCE customer m SOURCE"""),
+    "lineage_subquery_over_derived": ("SELECT p.p_name AS n FROM part p WHERE p.p_size > (SELECT AVG(d.s) FROM (SELECT q.p_size AS s FROM part q) d)", """
+        OUTPUT part.p_name n DIRECT; PREDICATE part.p_size n FILTER_PREDICATE; PREDICATE d.s n FILTER_PREDICATE; SOURCE part n SOURCE; OUTPUT part.p_size d.s DIRECT; SOURCE part d.s SOURCE"""),
+    "lineage_rollup": ("SELECT o.o_orderstatus AS s, COUNT(*) AS n FROM orders o GROUP BY ROLLUP (o.o_orderstatus, o.o_orderpriority)", """
+        OUTPUT orders.o_orderstatus s DIRECT; GROUP_BY orders.o_orderstatus s GROUPING; GROUP_BY orders.o_orderstatus n GROUPING; GROUP_BY orders.o_orderpriority s GROUPING;
+        GROUP_BY orders.o_orderpriority n GROUPING; SOURCE orders s SOURCE; SOURCE orders n SOURCE"""),
+    "lineage_lag": ("SELECT lag(e.event_type, 1, 'none') OVER (PARTITION BY e.user_id ORDER BY e.event_id) AS b FROM events e", """
+        OUTPUT events.event_type b WINDOW; OUTPUT events.user_id b WINDOW; OUTPUT events.event_id b WINDOW; SOURCE events b SOURCE"""),
+    "lineage_frame": ("SELECT SUM(o.o_totalprice) OVER (PARTITION BY o.o_custkey ORDER BY o.o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS t FROM orders o", """
+        OUTPUT orders.o_totalprice t WINDOW; OUTPUT orders.o_custkey t WINDOW; OUTPUT orders.o_orderkey t WINDOW; SOURCE orders t SOURCE"""),
+    "lineage_order_limit": ("SELECT o.o_orderkey AS k, o.o_orderdate AS d FROM orders o ORDER BY o.o_totalprice DESC, k LIMIT 10 OFFSET 2", """
+        OUTPUT orders.o_orderkey k DIRECT; OUTPUT orders.o_orderdate d DIRECT; ORDER_BY orders.o_totalprice k ORDERING; ORDER_BY orders.o_totalprice d ORDERING;
+        ORDER_BY orders.k k ORDERING; ORDER_BY orders.k d ORDERING; SOURCE orders k SOURCE; SOURCE orders d SOURCE"""),
+    "lineage_distinct": ("SELECT DISTINCT o.o_orderstatus FROM orders o", "OUTPUT orders.o_orderstatus o_orderstatus DIRECT; SOURCE orders o_orderstatus SOURCE"),
+    "lineage_intersect_except": ("SELECT o.o_custkey AS k FROM orders o INTERSECT SELECT c.c_custkey FROM customer c EXCEPT SELECT s.s_suppkey FROM supplier s", """
+        OUTPUT orders.o_custkey k DIRECT; SOURCE orders k SOURCE; OUTPUT customer.c_custkey k DIRECT; SOURCE customer k SOURCE; OUTPUT supplier.s_suppkey k DIRECT; SOURCE supplier k SOURCE"""),
+    "lineage_casts": ("SELECT CAST(p.p_size AS BIGINT) AS a, p.p_name || '-' || p.p_brand AS b, p.p_size BETWEEN 1 AND 9 AS c, p.p_type IS NULL AS d, 1 AS e FROM part p", """
+        OUTPUT part.p_size a EXPRESSION; OUTPUT part.p_name b EXPRESSION; OUTPUT part.p_brand b EXPRESSION; OUTPUT part.p_size c EXPRESSION; OUTPUT part.p_type d EXPRESSION;
+        SOURCE part a SOURCE; SOURCE part b SOURCE; SOURCE part c SOURCE; SOURCE part d SOURCE; SOURCE part e SOURCE"""),
+    "lineage_nested_aggregate": ("SELECT SUM(l.l_tax) / COUNT(l.l_discount) AS r FROM lineitem l", "OUTPUT lineitem.l_tax r EXPRESSION; OUTPUT lineitem.l_discount r EXPRESSION; SOURCE lineitem r SOURCE"),
+    "lineage_in_list": ("SELECT n.n_name AS n FROM nation n WHERE n.n_regionkey IN (1, 2) AND NOT n.n_name LIKE 'A%'", """
+        OUTPUT nation.n_name n DIRECT; PREDICATE nation.n_regionkey n FILTER_PREDICATE; PREDICATE nation.n_name n FILTER_PREDICATE; SOURCE nation n SOURCE"""),
+    "lineage_delete_exists": ("DELETE FROM orders WHERE EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = orders.o_custkey)", ""),
 }
 # Without a schema, USING (k) finds k in the only source to its left and in the right one.
 STATEMENTS["lineage_using"] = (STATEMENTS["lineage_using"][0], STATEMENTS["lineage_using"][1] + "; JOIN_KEY a.k b.k JOIN_KEY")
@@ -219,6 +262,108 @@ def statement_split(spark, sf_dir):
     return LineageEngine.table(facts, "statement").select("statement_index", "statement_kind", "span_start", "span_end")
 
 
+def _scripts(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A script for each nation, from an expression over its row."""
+    return read(spark, sf_dir, "nation").selectExpr("CAST(n_nationkey AS STRING) AS source_file", f"{sql} AS sql")
+
+
+#: A script for each nation: its columns and tables are named by the row's keys.  The text is the same expression in both engines.
+NUMBERED = "'SELECT c' || n_nationkey || ' + 1 AS x FROM t' || n_regionkey"
+SPREAD = "'select  c' || n_nationkey || ',count(*) from t' || n_regionkey || ' where a = 1 group by c' || n_nationkey"
+SUSPECT = "'SELECT n.n_name, n.no' || n_nationkey || ' FROM nation n WHERE n.n_regionkey = ' || n_regionkey"
+
+
+def lineage_numbered(spark, sf_dir):
+    """Edge ids, order, expressions and spans of a script for each nation."""
+    return LineageEngine.table(LineageEngine(spark).facts(_scripts(spark, sf_dir, NUMBERED)), "edge").drop("statement_index")
+
+
+def format_scripts(spark, sf_dir):
+    return LineageEngine(spark).formatted(_scripts(spark, sf_dir, SPREAD)).select("source_file", "text")
+
+
+def validate_scripts(spark, sf_dir):
+    return LineageEngine(spark).validated(_scripts(spark, sf_dir, SUSPECT), _tables(spark, sf_dir))
+
+
+def shared_sources(spark, sf_dir):
+    """Scripts that share a source_file, and some without one, each resolved against the catalog: edges by end."""
+    n = read(spark, sf_dir, "nation")
+    scripts = n.selectExpr("CASE WHEN n_regionkey > 0 THEN CAST(n_regionkey AS STRING) END AS source_file", "CASE WHEN n_nationkey % 2 = 0 THEN 'SELECT * FROM region' ELSE 'SELECT * FROM nation' END AS sql")
+    edges = LineageEngine.table(LineageEngine(spark).facts(scripts, _tables(spark, sf_dir)), "edge").where("kind = 'OUTPUT'")
+    return edges.groupBy("source_file", "from_id").agg(F.count("*").alias("n"))
+
+
+#: Conversions: source, target, text, and what it must become (None: it must be refused).
+CONVERSIONS: list[tuple[str, str, str, str | None]] = [
+    ("mysql", "oracle", "SELECT ISNULL(a) FROM t", None),
+    ("mysql", "tsql", "SELECT DISTINCT a FROM t LIMIT 3", "SELECT DISTINCT TOP (3) a FROM t"),
+    ("mysql", "oracle", "SELECT GROUP_CONCAT(a) FROM t", None),
+    ("mysql", "oracle", "SELECT a FROM t WHERE a REGEXP 'x'", None),
+    ("mysql", "postgresql", "SELECT IF(a, 1, 2) FROM t", None),
+    ("mysql", "postgresql", "SELECT DATE_FORMAT(a, '%Y') FROM t", None),
+    ("mysql", "postgresql", 'SELECT "x" FROM t', None),
+    ("mysql", "postgresql", "SELECT a || b FROM t", None),
+    ("mysql", "postgresql", "SELECT 'a\\'b' FROM t", None),
+    ("mysql", "postgresql", "SELECT a / b FROM t", None),
+    ("mysql", "oracle", "SELECT `a` FROM `t` LIMIT 5", 'SELECT "a" FROM "t" FETCH FIRST 5 ROWS ONLY'),
+    ("mysql", "trino", "SELECT `a` FROM `t` LIMIT 5", 'SELECT "a" FROM "t" LIMIT 5'),
+    ("mysql", "oracle", "SELECT IFNULL(a, 0) FROM t", "SELECT NVL(a, 0) FROM t"),
+    ("mysql", "tsql", "SELECT IFNULL(a, 0) FROM t", "SELECT ISNULL(a, 0) FROM t"),
+    ("mysql", "postgresql", "SELECT IFNULL(a, 0) FROM t", "SELECT COALESCE(a, 0) FROM t"),
+    ("oracle", "mysql", "SELECT NVL(a, b) FROM t", "SELECT IFNULL(a, b) FROM t"),
+    ("tsql", "mysql", "SELECT TOP 3 [a] FROM t", "SELECT `a` FROM t LIMIT 3"),
+    ("tsql", "oracle", "SELECT TOP (7) [a b] FROM t", 'SELECT "a b" FROM t FETCH FIRST 7 ROWS ONLY'),
+    ("tsql", "mysql", "SELECT TOP 3 PERCENT a FROM t", None),
+    ("tsql", "mysql", "SELECT a + b FROM t", None),
+    ("oracle", "postgresql", "SELECT a FROM t, u WHERE t.k = u.k (+)", None),
+    ("oracle", "mysql", "SELECT a FROM t FETCH FIRST 4 ROWS ONLY", "SELECT a FROM t LIMIT 4"),
+    ("postgresql", "tsql", 'SELECT "a" FROM t LIMIT 3', "SELECT TOP (3) [a] FROM t"),
+    ("postgresql", "tsql", "SELECT a FROM t UNION SELECT b FROM u LIMIT 3", None),
+    ("postgresql", "mysql", "SELECT a::int FROM t", None),
+    ("postgresql", "mysql", "SELECT a FROM t LIMIT 5 OFFSET 2", None),
+    ("postgresql", "mysql", "SELECT a FROM t FULL JOIN u ON t.k = u.k", None),
+    ("postgresql", "mysql", "SELECT a FROM t LEFT JOIN u ON t.k = u.k", "SELECT a FROM t LEFT JOIN u ON t.k = u.k"),
+    ("postgresql", "oracle", "SELECT a FROM t AS x", None),
+    ("postgresql", "oracle", "SELECT a AS b FROM t", "SELECT a AS b FROM t"),
+    ("postgresql", "spark", "SELECT CASE WHEN a > 1 THEN 'x' ELSE 'y' END AS z FROM t", "SELECT CASE WHEN a > 1 THEN 'x' ELSE 'y' END AS z FROM t"),
+    ("postgresql", "hive", "SELECT 'a\\b' FROM t", None),
+    ("hive", "spark", "SELECT `a`, COUNT(*) AS n FROM t GROUP BY `a` HAVING COUNT(*) > 2", "SELECT `a`, COUNT(*) AS n FROM t GROUP BY `a` HAVING COUNT(*) > 2"),
+    ("trino", "mysql", "SELECT a FROM t QUALIFY x > 1", None),
+    ("mysql", "hive", "INSERT INTO t (a, b) SELECT c, d FROM u", "INSERT INTO t (a, b) SELECT c, d FROM u"),
+    ("mysql", "postgresql", "CREATE TABLE t (a INT)", None),
+]
+
+
+def convert_cases(spark, sf_dir):
+    """Every conversion is right or refused."""
+    rows = [(a, b, sql, rewrite.convert(sql, a, b)[0]) for a, b, sql, _ in CONVERSIONS]
+    return spark.createDataFrame(rows, "source string, target string, sql string, converted string")
+
+
+def _changes(spark, sf_dir) -> DataFrame:
+    """A pair of texts for each nation: one loses an output, those of region 0 do not parse."""
+    n = read(spark, sf_dir, "nation")
+    return n.selectExpr("CAST(n_nationkey AS STRING) AS id", "CASE WHEN n_regionkey = 0 THEN 'SELECT a FROM' ELSE 'SELECT a, b FROM t WHERE x = 1' END AS left", "'SELECT a FROM t WHERE x = ' || n_regionkey AS right")
+
+
+def ast_diff_summary(spark, sf_dir):
+    return ast.diff_summary(ast.diff(_changes(spark, sf_dir)))
+
+
+def _spans(spark, sf_dir, start: str, size: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").selectExpr("o_orderstatus AS source_file", f"CAST({start} AS INT) AS span_start", f"CAST({start} + {size} AS INT) AS span_end")
+
+
+SPANS = ("o_orderkey * 9", "o_custkey % 700"), ("o_orderkey * 9 + 40", "o_custkey % 5")
+
+
+def span_overlaps(spark, sf_dir):
+    """Overlapping spans of each file, counted by the span on the left."""
+    a, b = (_spans(spark, sf_dir, *x) for x in SPANS)
+    return ast.overlapping(a, b).groupBy("source_file", "span_start").agg(F.count("*").alias("n"))
+
+
 def _said(rows: list[tuple], schema: str):
     return lambda spark, sf_dir: spark.createDataFrame(rows, schema)
 
@@ -412,6 +557,8 @@ def queries() -> dict:
         "quality_precision_recall": quality_precision_recall, "quality_gaps": quality_gaps, "coverage_pivot": coverage_pivot, "coverage_totals": coverage_totals, "unknown_rate": unknown_rate,
         "fingerprints": fingerprints, "incremental_actions": incremental_actions, "openlineage_fields": openlineage_fields, "mermaid_edges": mermaid_edges,
         "statement_split": statement_split, "format_sql": format_sql, "convert_sql": convert_sql, "validate_sql": validate_sql, "ast_diff": ast_diff, "ast_search": ast_search,
+        "lineage_numbered": lineage_numbered, "format_scripts": format_scripts, "validate_scripts": validate_scripts, "shared_sources": shared_sources,
+        "convert_cases": convert_cases, "ast_diff_summary": ast_diff_summary, "span_overlaps": span_overlaps,
     }
     return out
 
@@ -469,6 +616,19 @@ SELECT least(id, m0) AS first, count(*) AS size, string_agg(id, ',' ORDER BY id)
         "statement_split": "SELECT * FROM (VALUES (0, 'SELECT', 0, 8), (1, 'INSERT', 38, 69), (2, 'SELECT', 72, 91)) v(statement_index, statement_kind, span_start, span_end)",
         "format_sql": "SELECT 'select a, count(*)' || chr(10) || 'from t' || chr(10) || 'where x in (' || chr(10) || '  select y' || chr(10) || '  from u' || chr(10) || ')' || chr(10) || 'group by a' AS text",
         "convert_sql": "SELECT * FROM (VALUES ('mysql', 'postgresql', 'SELECT \"a\" FROM \"t\" LIMIT 5', true), ('mysql', 'oracle', 'SELECT \"a\" FROM \"t\" FETCH FIRST 5 ROWS ONLY', true), ('postgresql', 'tsql', 'SELECT TOP (3) [a] FROM t', true), ('trino', 'mysql', NULL, false)) v(source, target, sql, ok)",
+        "ast_diff": "SELECT * FROM (VALUES (0, 'changed', 'plain_select', 'SELECT a, b FROM t WHERE x = 1'), (1, 'same', 'select_item', 'a'), (2, 'same', 'column', 'a'), (3, 'removed', 'select_item', 'b'), (4, 'removed', 'column', 'b'), (5, 'same', 'table', 't'), (6, 'changed', 'where', 'x = 1'), (7, 'changed', 'binary_op', 'x = 1'), (8, 'same', 'column', 'x'), (9, 'changed', 'literal', '1')) v(ordinal, status, type, text)",
+        "ast_search": "SELECT * FROM (VALUES (0, 'plain_select', true), (3, 'select_item', true), (4, 'function', true), (5, 'column', true)) v(node_id, type, hit)",
+        "lineage_numbered": f"""WITH s AS (SELECT n_nationkey::VARCHAR AS source_file, 'c' || n_nationkey || ' + 1' AS x, 't' || n_regionkey AS t, 'c' || n_nationkey AS c, {NUMBERED} AS sql FROM nation)
+SELECT source_file, 0 AS ordinal, 'e0' AS edge_id, t || '.' || c AS from_id, 'x' AS to_id, 'OUTPUT' AS kind, 'EXPRESSION' AS transform, x AS expression, 7 AS span_start, (7 + length(x))::INTEGER AS span_end FROM s
+UNION ALL SELECT source_file, 1, 'e1', t, 'x', 'SOURCE', 'SOURCE', NULL, (length(sql) - length(t))::INTEGER, length(sql)::INTEGER FROM s""",
+        "format_scripts": "SELECT n_nationkey::VARCHAR AS source_file, 'select c' || n_nationkey || ', count(*)' || chr(10) || 'from t' || n_regionkey || chr(10) || 'where a = 1' || chr(10) || 'group by c' || n_nationkey AS text FROM nation",
+        "validate_scripts": "SELECT n_nationkey::VARCHAR AS source_file, 0 AS ordinal, 'tokens.validate_error' AS code, 'column no' || n_nationkey || ' is not in table nation' AS message, 17 AS span_start, (21 + length(n_nationkey::VARCHAR))::INTEGER AS span_end FROM nation",
+        "shared_sources": f"""SELECT CASE WHEN n_regionkey > 0 THEN n_regionkey::VARCHAR END AS source_file, table_name || '.' || column_name AS from_id, count(*) AS n
+FROM nation JOIN ({_COLUMNS_SQL}) ON table_name = CASE WHEN n_nationkey % 2 = 0 THEN 'region' ELSE 'nation' END GROUP BY ALL""",
+        "convert_cases": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else "'" + x.replace("'", "''") + "'" for x in row) + ")" for row in CONVERSIONS) + ") v(source, target, sql, converted)",
+        "ast_diff_summary": """SELECT n_nationkey::VARCHAR AS id, 0::BIGINT AS added, CASE WHEN n_regionkey = 0 THEN 0 ELSE 2 END::BIGINT AS removed, CASE n_regionkey WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 4 END::BIGINT AS changed,
+CASE n_regionkey WHEN 0 THEN 0 WHEN 1 THEN 7 ELSE 4 END::BIGINT AS same, CASE WHEN n_regionkey = 0 THEN 1 ELSE 0 END::BIGINT AS error FROM nation""",
+        "span_overlaps": "SELECT source_file, span_start, count(*) AS n FROM (SELECT o_orderstatus AS source_file, ({0})::INT AS span_start, ({0} + {1})::INT AS e FROM orders) a JOIN (SELECT o_orderstatus AS f, {2} AS s2, {2} + {3} AS e2 FROM orders) b ON f = source_file AND span_start < e AND s2 < e2 AND span_start < e2 AND s2 < e GROUP BY ALL".format(*SPANS[0], *SPANS[1]),
         "validate_sql": "SELECT * FROM (VALUES ('column nosuch is not in table orders', 7, 15), ('table missing is not found', 45, 52)) v(message, span_start, span_end)",
     }
     return out

@@ -8,11 +8,14 @@ catalog is broadcast whatever its size.
 from __future__ import annotations
 
 import json
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import rewrite
+from .functions.checkpoints import cut
 from .functions.parser import SqlError, parse
 from .functions.scan import fold, split_statements
 from .plans.lineage import Model, count_references
@@ -37,9 +40,11 @@ def analyse(sql: str, schema: dict | None = None, tolerant: bool = True, source_
     Strict: one bad statement leaves only its diagnostic.  Tolerant: the others stay.
     """
     out: list[tuple[int, str, int, dict]] = []
+    said: Counter = Counter()
 
     def bad(i: int, code: str, text: str, s: int, e: int, severity: str = "ERROR") -> None:
-        out.append((i, "diagnostic", sum(x[0] == i and x[1] == "diagnostic" for x in out), {"severity": severity, "code": code, "message": text, "span_start": s, "span_end": e}))
+        out.append((i, "diagnostic", said[i], {"severity": severity, "code": code, "message": text, "span_start": s, "span_end": e}))
+        said[i] += 1
 
     chunks = split_statements(sql)
     if not chunks:
@@ -82,13 +87,19 @@ def table_names(sql: str) -> list[str]:
             continue
         every = [st, *st.more]
         names |= {fold(t.name) for x in every for t in x.tables} | {fold(x.target) for x in every if x.target}
-        stack = [x.query for x in every if x.query]
-        while stack:
-            q = stack.pop()
-            stack += [*q.branches, *(b for _, _, b in q.ctes)]
-            for s in q.scope.sources if q.scope else []:
+        scopes = [x.scope for x in every if x.scope]
+        stack = [x.query for x in every if x.query] + [q for x in every for _, e in x.assignments for q in e.subqueries()]
+        while stack or scopes:
+            if stack:
+                q = stack.pop()
+                stack += [*q.branches, *(b for _, _, b in q.ctes)]
+                scopes += [q.scope] if q.scope else []
+                continue
+            sc = scopes.pop()
+            for s in sc.sources:
                 stack += [s.query] if s.query else []
                 names |= {fold(s.name)} if s.name else set()
+            stack += [q for e in sc.exprs() for q in e.subqueries()]
     return sorted(names - {""})
 
 
@@ -107,23 +118,52 @@ class LineageEngine:
     def __init__(self, spark: SparkSession):
         self.spark = spark
 
-    def facts(self, scripts: DataFrame, catalog: DataFrame | None = None, tolerant: bool = True, source_edges: bool = True) -> DataFrame:
+    def with_schema(self, scripts: DataFrame, catalog: DataFrame | None) -> DataFrame:
+        """``(source_file, sql, schema_json)``: each script with the tables that it names; a null text names none.
+
+        The tables are found once for each distinct text and joined by its hash,
+        so scripts may share a source_file or lack one.
+        """
         rows = scripts.select("source_file", "sql")
         if catalog is None:
-            rows = rows.withColumn("schema_json", F.lit(None).cast("string"))
-        else:
+            return rows.withColumn("schema_json", F.lit(None).cast("string"))
+
+        @F.pandas_udf("array<string>")
+        def named(sqls: pd.Series) -> pd.Series:
+            return sqls.map(lambda s: table_names(s or ""))
+
+        key = F.sha2(F.col("sql").cast("binary"), 256)
+        texts = rows.where("sql is not null").groupBy(key.alias("key")).agg(F.first("sql").alias("sql"))
+        wanted = texts.select("key", F.explode(named("sql")).alias("table_id"))
+        tables = catalog.groupBy("table_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "column_name", "column_type", "nullable"))).alias("columns"))
+        known = wanted.join(tables, "table_id").groupBy("key").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("table_id", F.transform("columns", lambda c: F.to_json(F.array(c["column_name"], c["column_type"], c["nullable"].cast("string")))))))).alias("schema_json"))
+        return rows.withColumn("key", key).join(known, "key", "left").select("source_file", "sql", F.coalesce("schema_json", F.lit("{}")).alias("schema_json"))
+
+    def facts(self, scripts: DataFrame, catalog: DataFrame | None = None, tolerant: bool = True, source_edges: bool = True, store: bool = True) -> DataFrame:
+        """All facts of ``scripts``; they are stored by ``what``, so that each :meth:`table` reads its own part and no script is parsed again, unless ``store`` is false."""
+        rows = self.with_schema(scripts, catalog)
+        found = rows.mapInPandas(_run(tolerant, source_edges) if catalog is None else _nested(tolerant, source_edges), FACTS)
+        return cut(found, "what") if store else found
+
+    def formatted(self, scripts: DataFrame, multiline: bool = True) -> DataFrame:
+        """``(source_file, sql, text, diagnostics)``; text is null for SQL that cannot be read."""
 
-            @F.pandas_udf("array<string>")
-            def named(sqls: pd.Series) -> pd.Series:
-                return sqls.map(lambda s: table_names(s or ""))
+        def run(frames):
+            for f in frames:
+                rows = [(src, sql, *rewrite.format_sql(sql or "", multiline)) for src, sql in zip(f["source_file"], f["sql"])]
+                yield pd.DataFrame([(a, b, t, [{"code": c, "message": m} for c, m in ds]) for a, b, t, ds in rows], columns=["source_file", "sql", "text", "diagnostics"])
 
-            wanted = rows.select("source_file", F.explode(named("sql")).alias("table_id"))
-            tables = catalog.groupBy("table_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "column_name", "column_type", "nullable"))).alias("columns"))
-            known = wanted.join(tables, "table_id").groupBy("source_file").agg(F.map_from_entries(F.collect_list(F.struct("table_id", F.transform("columns", lambda c: F.to_json(F.array(c["column_name"], c["column_type"], c["nullable"].cast("string"))))))).alias("m"))
-            text = F.to_json("m")
-            rows = rows.join(known.select("source_file", text.alias("schema_json")), "source_file", "left").withColumn("schema_json", F.coalesce("schema_json", F.lit("{}")))
-            return rows.mapInPandas(_nested(tolerant, source_edges), FACTS)
-        return rows.mapInPandas(_run(tolerant, source_edges), FACTS)
+        return scripts.select("source_file", "sql").mapInPandas(run, "source_file string, sql string, text string, diagnostics array<struct<code:string,message:string>>")
+
+    def validated(self, scripts: DataFrame, catalog: DataFrame) -> DataFrame:
+        """``(source_file, ordinal, code, message, span_start, span_end)``: what does not fit the catalog, a row each."""
+
+        def run(frames):
+            for f in frames:
+                rows = [(src, k, *x) for src, sql, raw in zip(f["source_file"], f["sql"], f["schema_json"]) for k, x in enumerate(rewrite.validate(sql or "", _schema_of(raw)))]
+                yield pd.DataFrame(rows, columns=["source_file", "ordinal", "code", "message", "span_start", "span_end"])
+
+        return self.with_schema(scripts, catalog).mapInPandas(run, "source_file string, ordinal int, code string, message string, span_start int, span_end int")
 
     @staticmethod
     def table(facts: DataFrame, what: str) -> DataFrame:
@@ -137,14 +177,15 @@ class LineageEngine:
         return self.table(self.facts(scripts, catalog, **options), "edge")
 
 
+def _schema_of(raw: str) -> dict:
+    flag = {"true": True, "false": False, None: None}
+    return {t: [(c[0], c[1], flag[c[2]]) for c in map(json.loads, cols)] for t, cols in json.loads(raw).items()}
+
+
 def _nested(tolerant: bool, source_edges: bool):
     run = _run(tolerant, source_edges)
 
-    def unpack(raw: str) -> str:
-        flag = {"true": True, "false": False, None: None}
-        return json.dumps({t: [(c[0], c[1], flag[c[2]]) for c in map(json.loads, cols)] for t, cols in json.loads(raw).items()})
-
     def outer(frames):
-        yield from run(f.assign(schema_json=f["schema_json"].map(unpack)) for f in frames)
+        yield from run(f.assign(schema_json=f["schema_json"].map(lambda raw: json.dumps(_schema_of(raw)))) for f in frames)
 
     return outer

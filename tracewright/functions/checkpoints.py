@@ -19,14 +19,14 @@ def folder(spark: SparkSession) -> str:
     return root
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a stored table: later rounds read files, not an ever longer plan."""
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
+    """``df`` as a stored table, in folders by the column ``by`` if one is given: later rounds read files, not an ever longer plan."""
     path = f"{folder(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/round-{uuid.uuid4().hex}"
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     old = df.sparkSession.conf.get(name)
     df.sparkSession.conf.set(name, "true")  # the shuffle files of a stored table are of no more use
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         df.sparkSession.conf.set(name, old)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)

@@ -29,6 +29,8 @@ def tree(st: Statement, sql: str, offset: int = 0) -> list[tuple]:
         me = put(kind, x.start, x.end, parent, depth)
         for a in [*x.args, *x.extra]:
             expr(a, me, depth + 1)
+        if x.query is not None:
+            query(x.query, me, depth + 1)
 
     def scope(s: Scope, parent: int | None, depth: int) -> None:
         me = put("plain_select", s.start, s.end, parent, depth)
@@ -150,21 +152,45 @@ def diff_trees(left: list[tuple], right: list[tuple]) -> list[tuple[str, str, st
     return out
 
 
+def _compared(a: str | None, b: str | None) -> list[tuple[str, str, str]]:
+    """Differences of two texts; a side that cannot be read gives an ``error`` row and nothing else is compared."""
+    trees, errors = [], []
+    for side, sql in (("left", a), ("right", b)):
+        try:
+            trees.append(tree(parse(sql or ""), sql or ""))
+        except SqlError as e:
+            errors.append(("error", side, str(e)))
+    return errors or diff_trees(*trees)
+
+
 def diff(pairs: DataFrame) -> DataFrame:
-    """``pairs(id, left, right)`` of SQL texts to ``(id, ordinal, status, type, text)``."""
+    """``pairs(id, left, right)`` of SQL texts to ``(id, ordinal, status, type, text)``; bad SQL gives rows of status ``error``, never a failure."""
 
     def run(frames):
         for f in frames:
-            rows = [(i, k, *d) for i, a, b in zip(f["id"], f["left"], f["right"]) for k, d in enumerate(diff_trees(tree(parse(a), a), tree(parse(b), b)))]
+            rows = [(i, k, *d) for i, a, b in zip(f["id"], f["left"], f["right"]) for k, d in enumerate(_compared(a, b))]
             yield pd.DataFrame(rows, columns=["id", "ordinal", "status", "type", "text"])
 
     return pairs.select("id", "left", "right").mapInPandas(run, "id string, ordinal int, status string, type string, text string")
 
 
-def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of half-open spans of one file that overlap; null spans never do."""
-    y = b.select(F.col("source_file").alias("f"), F.col("span_start").alias("s"), F.col("span_end").alias("e"))
-    return a.join(y, (F.col("source_file") == F.col("f")) & (F.col("span_start") < F.col("e")) & (F.col("s") < F.col("span_end")))
+def diff_summary(differences: DataFrame) -> DataFrame:
+    """How many nodes of each pair are added, removed, changed, the same, or could not be read."""
+    n = lambda x: F.sum((F.col("status") == x).cast("long")).alias(x)
+    return differences.groupBy("id").agg(*map(n, ("added", "removed", "changed", "same", "error")))
+
+
+def overlapping(a: DataFrame, b: DataFrame, width: int = 256) -> DataFrame:
+    """Pairs of half-open spans of one file that overlap; null spans never do.
+
+    Spans are cut into bins of ``width`` characters, and a pair is told in the
+    bin where its later start lies, so a large file's spans meet only those nearby.
+    """
+    bins = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / width), F.floor((F.greatest(F.col(e) - 1, F.col(s))) / width)))
+    x = a.where("span_start < span_end").withColumn("_bin", bins("span_start", "span_end"))
+    y = b.where("span_start < span_end").select(F.col("source_file").alias("f"), F.col("span_start").alias("s"), F.col("span_end").alias("e"), bins("span_start", "span_end").alias("_b"))
+    meet = (F.col("source_file") == F.col("f")) & (F.col("_bin") == F.col("_b")) & (F.col("span_start") < F.col("e")) & (F.col("s") < F.col("span_end"))
+    return x.join(y, meet & (F.floor(F.greatest("span_start", "s") / width) == F.col("_bin"))).drop("_bin", "_b")
 
 
 def visible(tree_nodes: DataFrame, collapsed: DataFrame) -> DataFrame:
