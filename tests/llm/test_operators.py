@@ -125,6 +125,28 @@ def test_mixing(spark, docs, empty):
     assert rep.columns == docs.columns and rep.count() == int(odd["copies"].sum())
 
 
+def test_mixing_solves_the_tilt(spark):
+    """Multipliers and copies against bisection of each source's own equation."""
+    rows = [(i, prose(i, 1 + i * 7 % 53), f"s{i % 7 // 3}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).toPandas()
+    sized = mixing.sizes(docs).groupBy("source", "size").agg(F.count("*").alias("docs"))
+    aims = mixing.targets(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"), F.sum("docs").alias("n")))
+    lam = {r.source: (r.lam, r.full) for r in mixing.solve(sized, aims).collect()}
+    for source, part in got.groupby("source"):
+        size, target = part["size"].to_numpy(float), part["target"].iloc[0]
+        rate = lambda x: np.minimum(mixing.CAP, np.exp(np.minimum(x * size / size.mean(), 50)))  # noqa: B023, E731
+        low, high = -60.0, 60.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (low, mid) if (rate(mid) * size).sum() > target else (mid, high)
+        if not lam[source][1]:
+            assert lam[source][0] == pytest.approx(low, abs=1e-6)
+            assert (abs(part["copies"] - rate(low)) <= 2).all() and abs((part["copies"] * size).sum() - target) <= size.max()
+        else:
+            assert (part["copies"] == mixing.CAP).all()
+
+
 # -- 3
 
 
@@ -388,6 +410,12 @@ def test_simhash_groups(spark, docs, empty):
     h = [xxh64_intdigest(x, 42) for x in (b"a b c d", b"b c d e", b"c d e f")]
     assert simhash.fingerprint(t) == sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) > 1.5)
     assert simhash.fingerprint("É x") == xxh64_intdigest("É x".encode(), 42) and simhash.fingerprint(None) == 0
+    own = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    told = {r.doc_id: r.fingerprint for r in simhash.digest(own).collect()}
+    for r in own.collect():  # each bit by its majority, shingle by shingle
+        words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r.text or "").encode().split()
+        hs = [xxh64_intdigest(b" ".join(words[i : i + 4]), 42) for i in range(max(1, len(words) - 3))] if words else []
+        assert told[r.doc_id] == f"{sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)):016x}"
     rows = simhash.digest(docs).collect()
     assert len(rows) == 12 and {x.component_id for x in rows if x.fingerprint == "0" * 16} == {3}
     assert [x.component_id for x in rows if x.doc_id == 2] == [1, 1] and simhash.digest(empty).count() == 0

@@ -45,10 +45,26 @@ def test_awkward_tables(spark, tmp_path):
     shutil.copy(f"{SF}/benchmark.parquet", tmp_path / "benchmark.parquet")
     for table in (rows, []):
         docs = spark.createDataFrame(table, schema)
+        docs.write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
         for _, stage in corpus_pipeline.STAGES[:4]:
             docs = stage(spark, docs, str(tmp_path))
             assert docs.columns == [c.split(" ")[0] for c in schema.split(", ")]
         assert (docs.where("doc_id = 1").count() > 0) == bool(table)
+        ids = sorted(r.doc_id for r in corpus_pipeline.write_tokens(spark, docs, str(tmp_path)).collect())
+        assert ids == sorted(r.doc_id for r in docs.select("doc_id").collect())
+        assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == ids
+
+
+def test_run_leaves_no_tables_of_earlier_stages(spark):
+    import os
+
+    from tracewright.llm.common import shared_root
+
+    folder = f"{shared_root(spark).removeprefix('file://')}/{spark.sparkContext.applicationId}"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    rows = corpus_pipeline.run(spark, SF)
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
+    assert left == {"token", "tokens"} and rows.count() > 0
 
 
 def test_registered(spark):

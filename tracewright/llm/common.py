@@ -52,12 +52,29 @@ def setting(spark: SparkSession, name: str, value: str):
         spark.conf.unset(name) if old is None else spark.conf.set(name, old)
 
 
+_made: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Staged tables made within the block are deleted after it, but for those that the yielded list is given."""
+    kept: list[DataFrame] = []
+    _made.append([])
+    try:
+        yield kept
+    finally:
+        used = {f.rsplit("/", 1)[0] for df in kept for f in df.inputFiles()}
+        discard(spark, *[p for p in _made.pop() if not any(u.endswith(p.split(":", 1)[-1].lstrip("/")) for u in used)])
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` below the shared root and read it back; the write's shuffle files are dropped once it is over."""
     spark = df.sparkSession
     path = workspace(spark, label)
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         df.write.option("compression", "zstd").parquet(path)
+    for made in _made:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

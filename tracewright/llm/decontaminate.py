@@ -197,3 +197,17 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bad = contaminated(docs, benchmark)
     own = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("key")).join(bad, "key", "left")
     return own.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), "items", "overlap").select("doc_id", "contaminated", "n_items", F.array_join(F.col("items").cast("array<string>"), ",").alias("items"), F.coalesce("overlap", F.lit(0)).cast("long").alias("overlap"))
+
+
+def oracle() -> str:
+    """The same result from every alignment of every item along every text, in DuckDB SQL."""
+    words = r"regexp_extract_all(lower({}), '[^\x20\x09-\x0D!-/:-@\[-`{{-~]+')"
+    return f"""WITH d AS (SELECT row_number() OVER () AS u, doc_id, {words.format("text")} AS ts FROM documents),
+i AS (SELECT row_number() OVER () AS k, item_id, {words.format("text")} AS ts FROM (SELECT text, min(item_id) AS item_id FROM benchmark WHERE text IS NOT NULL GROUP BY text)),
+dw AS (SELECT u, unnest(ts) AS w, unnest(range(len(ts))) AS p FROM d), iw AS (SELECT k, unnest(ts) AS w, unnest(range(len(ts))) AS q FROM i),
+m AS (SELECT u, k, p - q AS s, list(q) AS qs FROM dw JOIN iw USING (w) GROUP BY u, k, p - q),
+c AS (SELECT u, k, s, qs, least({WINDOW}, len(i.ts)) AS w, greatest(0, -s) AS low, least(len(i.ts), len(d.ts) - s) AS high FROM m JOIN d USING (u) JOIN i USING (k) WHERE len(qs) >= ceil({SIMILARITY} * least({WINDOW}, len(i.ts)) - 1e-9)),
+g AS (SELECT * FROM (SELECT *, unnest(range(low, high - w + 1)) AS g FROM c WHERE high - low >= w) WHERE len(list_filter(qs, lambda q: q >= g AND q < g + w)) >= ceil({SIMILARITY} * w - 1e-9)),
+o AS (SELECT u, k, max(n) AS n FROM (SELECT u, k, s, count(DISTINCT x) AS n FROM (SELECT u, k, s, unnest(range(g, g + w)) AS x FROM g) GROUP BY u, k, s) GROUP BY u, k),
+r AS (SELECT u, count(*) AS n_items, array_to_string(list_sort(list(DISTINCT item_id) FILTER (item_id IS NOT NULL)), ',') AS items, max(n) AS overlap FROM o JOIN i USING (k) GROUP BY u)
+SELECT doc_id, r.u IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGINT AS n_items, CASE WHEN r.u IS NOT NULL THEN coalesce(items, '') END AS items, coalesce(overlap, 0)::BIGINT AS overlap FROM d LEFT JOIN r USING (u)"""

@@ -58,4 +58,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_index": warc.oracle(), "op3_line_dedup": linededup.oracle(), "op9_embedding_near_dedup": embeddings.oracle(), "op10_secret_scan": secrets.oracle()}
+    return {"op1_warc_index": warc.oracle(), "op3_line_dedup": linededup.oracle(), "op6_decontaminate": decontaminate.oracle(), "op9_embedding_near_dedup": embeddings.oracle(), "op10_secret_scan": secrets.oracle()}
