@@ -2,6 +2,12 @@
 
 Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet and
 read again as the next stage's ``docs``.
+
+Defined results, stage by stage: language ID rejects null texts and texts without
+a letter; of the rest of wordless texts SimHash keeps one, and of rows that
+repeat, one; no text is too long for a stage; a row without a doc_id or source is
+a row like others; ties go to the smaller doc_id; empty tables pass through as
+empty tables; further columns pass all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import decontaminate, langid, mixing, simhash, tokenstore
-from tracewright.llm.common import free_name, stage, table
+from tracewright.llm.common import discard, free_name, scratch, stage, table
 from tracewright.llm.queries import tokenizer_path
 
 
@@ -60,6 +66,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage_of in STAGES:
-        docs = stage(stage_of(spark, docs, sf_dir), name.split()[0].lower())
+    for i, (name, stage_of) in enumerate(STAGES):
+        with scratch(spark) as kept:
+            then = stage(stage_of(spark, docs, sf_dir), name.split()[0].lower())
+            kept.append(then)
+        if i:
+            discard(spark, docs)
+        docs = then
     return docs
