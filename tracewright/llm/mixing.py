@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 
 from .common import WORD, discard, stage
 
-CAP, BUCKET, ROUNDS, TOLERANCE = 3.0, 50_000, 60, 1e-9
+CAP, BUCKET, ROUNDS, TOLERANCE = 3.0, 2_000, 60, 1e-9
 
 
 def sizes(docs: DataFrame, text: str = "text") -> DataFrame:
