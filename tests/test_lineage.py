@@ -177,3 +177,10 @@ def test_subqueries_see_inner_and_outer_columns():
 def test_many_diagnostics_are_numbered_by_statement():
     said = [(i, k) for i, what, k, _ in analyse("SELEC a;" * 300) if what == "diagnostic"]
     assert said == [(i, 0) for i in range(300)]
+
+
+def test_overwriting_inserts_and_query_options():
+    sql = "FROM events INSERT OVERWRITE TABLE a SELECT id WHERE k = 1 INSERT OVERWRITE TABLE b SELECT id"
+    got = [(i, b["target_id"]) for i, what, _, b in analyse(sql) if what == "statement"]
+    assert got == [(0, "a"), (1, "b")] and not [b for _, what, _, b in analyse(sql) if what == "diagnostic"]
+    assert [b["from_id"] for _, what, _, b in analyse("SELECT n FROM r OPTION (MAXRECURSION 9)") if what == "edge"] == ["r.n", "r"]

@@ -214,3 +214,12 @@ def test_a_long_chain_is_solved_in_one_task(spark):
     assert graph.layers(edges).agg({"depth": "max"}).first()[0] == 3000
     assert graph.impact(edges, "c00000").agg({"distance": "max"}).first()[0] == 3000
     assert time.time() - began < 60
+
+
+def test_tables_declared_twice_are_refused(spark):
+    from tracewright.sources import catalog
+
+    one = catalog.from_frames({"t": spark.createDataFrame([], "a int, b int"), "u": spark.createDataFrame([], "a int")})
+    assert catalog.checked(one).count() == 3
+    with pytest.raises(ValueError, match="duplicate_table: u"):
+        catalog.checked(one.union(one.where("table_id = 'u'")))

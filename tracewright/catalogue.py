@@ -278,6 +278,30 @@ def lineage_numbered(spark, sf_dir):
     return LineageEngine.table(LineageEngine(spark).facts(_scripts(spark, sf_dir, NUMBERED)), "edge").drop("statement_index")
 
 
+def model_json(spark, sf_dir):
+    """Fields read back out of the JSON reports of the numbered scripts."""
+    told = reports.model_report(LineageEngine(spark).facts(_scripts(spark, sf_dir, NUMBERED)))
+    field = lambda path, name: F.get_json_object("report", path).alias(name)
+    return told.select("source_file", field("$.statements[0].statement_kind", "kind"), field("$.tables[0].table_id", "table_id"), field("$.scopes[0].scope_kind", "scope"), field("$.columns[1].column_id", "second"), field("$.edges[0].expression", "expression"), field("$.edges[1].from_id", "source"), field("$.unknowns", "unknowns"), field("$.diagnostics", "diagnostics"))
+
+
+def format_json(spark, sf_dir):
+    return reports.format_report(LineageEngine(spark).formatted(_scripts(spark, sf_dir, SPREAD)))
+
+
+def validate_json(spark, sf_dir):
+    scripts = _scripts(spark, sf_dir, SUSPECT)
+    return reports.validate_report(scripts, LineageEngine(spark).validated(scripts, _tables(spark, sf_dir)))
+
+
+def matrix_lines(spark, sf_dir):
+    return reports.compatibility_lines(matrix.compatibility(_scripts(spark, sf_dir, NUMBERED).select(F.col("source_file").alias("id"), F.lit("ansi").alias("dialect"), "sql"))).select("line")
+
+
+def quality_report_lines(spark, sf_dir):
+    return reports.quality_lines(quality.ratios(_verdicts(spark, sf_dir), "case_id"), "case_id")
+
+
 def format_scripts(spark, sf_dir):
     return LineageEngine(spark).formatted(_scripts(spark, sf_dir, SPREAD)).select("source_file", "text")
 
@@ -558,6 +582,7 @@ def queries() -> dict:
         "fingerprints": fingerprints, "incremental_actions": incremental_actions, "openlineage_fields": openlineage_fields, "mermaid_edges": mermaid_edges,
         "statement_split": statement_split, "format_sql": format_sql, "convert_sql": convert_sql, "validate_sql": validate_sql, "ast_diff": ast_diff, "ast_search": ast_search,
         "lineage_numbered": lineage_numbered, "format_scripts": format_scripts, "validate_scripts": validate_scripts, "shared_sources": shared_sources,
+        "model_json": model_json, "format_json": format_json, "validate_json": validate_json, "matrix_lines": matrix_lines, "quality_lines": quality_report_lines,
         "convert_cases": convert_cases, "ast_diff_summary": ast_diff_summary, "span_overlaps": span_overlaps,
     }
     return out
@@ -621,6 +646,11 @@ SELECT least(id, m0) AS first, count(*) AS size, string_agg(id, ',' ORDER BY id)
         "lineage_numbered": f"""WITH s AS (SELECT n_nationkey::VARCHAR AS source_file, 'c' || n_nationkey || ' + 1' AS x, 't' || n_regionkey AS t, 'c' || n_nationkey AS c, {NUMBERED} AS sql FROM nation)
 SELECT source_file, 0 AS ordinal, 'e0' AS edge_id, t || '.' || c AS from_id, 'x' AS to_id, 'OUTPUT' AS kind, 'EXPRESSION' AS transform, x AS expression, 7 AS span_start, (7 + length(x))::INTEGER AS span_end FROM s
 UNION ALL SELECT source_file, 1, 'e1', t, 'x', 'SOURCE', 'SOURCE', NULL, (length(sql) - length(t))::INTEGER, length(sql)::INTEGER FROM s""",
+        "model_json": "SELECT n_nationkey::VARCHAR AS source_file, 'SELECT' AS kind, 't' || n_regionkey AS table_id, 'SELECT' AS scope, 'x' AS second, 'c' || n_nationkey || ' + 1' AS expression, 't' || n_regionkey AS source, '[]' AS unknowns, '[]' AS diagnostics FROM nation",
+        "format_json": """SELECT n_nationkey::VARCHAR AS source_file, '{"engine":"tokens","sql":"select c' || n_nationkey || ', count(*)\\nfrom t' || n_regionkey || '\\nwhere a = 1\\ngroup by c' || n_nationkey || '","diagnostics":[]}' AS report FROM nation""",
+        "validate_json": """SELECT n_nationkey::VARCHAR AS source_file, '{"engine":"tokens","diagnostics":[{"code":"tokens.validate_error","message":"column no' || n_nationkey || ' is not in table nation","span_start":17,"span_end":' || (21 + length(n_nationkey::VARCHAR)) || '}]}' AS report FROM nation""",
+        "matrix_lines": "SELECT n_nationkey || '  ansi  tokens  ok, 1 statements, 0 unknowns' AS line FROM nation",
+        "quality_lines": VERDICT_SQL + ", s AS (SELECT case_id, count(*) FILTER (verdict = 'tp') AS tp, count(*) FILTER (verdict = 'fp') AS fp, count(*) FILTER (verdict = 'fn') AS fn FROM v GROUP BY case_id) SELECT case_id || '  precision ' || CASE WHEN tp + fp = 0 THEN 'n/a' ELSE printf('%.2f%%', tp * 100.0 / (tp + fp)) END || '  recall ' || CASE WHEN tp + fn = 0 THEN 'n/a' ELSE printf('%.2f%%', tp * 100.0 / (tp + fn)) END AS line FROM s",
         "format_scripts": "SELECT n_nationkey::VARCHAR AS source_file, 'select c' || n_nationkey || ', count(*)' || chr(10) || 'from t' || n_regionkey || chr(10) || 'where a = 1' || chr(10) || 'group by c' || n_nationkey AS text FROM nation",
         "validate_scripts": "SELECT n_nationkey::VARCHAR AS source_file, 0 AS ordinal, 'tokens.validate_error' AS code, 'column no' || n_nationkey || ' is not in table nation' AS message, 17 AS span_start, (21 + length(n_nationkey::VARCHAR))::INTEGER AS span_end FROM nation",
         "shared_sources": f"""SELECT CASE WHEN n_regionkey > 0 THEN n_regionkey::VARCHAR END AS source_file, table_name || '.' || column_name AS from_id, count(*) AS n

@@ -137,6 +137,14 @@ def from_jdbc(spark: SparkSession, url: str, tables: list[str], provider: str =
     return from_frames(frames, provider)
 
 
+def checked(catalog: DataFrame) -> DataFrame:
+    """The catalog itself; an error if a table id or one of its columns is declared twice."""
+    twice = catalog.groupBy("table_id").agg(F.count("*").alias("n"), F.count_distinct("ordinal").alias("places"), F.count_distinct(F.lower("column_name")).alias("names")).where("n > places OR n > names")
+    if found := twice.orderBy("table_id").take(1):
+        raise ValueError(f"duplicate_table: {found[0]['table_id']} is declared twice")
+    return catalog
+
+
 def compose(*catalogs: DataFrame | None) -> DataFrame | None:
     """Catalogs by falling priority: for each table the first that has it; None without any."""
     given = [c for c in catalogs if c is not None]
