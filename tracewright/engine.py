@@ -122,8 +122,11 @@ class LineageEngine:
         """``(source_file, sql, schema_json)``: each script with the tables that it names; a null text names none.
 
         The tables are found once for each distinct text and joined by its hash,
-        so scripts may share a source_file or lack one.
+        so scripts may share a source_file or lack one.  Parsing costs far more
+        than the bytes of a script tell, so scripts are spread over all shuffle
+        partitions first; adaptive execution would read them in one task.
         """
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         rows = scripts.select("source_file", "sql")
         if catalog is None:
             return rows.withColumn("schema_json", F.lit(None).cast("string"))
@@ -133,11 +136,11 @@ class LineageEngine:
             return sqls.map(lambda s: table_names(s or ""))
 
         key = F.sha2(F.col("sql").cast("binary"), 256)
-        texts = rows.where("sql is not null").groupBy(key.alias("key")).agg(F.first("sql").alias("sql"))
+        texts = rows.where("sql is not null").groupBy(key.alias("key")).agg(F.first("sql").alias("sql")).repartition(n)
         wanted = texts.select("key", F.explode(named("sql")).alias("table_id"))
         tables = catalog.groupBy("table_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "column_name", "column_type", "nullable"))).alias("columns"))
         known = wanted.join(tables, "table_id").groupBy("key").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("table_id", F.transform("columns", lambda c: F.to_json(F.array(c["column_name"], c["column_type"], c["nullable"].cast("string")))))))).alias("schema_json"))
-        return rows.withColumn("key", key).join(known, "key", "left").select("source_file", "sql", F.coalesce("schema_json", F.lit("{}")).alias("schema_json"))
+        return rows.withColumn("key", key).join(known, "key", "left").select("source_file", "sql", F.coalesce("schema_json", F.lit("{}")).alias("schema_json")).repartition(n)
 
     def facts(self, scripts: DataFrame, catalog: DataFrame | None = None, tolerant: bool = True, source_edges: bool = True, store: bool = True) -> DataFrame:
         """All facts of ``scripts``; they are stored by ``what``, so that each :meth:`table` reads its own part and no script is parsed again, unless ``store`` is false."""
