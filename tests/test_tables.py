@@ -35,7 +35,7 @@ def test_incremental_scenarios(spark, tmp_path):
     (folder / "a.sql").unlink()
     assert run() == {"a.sql": "remove", "b.SQL": "reuse"} and store.count() == 1
     with pytest.raises(StoreError):
-        store.replace(store.load().where("false").drop("fingerprint", "source_key"), store.fingerprints())
+        store.replace(store.load().where("false").drop("fingerprint", "bucket"), store.fingerprints())
 
 
 def test_stream(spark, tmp_path):
@@ -223,3 +223,28 @@ def test_tables_declared_twice_are_refused(spark):
     assert catalog.checked(one).count() == 3
     with pytest.raises(ValueError, match="duplicate_table: u"):
         catalog.checked(one.union(one.where("table_id = 'u'")))
+
+
+def test_store_buckets_versions_and_fingerprints(spark, tmp_path, monkeypatch):
+    from tracewright.sources import store as stores
+
+    monkeypatch.setattr(stores, "BUCKETS", 4)
+    scripts = spark.createDataFrame([(f"f{i}.sql", f"SELECT c{i} FROM t") for i in range(20)] + [(None, "SELECT x FROM y")], "source_file string, sql string")
+    facts = LineageEngine(spark).facts(scripts)
+    prints = scripts.select("source_file", F.md5("sql").alias("fingerprint"))
+    s = stores.LineageStore(spark, str(tmp_path / "one"))
+    s.save(facts, prints)
+    assert s.count() == 21 and len([x for x in (tmp_path / "one" / "facts").iterdir() if x.name.startswith("bucket=")]) <= 4
+    new = spark.createDataFrame([("f3.sql", "SELECT a FROM t; SELECT b FROM t"), ("g.sql", "SELECT 1")], "source_file string, sql string")
+    s.replace(LineageEngine(spark).facts(new), new.select("source_file", F.md5("sql").alias("fingerprint")))
+    assert s.count() == 23 and s.fingerprints().count() == 22
+    assert s.remove(["f3.sql", "nosuch"]) == 1 and s.remove(spark.createDataFrame([(f"f{i}.sql",) for i in range(20)] + [(None,)], "source_file string")) == 20
+    assert [r.source_file for r in s.fingerprints().collect()] == ["g.sql"] and s.remove(["g.sql"]) == 1 and s.count() == 0
+    with pytest.raises(stores.StoreError, match="several fingerprints"):
+        s.save(facts, prints.union(prints.withColumn("fingerprint", F.lit("other"))))
+    old = tmp_path / "two"
+    facts.write.parquet(str(old / "facts"))
+    spark.createDataFrame([("version", "1")], "key string, value string").write.json(str(old / "info"))
+    two = stores.LineageStore(spark, str(old))
+    assert two.count() == 21 and two.fingerprints().where("fingerprint is not null").count() == 0 and two._info() == "2"
+    assert [tuple(r) for r in stores.library(spark, str(tmp_path)).collect()] == [("one", 0), ("two", 21)]

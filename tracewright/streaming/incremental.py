@@ -27,8 +27,7 @@ def update(store: LineageStore, scripts: DataFrame, context: str, catalog: DataF
     if good.take(1):
         store.replace(good, prints)
     if removed:
-        gone = [r[0] for r in plan.where("action = 'remove'").select("source_file").toLocalIterator()]
-        store.remove(gone)
+        store.remove(plan.where("action = 'remove'").select("source_file"))
     return plan.join(bad.withColumn("bad", F.lit(True)), "source_file", "left").select("source_file", F.when(F.col("bad"), "failed").otherwise(F.col("action")).alias("action"))
 
 
