@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .engine import LineageEngine
 from .functions import exporters, reports, rewrite
-from .operators import ast, graph, incremental, matrix, quality
+from .operators import ast, graph, incremental, matrix, quality, ranges
 from .sources import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -547,6 +547,13 @@ def _executed(sql: str):
     return lambda spark, sf_dir: spark.sql(sql, **{n: read(spark, sf_dir, n) for n in names})
 
 
+def exec_range_join(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    size = F.col("p_size").cast("long")
+    a = p.select("p_brand", size.alias("lo"), (size + 1).alias("hi"), F.col("p_partkey").alias("x"))
+    return ranges.within(a, p.select("p_brand", size.alias("v"), F.col("p_partkey").alias("y")), "p_brand")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of a join over the tables, with their schema at hand."""
     return LineageEngine(spark).lineage(FLAGSHIP, _tables(spark, sf_dir))
@@ -561,6 +568,7 @@ def queries() -> dict:
     out = {name: _lineage(sql) for name, (sql, _) in STATEMENTS.items()}
     out |= {name: _executed(sql) for name, sql in EXECUTED.items()}
     out |= {
+        "exec_range_join": exec_range_join,
         "impact_downstream": _impact("r1", "DOWNSTREAM"), "impact_upstream": _impact("o1", "UPSTREAM"), "impact_both": _impact("p1", "BOTH", None, cyclic_graph),
         "impact_depth2": _impact("r1", "DOWNSTREAM", 2), "impact_unknown_origin": _impact("zz", "DOWNSTREAM"), "impact_truncated": impact_truncated,
         "shortest_path_lex": lambda s, d: graph.shortest_path(cyclic_graph(s, d), "p150", "p160", "BOTH"),
