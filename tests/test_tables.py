@@ -248,3 +248,20 @@ def test_store_buckets_versions_and_fingerprints(spark, tmp_path, monkeypatch):
     two = stores.LineageStore(spark, str(old))
     assert two.count() == 21 and two.fingerprints().where("fingerprint is not null").count() == 0 and two._info() == "2"
     assert [tuple(r) for r in stores.library(spark, str(tmp_path)).collect()] == [("one", 0), ("two", 21)]
+
+
+@pytest.mark.parametrize("turn", [False, True])
+def test_wide_graphs_are_trimmed_before_rounds(spark, monkeypatch, turn):
+    """Fans around a small core leave the rounds nothing: weak parts and colouring never run, and results are those of one task."""
+    pairs = [(f"n{i % 7}", f"c{i}") for i in range(200)] + [(f"c{i % 40}", f"o{i}") for i in range(400)] + [("r", f"n{i}") for i in range(7)] + [("o1", "x"), ("x", "y"), ("y", "x"), ("y", "o2"), ("o3", "o3")]
+    edges = spark.createDataFrame([p[::-1] for p in pairs] if turn else pairs, "src string, dst string")
+    run = lambda: [sorted(map(tuple, f(edges).collect())) for f in (graph.layers,)]
+    want = run()
+
+    def never(*_):
+        raise AssertionError("rounds over a graph that trimming solves")
+
+    monkeypatch.setattr(graph, "LOCAL", 60)
+    monkeypatch.setattr(graph, "_weak_parts", never)
+    monkeypatch.setattr(graph, "_colouring", never)
+    assert run() == want

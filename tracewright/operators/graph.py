@@ -6,6 +6,8 @@ adjacency and drops what was reached before; the state is one row per node.
 A loop takes a round of jobs for each hop, and lineage graphs are long chains.
 So weakly connected parts of at most ``LOCAL`` steps are each solved inside one
 task, many small parts to a task, and only larger parts go round in hops.
+Before that, what cannot lie on a cycle is trimmed off from both ends while that
+pays, so that the rounds see only a fraction of wide graphs.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from ..functions.checkpoints import cut
 
 #: Steps that one task may hold.
 LOCAL = 1_000_000
+#: Trimming goes on while a round leaves no more than this share of the steps.
+PAYS = 0.8
 
 
 def merge_edges(edges: DataFrame, order: str = "seq") -> DataFrame:
@@ -75,6 +79,31 @@ def _dealt(steps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return small, placed.join(large, "part", "left_semi").select("src", "dst") if large.take(1) else None
 
 
+def _sizes(steps: DataFrame) -> tuple[int, int, int]:
+    """How many steps there are, and about how many distinct sources and targets."""
+    return tuple(steps.agg(F.count("*"), F.approx_count_distinct("src"), F.approx_count_distinct("dst")).first())
+
+
+def _ends(steps: DataFrame, c: str) -> DataFrame:
+    """The distinct ``(end)`` of a column, stored, so that few of them are broadcast and the steps not shuffled."""
+    return cut(steps.select(F.col(c).alias("end")).distinct())
+
+
+def _trimmed(steps: DataFrame) -> DataFrame:
+    """The distinct steps left when those that nothing leads to, or that lead to nothing, are dropped while it pays; every cycle stays."""
+    n, a, b = _sizes(steps)
+    while n > LOCAL:
+        before = n
+        for here, there in (("src", "dst"), ("dst", "src")) if a < b else (("dst", "src"), ("src", "dst")):
+            steps = cut(steps.join(_ends(steps, here), F.col(there) == F.col("end"), "left_semi"))
+            n, a, b = _sizes(steps)
+            if n <= LOCAL:
+                break
+        if n > PAYS * before:
+            break
+    return cut(steps.distinct())
+
+
 def _numbered(f: pd.DataFrame) -> tuple[list[str], list[list[int]]]:
     """``(ids, successors)`` of the steps of a frame; ids in order."""
     both = pd.concat([f["src"], f["dst"]])
@@ -125,7 +154,8 @@ def _local_components(f: pd.DataFrame) -> pd.DataFrame:
 
 
 def _local_layers(f: pd.DataFrame) -> pd.DataFrame:
-    ids, after = _numbered(f)
+    starts = f["src"].isna()
+    ids, after = _numbered(f[~starts])
     strong = _strong(after)
     size = pd.Series(strong).value_counts()
     cyclic = [size[c] > 1 for c in strong]
@@ -134,6 +164,9 @@ def _local_layers(f: pd.DataFrame) -> pd.DataFrame:
         after[a] = [] if cyclic[a] else [b for b in xs if not cyclic[b]]
         for b in after[a]:
             waits[b] += 1
+    at = {x: i for i, x in enumerate(ids)} if starts.any() else {}
+    for x, d in zip(f["dst"][starts], f["depth"][starts]):
+        depth[at[x]] = int(d)
     ready = [i for i, n in enumerate(waits) if not n]
     while ready:
         a = ready.pop()
@@ -255,6 +288,13 @@ def _colouring(steps: DataFrame) -> DataFrame:
     return out
 
 
+def _cored(edges: DataFrame) -> DataFrame:
+    """``(id, component)`` of the nodes that trimming leaves; every other node is a component of its own."""
+    small, large = _dealt(_trimmed(edges.select("src", "dst").where("src <> dst")))
+    done = small.groupBy("bin").applyInPandas(_local_components, "id string, component string")
+    return cut(done if large is None else done.union(_colouring(cut(large))))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(id, component)`` for every node: its strongly connected component, by the smallest member."""
     small, large = _dealt(cut(edges.select("src", "dst").where("src <> dst").distinct()))
@@ -309,22 +349,71 @@ def unique_edge_ids(edges: DataFrame, order: str) -> DataFrame:
 
 def layers(edges: DataFrame) -> DataFrame:
     """``(id, depth)``: the longest path from a root; nodes on or behind a cycle keep the depth that their acyclic part gives."""
-    small, large = _dealt(cut(edges.select("src", "dst").where("src <> dst").distinct()))
-    done = small.groupBy("bin").applyInPandas(_local_layers, "id string, depth int")
-    if large is not None:
-        done = done.union(_long_layers(cut(large)))
-    return nodes(edges).select("id").join(done, "id", "left").select("id", F.coalesce("depth", F.lit(0)).alias("depth"))
+    steps = edges.select("src", "dst").where("src <> dst")
+    ids = edges.select(F.col("src").alias("id"), F.lit(0).alias("depth"))
+    if steps.count() <= LOCAL:
+        own = steps.distinct().select("src", "dst", F.lit(0).alias("bin"), F.lit(None).cast("int").alias("depth"))
+        found, ends = own.groupBy("bin").applyInPandas(_local_layers, "id string, depth int"), edges
+    else:
+        comp = _cored(edges)
+        loops = comp.groupBy("component").count().where("count > 1").select("component")
+        cyclic = cut(comp.join(loops, "component", "left_semi").select("id"))
+        around = bool(cyclic.take(1))
+        found = _wide_layers(cut(collapse(steps, cyclic)) if around else steps)
+        ends = edges if around else edges.where("src = dst OR src IS NULL OR dst IS NULL")  # the targets of all other steps are found
+    return ids.union(ends.select("dst", F.lit(0))).union(found).groupBy("id").agg(F.max("depth").alias("depth"))
+
+
+def _highest(*parts: DataFrame) -> DataFrame:
+    return cut(reduce(DataFrame.union, parts).groupBy("id").agg(F.max("depth").alias("depth")))
 
 
-def _long_layers(steps: DataFrame) -> DataFrame:
-    """The layers of steps that no task can hold; each round only the nodes that moved speak."""
-    comp = _colouring(steps)
-    loops = comp.groupBy("component").count().where("count > 1").select("component")
-    step = cut(collapse(steps, comp.join(loops, "component", "left_semi").select("id")))
-    depth = cut(comp.select("id", F.lit(0).alias("depth")))
+def _behind(steps: DataFrame, known: DataFrame) -> DataFrame:
+    """``(id, depth)`` of the targets of steps whose sources have the depths ``known``, or 0."""
+    return steps.join(known, F.col("src") == F.col("id"), "left").groupBy("dst").agg((F.max(F.coalesce("depth", F.lit(0))) + 1).alias("depth")).select(F.col("dst").alias("id"), "depth")
+
+
+def _wide_layers(steps: DataFrame) -> DataFrame:
+    """``(id, depth)`` of at least every target of acyclic steps; a node's depth is the highest of its rows.
+
+    While it pays, steps into leaves are put aside, to be looked up when the
+    depths of their sources are known, and steps out of roots, whose depths are
+    known, leave a least depth at their targets.
+    """
+    aside, least, stalled = [], steps.sparkSession.createDataFrame([], "id string, depth int"), None
+    n, a, b = _sizes(steps)
+    while n > LOCAL:
+        here = {"src": "dst", "dst": "src"}[stalled] if stalled else "src" if a < b else "dst"
+        there = "dst" if here == "src" else "src"
+        told = cut(steps.join(_ends(steps, here), F.col(there) == F.col("end"), "left").select("src", "dst", F.col("end").isNotNull().alias("stays")), by="stays")
+        steps, off = told.where("stays").select("src", "dst"), told.where("NOT stays").select("src", "dst")
+        if here == "src":
+            aside.append(off)
+        else:
+            least = _highest(least, _behind(off, least))
+        before = n
+        n, a, b = _sizes(steps)
+        if n > PAYS * before:
+            if stalled:
+                break
+            stalled = here
+        else:
+            stalled = None
+    small, large = _dealt(cut(steps.distinct()))
+    bins = small.select(F.col("src").alias("id"), "bin").union(small.select("dst", "bin")).distinct()
+    rows = small.withColumn("depth", F.lit(None).cast("int")).union(least.join(bins, "id").select(F.lit(None).cast("string"), "id", "bin", "depth"))
+    known = _highest(least, rows.groupBy("bin").applyInPandas(_local_layers, "id string, depth int"), *([] if large is None else [_long_layers(cut(large), least)]))
+    for off in aside[:0:-1]:
+        known = _highest(known, _behind(off, known))
+    return known.union(_behind(aside[0], known)) if aside else known
+
+
+def _long_layers(steps: DataFrame, least: DataFrame) -> DataFrame:
+    """The layers of acyclic steps that no task can hold, from the depths ``least`` on; each round only the nodes that moved speak."""
+    depth = cut(steps.select(F.col("src").alias("id")).union(steps.select("dst")).distinct().join(least, "id", "left").select("id", F.coalesce("depth", F.lit(0)).alias("depth")))
     front = depth
     while True:
-        came = step.join(front, step["src"] == front["id"]).groupBy("dst").agg((F.max("depth") + 1).alias("m"))
+        came = steps.join(front, steps["src"] == front["id"]).groupBy("dst").agg((F.max("depth") + 1).alias("m"))
         new = cut(depth.join(came, depth["id"] == came["dst"], "left").select("id", F.greatest("depth", F.coalesce("m", "depth")).alias("depth"), (F.coalesce("m", "depth") > F.col("depth")).alias("moved")))
         depth, front = new.select("id", "depth"), new.where("moved").select("id", "depth")
         if not front.take(1):
