@@ -422,4 +422,8 @@ def _long_layers(steps: DataFrame, least: DataFrame) -> DataFrame:
 
 def layout(edges: DataFrame) -> DataFrame:
     """``(id, depth, row)``: the layers, each in the order of its ids."""
-    return layers(edges).withColumn("row", F.row_number().over(Window.partitionBy("depth").orderBy("id")) - 1)
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    told = cut(layers(edges).repartitionByRange(parts, "depth", "id").withColumn("_part", F.spark_partition_id()))
+    ahead = told.groupBy("depth", "_part").count().withColumn("_ahead", F.coalesce(F.sum("count").over(Window.partitionBy("depth").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
+    near = F.row_number().over(Window.partitionBy("depth", "_part").orderBy("id"))  # a layer may be too wide for one task
+    return told.withColumn("_near", near).join(F.broadcast(ahead), ["depth", "_part"]).select("id", "depth", (F.col("_ahead") + F.col("_near") - 1).cast("int").alias("row"))
