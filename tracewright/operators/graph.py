@@ -297,11 +297,8 @@ def _cored(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """``(id, component)`` for every node: its strongly connected component, by the smallest member."""
-    small, large = _dealt(cut(edges.select("src", "dst").where("src <> dst").distinct()))
-    done = small.groupBy("bin").applyInPandas(_local_components, "id string, component string")
-    if large is not None:
-        done = done.union(_colouring(cut(large)))
-    return nodes(edges).select("id").join(done, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    return ids.join(_cored(edges), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def cycles(edges: DataFrame) -> DataFrame:
