@@ -310,7 +310,7 @@ def cycles(edges: DataFrame) -> DataFrame:
 
 def cycle_list(edges: DataFrame) -> DataFrame:
     """``(first, size, members)``: a row for each component of several nodes, and one of its own for each self-loop, also inside such a component."""
-    own = components(edges).groupBy(F.col("component").alias("first")).agg(F.count("*").alias("size"), F.array_join(F.sort_array(F.collect_list("id")), ",").alias("members")).where("size > 1")
+    own = _cored(edges).groupBy(F.col("component").alias("first")).agg(F.count("*").alias("size"), F.array_join(F.sort_array(F.collect_list("id")), ",").alias("members")).where("size > 1")
     loops = edges.where("src = dst").select(F.col("src").alias("first")).distinct()
     return own.union(loops.select("first", F.lit(1).cast("long"), F.col("first")))
 
