@@ -255,7 +255,7 @@ def test_wide_graphs_are_trimmed_before_rounds(spark, monkeypatch, turn):
     """Fans around a small core leave the rounds nothing: weak parts and colouring never run, and results are those of one task."""
     pairs = [(f"n{i % 7}", f"c{i}") for i in range(200)] + [(f"c{i % 40}", f"o{i}") for i in range(400)] + [("r", f"n{i}") for i in range(7)] + [("o1", "x"), ("x", "y"), ("y", "x"), ("y", "o2"), ("o3", "o3")]
     edges = spark.createDataFrame([p[::-1] for p in pairs] if turn else pairs, "src string, dst string")
-    run = lambda: [sorted(map(tuple, f(edges).collect())) for f in (graph.layers, graph.layout, graph.components, graph.cycle_list)]
+    run = lambda: [sorted(map(tuple, f(edges).collect())) for f in (graph.layers, graph.layout, graph.components, graph.cycle_list, graph.cycles)]
     want = run()
 
     def never(*_):

@@ -304,7 +304,8 @@ def components(edges: DataFrame) -> DataFrame:
 def cycles(edges: DataFrame) -> DataFrame:
     """``(component, size, self_loop, members)`` of each component of several nodes and each self-loop."""
     loops = edges.where("src = dst").select(F.col("src").alias("id")).distinct().withColumn("loop", F.lit(True))
-    rows = components(edges).join(loops, "id", "left").groupBy("component").agg(F.count("*").alias("size"), F.coalesce(F.max("loop"), F.lit(False)).alias("self_loop"), F.array_join(F.sort_array(F.collect_list("id")), ",").alias("members"))
+    own = _cored(edges).join(loops, "id", "full").select("id", F.coalesce("component", "id").alias("component"), "loop")
+    rows = own.groupBy("component").agg(F.count("*").alias("size"), F.coalesce(F.max("loop"), F.lit(False)).alias("self_loop"), F.array_join(F.sort_array(F.collect_list("id")), ",").alias("members"))
     return rows.where("size > 1 OR self_loop")
 
 
